@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, language, near_dedup, url_rules
+from . import chat, exact_dedup, language, near_dedup, tiling, url_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,12 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = tiling.coverage(docs, _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "coverage", "n_tiles", "n_items", (F.col("n_items") > 0).alias("leaked"))
+
+
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
@@ -56,6 +62,7 @@ QUERIES = {
     "op3_near_dedup": op3_near_dedup,
     "op4_language": op4_language,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_decontaminate": op7_decontaminate,
     "op9_url_rules": op9_url_rules,
     "op10_chat_format": op10_chat_format,
 }
