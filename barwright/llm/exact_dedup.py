@@ -46,7 +46,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
         counts = split.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first")).where("n > 1")
         # numbers of groups need only tell apart those that share no key, so the row of the table will do
         groups = scratch.keep(counts.withColumn("next", F.monotonically_increasing_id()), f"groups{level}")
-        joined = split.join(groups, key, "left")
+        joined = split.join(groups.hint("merge"), key, "left")
         over = F.col("size") <= start + length
         settled = F.col("n").isNull() | over
         part = scratch.keep(
