@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, language, near_dedup, tiling, url_rules
+from . import chat, exact_dedup, language, near_dedup, pii, tiling, url_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,14 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "coverage", "n_tiles", "n_items", (F.col("n_items") > 0).alias("leaked"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(_table(spark, sf_dir, "documents"))
+    joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    of_kind = lambda k: F.filter("base_spans", lambda s: s["kind"] == k)
+    number = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *number, F.sha2(joined("base_spans"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
@@ -63,6 +71,7 @@ QUERIES = {
     "op4_language": op4_language,
     "op5_exact_dedup": op5_exact_dedup,
     "op7_decontaminate": op7_decontaminate,
+    "op8_pii": op8_pii,
     "op9_url_rules": op9_url_rules,
     "op10_chat_format": op10_chat_format,
 }
