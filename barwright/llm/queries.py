@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, html_text, language, near_dedup, pii, tiling, url_rules
+from . import chat, exact_dedup, html_text, language, near_dedup, pieces, pii, tiling, url_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +18,17 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+#: The model of the query and the pipeline; a path on the driver.
+PIECE_MODEL = os.environ.get("BARWRIGHT_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    both = pieces.decode(pieces.encode(docs, PIECE_MODEL), PIECE_MODEL)
+    same = F.col("decoded") == F.replace(F.coalesce("text", F.lit("")), F.lit(pieces.SPACE), F.lit(" "))
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), pieces.digest("ids").alias("ids_sha256"), same.alias("round_trip"))
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(_table(spark, sf_dir, "documents"))
 
@@ -72,6 +85,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_html_text": op1_html_text,
+    "op2_pieces": op2_pieces,
     "op3_near_dedup": op3_near_dedup,
     "op4_language": op4_language,
     "op5_exact_dedup": op5_exact_dedup,
