@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, html_text, language, near_dedup, pieces, pii, tiling, url_rules
+from . import chat, exact_dedup, html_text, language, near_dedup, pieces, pii, tiling, url_rules, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,34 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
 
+#: Page ids stand for times; each page is asked for again so much later, with the validator that it had.
+AGAIN_AFTER = 1000
+
+
+def captures(pages: DataFrame) -> DataFrame:
+    """Two records for each page: the full response, and the not-modified answer to a later request. By the length of
+    the html the validator is an ETag, a time, or there is none."""
+    size = F.coalesce(F.length("html"), F.lit(0)) % 3
+    etag, modified = F.concat(F.lit('"'), F.md5("html"), F.lit('"')), F.concat(F.lit("after "), F.length("html"))
+
+    def fields(first: dict, prefix: str) -> F.Column:
+        fixed = [F.lit(x) for k, v in first.items() for x in (k, v)]
+        validator = F.when(size == 0, F.create_map(F.lit("ETag"), F.concat(F.lit(prefix), etag))).when(size == 1, F.create_map(F.lit("Last-Modified"), modified))
+        return F.map_concat(F.create_map(*fixed, F.lit("Date"), F.col("fetched_at").cast("string")), F.coalesce(validator, F.expr("cast(map() as map<string,string>)")))
+
+    first = pages.select((F.col("page_id") * 2).alias("record_id"), "url", F.col("page_id").alias("fetched_at"), "html")
+    again = pages.select((F.col("page_id") * 2 + 1).alias("record_id"), "url", (F.col("page_id") + AGAIN_AFTER).alias("fetched_at"), "html")
+    first = first.select("record_id", "url", "fetched_at", F.lit("response").alias("type"), F.lit(200).alias("status"), fields({"Content-Type": "text/html", "Server": "one"}, "").alias("headers"), F.col("html").alias("body"))
+    again = again.select("record_id", "url", "fetched_at", F.lit("revisit").alias("type"), F.lit(304).alias("status"), fields({"Server": "two", "Expires": "never", "Content-Length": "0"}, "W/").alias("headers"), F.lit(None).cast("string").alias("body"))
+    return first.unionByName(again)
+
+
+def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve(captures(_table(spark, sf_dir, "pages")))
+    lines = F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))), "\n")
+    return found.select("record_id", "key", "refers_to", "verdict", F.sha2(lines, 256).alias("headers_sha256"), F.sha2("body", 256).alias("body_sha256"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = tiling.coverage(docs, _table(spark, sf_dir, "benchmark"))
@@ -89,6 +117,7 @@ QUERIES = {
     "op3_near_dedup": op3_near_dedup,
     "op4_language": op4_language,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_warc_revisits": op6_warc_revisits,
     "op7_decontaminate": op7_decontaminate,
     "op8_pii": op8_pii,
     "op9_url_rules": op9_url_rules,
@@ -101,6 +130,36 @@ ORACLE_SQL = {
         SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
                doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
         FROM d""",
+    "op6_warc_revisits": r"""
+        WITH u AS (
+            SELECT *, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS scheme, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^#]*)', 1) AS rest
+            FROM pages
+        ), p AS (
+            SELECT *, lower(regexp_replace(regexp_extract(rest, '^[^/?]*'), '^.*@', '')) AS host,
+                   regexp_replace(regexp_extract(rest, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
+                   list_sort(list_filter(string_split(regexp_extract(rest, '\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|gclid|fbclid)(=.*)?$'))) AS params
+            FROM u
+        ), k AS (
+            SELECT page_id, html, coalesce(length(html), 0) % 3 AS kind, '"' || md5(html) || '"' AS etag, 'after ' || length(html) AS modified,
+                   CASE WHEN scheme <> '' THEN
+                       regexp_replace(CASE scheme WHEN 'http' THEN regexp_replace(host, ':80$', '') WHEN 'https' THEN regexp_replace(host, ':443$', '') ELSE host END, '^www\.', '')
+                       || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END END AS key
+            FROM p
+        ), j AS (
+            SELECT a.*, f.page_id AS found, f.html AS stored,
+                   CASE a.kind WHEN 0 THEN f.kind = 0 AND f.etag = a.etag WHEN 1 THEN f.kind = 1 AND f.modified = a.modified ELSE f.kind = 2 END AS fits
+            FROM k a ASOF LEFT JOIN (SELECT * FROM k WHERE html IS NOT NULL AND key IS NOT NULL) f ON a.key = f.key AND a.page_id + 1000 > f.page_id
+        ), v AS (
+            SELECT *, CASE WHEN found IS NULL THEN 'missing' WHEN fits THEN 'resolved' ELSE 'changed' END AS verdict FROM j
+        )
+        SELECT page_id * 2 + 1 AS record_id, key, CASE WHEN verdict = 'resolved' THEN found * 2 END AS refers_to, verdict,
+               sha256(array_to_string(list_sort(list_filter([
+                   CASE WHEN verdict = 'resolved' THEN 'content-type: text/html' ELSE 'content-length: 0' END,
+                   'date: ' || (page_id + 1000), 'expires: never',
+                   CASE WHEN kind = 0 THEN 'etag: W/' || etag END, CASE WHEN kind = 1 THEN 'last-modified: ' || modified END,
+                   CASE WHEN verdict = 'resolved' THEN 'server: one' ELSE 'server: two' END], lambda x: x IS NOT NULL)), chr(10))) AS headers_sha256,
+               CASE WHEN verdict = 'resolved' THEN sha256(stored) END AS body_sha256
+        FROM v""",
     "op9_url_rules": r"""
         WITH u AS (
             SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
