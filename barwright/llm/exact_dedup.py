@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch
+from .shared import Scratch, set_aside
 
 #: Bytes of the first digit; each later one is eight times as long as the one before.
 FIRST_DIGIT = 64
@@ -65,3 +65,23 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     for part in done[1:]:
         out = out.unionByName(part)
     return out.select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("doc_id").isNull() & F.col("keep_id").isNull()).alias("kept"), "text_sha256")
+
+
+def without_copies(docs: DataFrame) -> DataFrame:
+    """The rows of `docs` less all but one of each group of equal texts, with all their columns as they were.
+
+    The row with the smallest doc_id stays; of rows that share it, and where all ids are null, any one does. Null texts
+    are equal to empty ones. The radix groups decide what is equal; the digest only tells apart the texts of rows
+    that share an id.
+    """
+    rows, back = set_aside(docs, ("copy_id", "copy_sha", "copy_n"))
+    kept = exact_groups(docs).where("kept").groupBy(F.col("doc_id").alias("copy_id"), F.col("text_sha256").alias("copy_sha")).agg(F.count(F.lit(1)).alias("copy_n"))
+    kept = Scratch(docs.sparkSession, "kept").keep(kept, "kept")
+    sha = F.sha2(F.encode(normalised(F.col("text")), "utf-8"), 256)
+
+    def those(of: DataFrame) -> DataFrame:
+        return rows.join(of, F.col("doc_id").eqNullSafe(F.col("copy_id")) & (sha == F.col("copy_sha")), "left_semi")
+
+    repeats = kept.where("copy_n > 1")
+    once = those(kept.where("copy_n = 1"))
+    return back(once.unionByName(those(repeats).withColumn("copy_sha", sha).dropDuplicates(["doc_id", "copy_sha"]).drop("copy_sha")))

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import set_aside
 from .words import chunks
 
 ORDER = 5
@@ -275,3 +276,9 @@ def identify(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
                 yield pa.record_batch(columns, names=[*part.schema.names, *added])
 
     return docs.mapInArrow(run, schema)
+
+
+def accepted(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """The rows of `docs` that `identify` doesn't reject, with all their columns as they were."""
+    rows, back = set_aside(docs, ("held_out", "lang_pred", "score", "rejected"))
+    return back(identify(rows, settings).where(~F.col("rejected")))

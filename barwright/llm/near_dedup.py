@@ -204,3 +204,12 @@ def near_groups(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     out = signed.join(members, key, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def without_near_copies(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """The rows of `docs` less all documents of a component but the one with its smallest doc_id, with all their columns.
+
+    Rows with null ids stay, and so do rows that repeat the doc_id that stays.
+    """
+    go = near_groups(docs, settings).where("not kept").select(F.col("doc_id").alias("copy_id")).distinct()
+    return docs.join(go, F.col("doc_id") == F.col("copy_id"), "left_anti")

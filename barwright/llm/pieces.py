@@ -298,3 +298,8 @@ def decode(tokens: DataFrame, model_file: str, ids: str = "ids", text: str = "de
 
 def digest(ids: str) -> F.Column:
     return F.sha2(F.array_join(F.transform(ids, lambda i: i.cast("string")), ","), 256)
+
+
+def same_text(text: F.Column, decoded: F.Column) -> F.Column:
+    """Whether the round trip gave the text (null is empty), the block that stands for a space read as one."""
+    return decoded == F.replace(F.coalesce(text, F.lit("")), F.lit(SPACE), F.lit(" "))

@@ -25,7 +25,7 @@ PIECE_MODEL = os.environ.get("BARWRIGHT_PIECE_MODEL", "/opt/tokenizers/piece_bpe
 def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     both = pieces.decode(pieces.encode(docs, PIECE_MODEL), PIECE_MODEL)
-    same = F.col("decoded") == F.replace(F.coalesce("text", F.lit("")), F.lit(pieces.SPACE), F.lit(" "))
+    same = pieces.same_text(F.col("text"), F.col("decoded"))
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), pieces.digest("ids").alias("ids_sha256"), same.alias("round_trip"))
 
 

@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +21,14 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def set_aside(df: DataFrame, names: Iterable[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The frame with columns of these names (in any case) called otherwise, and what gives back the first names and no
+    other columns."""
+    taken = {n.lower() for n in names}
+    other = {c: f"own {i} {c}" if c.lower() in taken else c for i, c in enumerate(df.columns)}
+    return df.withColumnsRenamed({c: o for c, o in other.items() if c != o}), lambda out: out.select(*[out[f"`{o}`"].alias(c) for c, o in other.items()])
+
+
 class Scratch:
     """Names for the tables of one operator call. A written table cuts the lineage and outlives a lost executor."""
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
+from .shared import set_aside
 
 
 @dataclass(frozen=True)
@@ -167,5 +168,6 @@ def coverage(docs: DataFrame, benchmark: DataFrame, settings: Settings = Setting
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """The rows of `docs` that cover no item to the threshold, with the columns that they had."""
-    return coverage(docs, benchmark, settings).where(F.col("n_items") == 0).select(docs.columns)
+    """The rows of `docs` that cover no item to the threshold, with all their columns as they were."""
+    rows, back = set_aside(docs, ADDED)
+    return back(coverage(rows, benchmark, settings).where(F.col("n_items") == 0))
