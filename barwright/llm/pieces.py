@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import threading
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,9 +14,21 @@ from pyspark.sql import functions as F
 from .words import chunks
 
 SPACE = "▁"
-#: Words kept with their pieces by a worker; when they are more, it starts afresh. Longer words are not kept.
-CACHE_WORDS, CACHE_LENGTH = 200_000, 48
-_ID_BITS, _LENGTH_BITS = 22, 10
+#: Words with their ids, and pairs of pieces with the answer, that a worker keeps; when they are more, it starts afresh.
+CACHE_WORDS, CACHE_PAIRS = 500_000, 400_000
+#: Characters of words that are indexed at once; a longer word is indexed alone.
+WORK_CHARS = 1 << 18
+_ID_BITS, _SLOT_BITS = 22, 20
+
+
+def _search(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, want: np.ndarray) -> np.ndarray:
+    """The first place in each sorted range [lo, hi) of the values that is not below what is wanted there."""
+    lo, hi = lo.copy(), hi.copy()
+    while (open_ := lo < hi).any():
+        mid = (lo + hi) >> 1
+        less = open_ & (values[np.minimum(mid, len(values) - 1)] < want)
+        lo, hi = np.where(less, mid + 1, lo), np.where(open_ & ~less, mid, hi)
+    return lo
 
 
 class Vocabulary:
@@ -49,13 +62,20 @@ class Vocabulary:
         self.by_word = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.id)
         self.longest = max(map(len, self.id))
 
+    def decode(self, ids: list[int]) -> str:
+        """The text of token ids. The space that encoding puts in front goes; the block that stands for a space in
+        pieces (U+2581) reads as a space; bytes that are no UTF-8 become U+FFFD."""
+        table = self.bytes_of
+        text = b"".join([table[i] for i in ids]).decode("utf-8", "replace").replace(SPACE, " ")
+        return text[1:] if text[:1] == " " else text
+
 
 class Codec:
     """Encodes batches of texts with one vocabulary.
 
     The distinct words of a batch are concatenated and indexed in a suffix array, sorted as deep as the longest piece.
-    Every piece is looked up by binary search, one character after the other; the suffixes in its range are its
-    occurrences, and each is an edge of the text from its start to its end. Edges are sorted by position and relaxed
+    Every piece is looked up by binary search for both ends of its range; the suffixes in the range are its
+    occurrences, and each is an edge of the text from its start to its end. Edges are sorted by position in the word and relaxed
     in that order: a position's entry is the last piece of the encoding of the text up to it. An edge from a settled
     position may end there if no merge across the seam of the last piece and the new one would come first. Merges
     depend on their neighbours only, so a text whose neighbours all agree in this way is merged as it would be in whole,
@@ -73,8 +93,13 @@ class Codec:
         self.text_of = {i: p for p, i in self.v.id.items()}
         self.known = np.unique(self.codes[self.lengths == 1, 0])
         self.fits: dict[int, bool] = {}
+        self.slot_keys, self.slot_fits = np.full(1 << _SLOT_BITS, -1, np.int64), np.zeros(1 << _SLOT_BITS, bool)
         self.edges_of: dict[str, tuple[frozenset[str], frozenset[str]]] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.ids, self.counts, self.begins = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def merge(self, text: str, seam: int = 0) -> list[str] | None:
         """The pieces of a short text by merging the best-ranked neighbours, leftmost first; None as soon as a merge
@@ -126,129 +151,159 @@ class Codec:
         return self.merge(prior + piece, len(prior)) is not None
 
     def _edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ends, starts and tokens of all edges, by end, then longest first. Code 0 stands between words."""
-        n = len(codes)
-        _, rank = np.unique(codes, return_inverse=True)
-        rank = rank.astype(np.int64) + 1
-        depth = 1
-        while depth < self.v.longest:
-            key = rank * np.int64(n + 2)
-            if depth < n:
-                key[: n - depth] += rank[depth:]
-            _, rank = np.unique(key, return_inverse=True)
-            rank = rank.astype(np.int64) + 1
-            depth *= 2
-        suffixes = np.argsort(rank, kind="stable")
-        padded = np.append(codes, np.zeros(self.v.longest, np.int64))
-        lo, hi = np.zeros(len(self.lengths), np.int64), np.full(len(self.lengths), n, np.int64)
-        live = np.arange(len(self.lengths))
-        for j in range(self.v.longest):
-            live = live[(self.lengths[live] > j) & (lo[live] < hi[live])]
-            if not len(live):
-                break
-            for bound, step in ((lo, 0), (hi, 1)):
-                want = self.codes[live, j] + step
-                a, b = lo[live].copy(), hi[live].copy()
-                if step:
-                    a = lo_new
-                while True:
-                    open_ = a < b
-                    if not open_.any():
-                        break
-                    mid = (a + b) >> 1
-                    less = padded[suffixes[np.minimum(mid, n - 1)] + j] < want
-                    a = np.where(open_ & less, mid + 1, a)
-                    b = np.where(open_ & ~less, mid, b)
-                if step:
-                    hi[live] = a
-                else:
-                    lo_new = a
-            lo[live] = lo_new
-        count = np.maximum(hi - lo, 0)
+        """Ends, starts and tokens of all edges. Code 0 stands between words.
+
+        A suffix's first characters, as deep as the longest piece, are packed into a few numbers, which sort the array
+        and are what the binary searches compare.
+        """
+        n, longest = len(codes), self.v.longest
+        alphabet, symbol = np.unique(codes, return_inverse=True)
+        bits = int(len(alphabet)).bit_length()
+        width = min(62 // bits, longest)  # characters of one number
+        padded = np.append(symbol.astype(np.int64) + 1, np.zeros(longest + width, np.int64))
+        one = np.zeros(n + longest, np.int64)
+        for j in range(width):
+            one <<= np.int64(bits)
+            one |= padded[j : j + n + longest]
+        numbers = [one[i : i + n] for i in range(0, longest, width)]
+        suffixes = np.lexsort(numbers[::-1]) if len(numbers) > 1 else np.argsort(numbers[0], kind="stable")
+        numbers = [x[suffixes] for x in numbers]
+        at = np.minimum(np.searchsorted(alphabet, self.codes), len(alphabet) - 1)
+        possible = np.flatnonzero(((alphabet[at] == self.codes) | (self.codes == 0)).all(axis=1))
+        length = self.lengths[possible]
+        piece = np.where(self.codes[possible] > 0, at[possible] + 1, 0)
+        piece = np.pad(piece, ((0, 0), (0, width)))
+        lo, hi = np.zeros(len(possible), np.int64), np.full(len(possible), n, np.int64)
+        for level, sorted_ in enumerate(numbers):
+            live = np.flatnonzero((length > level * width) & (lo < hi))
+            low = np.zeros(len(live), np.int64)
+            for j in range(width):
+                low = low << np.int64(bits) | piece[live, level * width + j]
+            rest = np.maximum(width - (length[live] - level * width), 0)
+            high = low + (np.int64(1) << (rest * bits))
+            if level == 0:
+                lo[live], hi[live] = np.searchsorted(sorted_, low), np.searchsorted(sorted_, high)
+                continue
+            lo[live], hi[live] = (_search(sorted_, lo[live], hi[live], want) for want in (low, high))
+        count = hi - lo
         of = np.repeat(np.arange(len(count)), count)
         start = suffixes[np.repeat(lo, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
-        length, token = self.lengths[of], self.piece_ids[of]
         strange = np.flatnonzero((codes > 0) & ~np.isin(codes, self.known))
-        start = np.append(start, strange)
-        length = np.append(length, np.ones(len(strange), np.int64))
-        token = np.append(token, self.v.size + codes[strange] - 1)
-        longest = (1 << _LENGTH_BITS) - 1
-        packed = np.sort(((start + length) << np.int64(_ID_BITS + _LENGTH_BITS)) | ((longest - length) << np.int64(_ID_BITS)) | token)
-        end = packed >> np.int64(_ID_BITS + _LENGTH_BITS)
-        return end, end - (longest - ((packed >> np.int64(_ID_BITS)) & longest)), packed & np.int64((1 << _ID_BITS) - 1)
-
-    def _encode_words(self, words: list[str]) -> list[tuple[int, ...]]:
+        end = np.append(start + length[of], strange + 1)
+        return end, np.append(start, strange), np.append(self.piece_ids[possible[of]], self.v.size + codes[strange] - 1)
+
+    def _all_fit(self, before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        """`_fits` of many pairs: looked up in a table of recent pairs, and each other one asked once."""
+        keys = before << np.int64(_ID_BITS) | tokens
+        slots = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOT_BITS)
+        out = self.slot_fits[slots]
+        miss = np.flatnonzero(self.slot_keys[slots] != keys)
+        if len(miss):
+            fits = self.fits
+            asked, inverse = np.unique(keys[miss], return_inverse=True)
+            got = [fits.get(k) for k in asked.tolist()]
+            for i in [i for i, x in enumerate(got) if x is None]:
+                k = int(asked[i])
+                got[i] = fits[k] = self._fits(k >> _ID_BITS, k & ((1 << _ID_BITS) - 1))
+            if len(fits) > CACHE_PAIRS:
+                fits.clear()
+            out[miss] = np.array(got, bool)[inverse]
+            self.slot_keys[slots[miss]], self.slot_fits[slots[miss]] = keys[miss], out[miss]
+        return out
+
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words in one array, and their number by word."""
         joined = "\x00".join(words)
         codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.int64) + 1
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         ends = np.cumsum(sizes + 1) - 1
         codes[ends[:-1]] = 0
-        end_of, start_of, token_of = self._edges(codes)
+        end, start, token = self._edges(codes)
         begins = ends - sizes
         free, first = -2, -1
-        last, back = [free] * (len(codes) + 1), [0] * (len(codes) + 1)
-        for b in begins.tolist():
-            last[b] = first
-        fits, width = self.fits, np.int64(1 << _ID_BITS).item()
-        for end, start, token in zip(end_of.tolist(), start_of.tolist(), token_of.tolist(), strict=True):
-            before = last[start]
-            if before == free or last[end] != free:
-                continue
-            key = before * width + token
-            ok = fits.get(key)
-            if ok is None:
-                ok = fits[key] = self._fits(before, token)
-            if ok:
-                last[end], back[end] = token, start
-        if len(fits) > 4_000_000:
-            fits.clear()
-        out, size = [], self.v.size
-        for b, e in zip(begins.tolist(), ends.tolist(), strict=True):
-            tokens = []
-            while e > b:
-                t = last[e]
-                if t < size:
-                    tokens.append(t)
-                else:
-                    tokens += [self.v.byte.get(x, self.v.unknown) for x in reversed(chr(t - size).encode())]
-                e = back[e]
-            tokens.reverse()
-            out.append(tuple(tokens))
-        return out
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
+        last, back = np.full(len(codes) + 1, free), np.zeros(len(codes) + 1, np.int64)
+        last[begins] = first
+        # all words at once, by the place in the word where an edge ends
+        most = int(sizes.max())
+        word_start = np.zeros(len(codes) + 1, np.int64)
+        word_start[:-1] = np.repeat(begins, sizes + 1)[: len(codes)]
+        place = (end - word_start[start]).astype(np.uint16 if most < 1 << 16 else np.int64)
+        order = np.argsort(place, kind="stable")
+        cuts = np.searchsorted(place[order], np.arange(1, most + 2))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if a < b:
+                e, s, t = (x[order[a:b]] for x in (end, start, token))
+                ok = last[s] != free
+                ok[ok] = self._all_fit(last[s[ok]], t[ok])
+                last[e[ok]], back[e[ok]] = t[ok], s[ok]
+        # back from the ends, a token of every word at a time
+        at, word, found = ends.copy(), np.arange(len(words)), []
+        while len(word):
+            found.append((word, last[at]))
+            at = back[at]
+            more = at > begins[word]
+            at, word = at[more], word[more]
+        steps = np.repeat(np.arange(len(found)), [len(w) for w, _ in found])
+        word, tokens = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+        order = np.lexsort((-steps, word))
+        word, tokens = word[order], tokens[order]
+        strange = np.flatnonzero(tokens >= self.v.size)
+        if len(strange):
+            bytes_of = [[self.v.byte.get(x, self.v.unknown) for x in chr(t - self.v.size).encode()] for t in tokens[strange].tolist()]
+            n = np.ones(len(tokens), np.int64)
+            n[strange] = list(map(len, bytes_of))
+            word, tokens, was = np.repeat(word, n), np.repeat(tokens, n), np.repeat(tokens >= self.v.size, n)
+            tokens[was] = [x for b in bytes_of for x in b]
+        return tokens.astype(np.int32), np.bincount(word, minlength=len(words))
+
+    def _learn(self, new: list[str]) -> None:
+        """Encodes words that are not kept, so many characters at a time, and keeps their ids."""
+        ids, counts = [self.ids], [self.counts]
+        at = 0
+        while at < len(new):
+            to, n = at, 0
+            while to < len(new) and (to == at or n + len(new[to]) <= WORK_CHARS):
+                n += len(new[to])
+                to += 1
+            got = self._encode_words(new[at:to])
+            ids.append(got[0])
+            counts.append(got[1])
+            at = to
+        for w in new:
+            self.number[w] = len(self.number)
+        self.ids, self.counts = np.concatenate(ids), np.concatenate(counts)
+        self.begins = np.cumsum(self.counts) - self.counts
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in one array, and the texts' bounds in it."""
         split = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if self.v.by_word else r"(?s).+").findall
         parts = [split(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        known = self.words
-        new = list({w for p in parts for w in p if w not in known})
-        found = dict(zip(new, self._encode_words(new), strict=True)) if new else {}
-        out = []
-        for p in parts:
-            ids: list[int] = []
-            for w in p:
-                got = known.get(w)
-                ids += found[w] if got is None else got
-            out.append(ids)
-        if len(known) + len(found) > CACHE_WORDS:
-            known.clear()
-        for w in new[: max(0, CACHE_WORDS - len(known))]:
-            if len(w) <= CACHE_LENGTH:
-                known[w] = found[w]
-        return out
-
-    def decode(self, ids: list[int]) -> str:
-        """The text of token ids. The space that encoding puts in front goes; the block that stands for a space in
-        pieces (U+2581) reads as a space; bytes that are no UTF-8 become U+FFFD."""
-        table = self.v.bytes_of
-        text = b"".join([table[i] for i in ids]).decode("utf-8", "replace").replace(SPACE, " ")
-        return text[1:] if text[:1] == " " else text
-
-
+        flat = [w for p in parts for w in p]
+        if len(self.number) > CACHE_WORDS or len(self.ids) > 8 * CACHE_WORDS:
+            self._forget()
+        new = set(flat).difference(self.number)
+        if new:
+            self._learn(list(new))
+        word = np.fromiter(map(self.number.__getitem__, flat), np.int64, len(flat))
+        n = self.counts[word]
+        upto = np.zeros(len(flat) + 1, np.int64)
+        np.cumsum(n, out=upto[1:])
+        ids = self.ids[np.repeat(self.begins[word] - upto[:-1], n) + np.arange(upto[-1])]
+        bounds = np.zeros(len(texts) + 1, np.int64)
+        np.cumsum(list(map(len, parts)), out=bounds[1:])
+        return ids, upto[bounds]
+
+
+#: Seconds without a task after which a worker gives up its codec, and the memory of what that has learnt.
+KEEP_SECONDS = 3.0
 _codecs: dict[int, Codec] = {}
+_timers: list[threading.Timer] = []
 
 
 def _codec(shared) -> Codec:
     """A worker's codec, kept from task to task for its words."""
+    while _timers:
+        _timers.pop().cancel()
     key = id(shared.value)
     if key not in _codecs:
         _codecs.clear()
@@ -256,24 +311,36 @@ def _codec(shared) -> Codec:
     return _codecs[key]
 
 
-def encode(docs: DataFrame, model_file: str, text: str = "text", ids: str = "ids") -> DataFrame:
+def _give_up_later() -> None:
+    timer = threading.Timer(KEEP_SECONDS, _codecs.clear)
+    timer.daemon = True
+    _timers.append(timer)
+    timer.start()
+
+
+def encode(docs: DataFrame, model_file: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """The rows of `docs` with the token ids of the text column added (array of int), as the model's own library gives
-    them. Null and empty texts have no tokens; texts of any length are encoded whole; rows are encoded one by one; a
-    column of the added name is replaced; an empty table gives no rows."""
+    them; if `decoded` is a name, also the text that `decode` would give, found in the same pass.
+
+    Null and empty texts have no tokens; texts of any length are encoded whole; rows are encoded one by one; columns
+    of the added names are replaced; an empty table gives no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(model_file))
-    rows = docs.drop(ids)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", `{ids}` array<int>"
+    added = [ids, *([decoded] if decoded else [])]
+    rows = docs.drop(*added)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", `{ids}` array<int>" + f", `{decoded}` string" * bool(decoded)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)
         for batch in batches:
             for begin, end in chunks(batch.column(text)):
                 part = batch.slice(begin, end - begin)
-                got = codec.encode([t or "" for t in part.column(text).to_pylist()])
-                offsets = np.zeros(len(got) + 1, np.int32)
-                np.cumsum([len(x) for x in got], out=offsets[1:])
-                flat = np.fromiter((i for x in got for i in x), np.int32, int(offsets[-1]))
-                yield pa.record_batch([*part.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=[*part.schema.names, ids])
+                flat, bounds = codec.encode([t or "" for t in part.column(text).to_pylist()])
+                new = [pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat))]
+                if decoded:
+                    new.append(pa.array([codec.v.decode(flat[i:j].tolist()) for i, j in zip(bounds[:-1], bounds[1:], strict=True)], pa.string()))
+                yield pa.record_batch([*part.columns, *new], names=[*part.schema.names, *added])
+        del codec
+        _give_up_later()
 
     return rows.mapInArrow(run, schema)
 
@@ -286,18 +353,17 @@ def decode(tokens: DataFrame, model_file: str, ids: str = "ids", text: str = "de
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", `{text}` string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared)
         for batch in batches:
             for begin in range(0, batch.num_rows, 500):
                 part = batch.slice(begin, 500)
-                got = [None if x is None else codec.decode(x) for x in part.column(ids).to_pylist()]
+                got = [None if x is None else shared.value.decode(x) for x in part.column(ids).to_pylist()]
                 yield pa.record_batch([*part.columns, pa.array(got, pa.string())], names=[*part.schema.names, text])
 
     return rows.mapInArrow(run, schema)
 
 
 def digest(ids: str) -> F.Column:
-    return F.sha2(F.array_join(F.transform(ids, lambda i: i.cast("string")), ","), 256)
+    return F.sha2(F.col(ids).cast("string"), 256)
 
 
 def same_text(text: F.Column, decoded: F.Column) -> F.Column:

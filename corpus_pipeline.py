@@ -33,7 +33,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens, ids and round_trip (whether the ids decode to the text) of each document."""
-    both = pieces.decode(pieces.encode(docs.select("doc_id", "source", "text"), PIECE_MODEL), PIECE_MODEL)
+    both = pieces.encode(docs.select("doc_id", "source", "text"), PIECE_MODEL, decoded="decoded")
     return both.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", pieces.same_text(F.col("text"), F.col("decoded")).alias("round_trip"))
 
 

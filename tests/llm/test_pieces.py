@@ -23,13 +23,14 @@ def test_ids_equal_the_library(codec, library):
     rng = np.random.default_rng(9)
     atoms = ["the", "ing", "a", "  ", " ", "\n", "\t", "ü", "é", "ß", "日", "本", "語", "😀", "\x00", "▁", "1", "23", ".", "<s>", "tion", "un", "Hello", "мир", "аа", "́", "aaaa", "ab", "　", "𝒳"]
     texts = ["".join(rng.choice(atoms, int(rng.integers(0, 40)))) for _ in range(3000)]
-    texts += ["", " ", " " * 77, "a" * 500, "the" * 300, "x" * 3000, "ab " * 999, "▁" * 40, "".join(map(chr, range(1, 3000)))]
+    texts += ["", "ab" * 150_000, "日" * 2000 + "the" * 99_000, " ", " " * 77, "a" * 500, "the" * 300, "x" * 3000, "ab " * 999, "▁" * 40, "".join(map(chr, range(1, 3000)))]
     for i in range(0, len(texts), 700):
         part = texts[i : i + 700]
-        assert codec.encode(part) == library.encode(part, num_threads=1)
+        ids, bounds = codec.encode(part)
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == library.encode(part, num_threads=1)
     for t in texts:
         ids = library.encode(t)
-        assert codec.decode(ids) == library.decode(ids) == t.replace("▁", " ")
+        assert codec.v.decode(ids) == library.decode(ids) == t.replace("▁", " ")
 
 
 def test_edge_cases(spark, codec):
@@ -37,4 +38,6 @@ def test_edge_cases(spark, codec):
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'z' as ids")
     got = pieces.decode(pieces.encode(df, MODEL), MODEL).collect()
     assert sorted(map(str, ((r.doc_id, r.decoded) for r in got))) == sorted(map(str, ((i, t or "") for i, t in rows)))
+    at_once = pieces.encode(df, MODEL, decoded="decoded").collect()
+    assert sorted(map(str, at_once)) == sorted(map(str, got))
     assert pieces.encode(df.where("false"), MODEL).count() == 0
