@@ -12,13 +12,13 @@ def _large_star(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """Each node's larger neighbours are linked with the smallest node of its neighbourhood."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = scratch.keep(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("least")), name)
-    return both.where("b > a").join(least, "a").select(F.col("least").alias("a"), "b").where("a < b").distinct()
+    return both.where("b > a").join(least.hint("merge"), "a").select(F.col("least").alias("a"), "b").where("a < b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours are linked with the smallest of them. Edges have a < b."""
     least = edges.groupBy("b").agg(F.min("a").alias("least"))
-    joined = edges.join(least, "b")
+    joined = edges.join(least.hint("merge"), "b")
     return joined.select(F.col("least").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a < b").distinct()
 
 

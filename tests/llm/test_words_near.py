@@ -39,8 +39,8 @@ def test_sets_have_the_sizes_of_sets():
     assert values[bounds[2]] == values[bounds[3]]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_groups_equal_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "block_docs"), [(1, 1000), (2, 1000), (3, 3)])
+def test_groups_equal_brute_force(spark, seed, block_docs):
     rng = np.random.default_rng(seed)
     vocab = [f"w{i}" for i in range(300)]
     rows, i = [], 0
@@ -57,10 +57,37 @@ def test_groups_equal_brute_force(spark, seed):
             i += 1
     rows += [(i, None), (i + 1, ""), (i + 2, " \t"), (i + 3, "Same"), (i + 4, "same")]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as a", "'x' as bucket", "2 as component")
-    got = {tuple(r) for r in near_dedup.near_groups(df).collect()}
+    got = {tuple(r) for r in near_dedup.near_groups(df, near_dedup.Settings(block_docs=block_docs)).collect()}
     assert got == brute(rows)
 
 
+def test_intersections_equal_brute_force():
+    rng = np.random.default_rng(7)
+    for n in (2, 30):
+        sets = [np.unique(rng.integers(0, 60, int(rng.integers(0, 40)))) for _ in range(n)]
+        rows = np.flatnonzero(rng.random(n) < 0.7)
+        want = [[len(set(sets[i].tolist()) & set(x.tolist())) for x in sets] for i in rows]
+        assert near_dedup.intersections(sets, rows, columns=7).reshape(len(rows), n).tolist() == want
+
+
+def test_blocks_over_batches():
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1000, 40).astype(np.uint64)
+    table = {c: [] for c in ("bucket", "i", "j", "doc_id", "component", "role", "set")}
+    for bucket in range(6):
+        for d in range(int(rng.integers(2, 7))):
+            x = np.unique(np.append(base[: int(rng.integers(30, 40))], rng.integers(0, 1000, 2).astype(np.uint64)))
+            for c, v in zip(table, (bucket, 0, bucket % 2, bucket * 10 + d, bucket * 10 + d % 3, 3, x.tobytes()), strict=True):
+                table[c].append(v)
+    whole = pa.record_batch(table)
+    want = None
+    for step in (100, 1, 3, 5):
+        run = near_dedup._within_blocks(near_dedup.Settings(), np.uint64)
+        got = pa.Table.from_batches(run(whole.slice(i, step) for i in range(0, whole.num_rows, step))).to_pylist()
+        want = want or got
+        assert got == want and got
+
+
 def test_edge_cases(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert near_dedup.near_groups(empty).count() == 0
