@@ -17,6 +17,8 @@ ORDER = 5
 #: Bits of a symbol, so that ORDER of them make one key.
 BITS = 6
 SPACE, OTHER = 1, 2
+#: Bytes of text judged at once.
+CHUNK_BYTES = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -269,7 +271,7 @@ def identify(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin, end in chunks(batch.column("text")):
+            for begin, end in chunks(batch.column("text"), CHUNK_BYTES):
                 part = batch.slice(begin, end - begin)
                 lang, score, rejected = shared.value.predict([t or "" for t in part.column("text").to_pylist()])
                 columns = [*part.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)]
