@@ -1,2 +1,384 @@
-QUERIES = {}
-ORACLE_SQL = {}
+"""Queries of scans, loading, joins, checks, splits, metrics, selection and serving, and their SQL."""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from barwright.operators import inference, ingest, metrics, prepare, selection, train, validate
+from barwright.plans import frames
+from barwright.plans.features import add_features
+from barwright.schema import PRICES, RUN
+from barwright.scratch import shared_dir
+from barwright.sources import bars as B
+from barwright.sources.store import newest
+from barwright.streaming import bars as S
+
+from .sql import BARS, div, lag, roll, staged
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def oracle(name: str, sql: str, *tables: str) -> None:
+    """SQL over bar views, which are put in front."""
+    ORACLE_SQL[name] = f"WITH {', '.join(f'{t} AS ({BARS[t]})' for t in tables)} {sql}" if tables else sql
+
+
+# scans and reshaping
+
+
+@query
+def s01_wide_to_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.long(B.wide(B.stock_bars(spark, sf_dir), ("A", "N", "R"))).select("Date", "Ticker", *PRICES, "Volume")
+
+
+oracle("s01_wide_to_long", "SELECT * FROM bars", "bars")
+
+
+@query
+def s03_range_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.between(B.normalise(B.stock_bars(spark, sf_dir)), "1994-03-01", "1996-02-29", ["a", "R"])
+
+
+oracle("s03_range_scan", """SELECT * FROM bars WHERE "Date" BETWEEN DATE '1994-03-01' AND DATE '1996-02-29' AND "Ticker" IN ('A', 'R')""", "bars")
+
+
+@query
+def s06_insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    new = B.stock_bars(spark, sf_dir)
+    return ingest.absent(new.unionByName(new), new.where("Date < '1997-06-01' AND Ticker != 'N'"), ("Ticker", "Date"))
+
+
+oracle("s06_insert_if_absent", """SELECT * FROM bars WHERE NOT ("Date" < DATE '1997-06-01' AND "Ticker" <> 'N')""", "bars")
+
+
+@query
+def d01_event_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.event_bars(spark, sf_dir)
+
+
+oracle("d01_event_bars", "SELECT * FROM bars_evt", "bars_evt")
+
+
+@query
+def d02_market_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.market_bars(spark, sf_dir)
+
+
+oracle("d02_market_bars", "SELECT * FROM spy UNION ALL SELECT * FROM vix", "spy", "vix")
+
+
+# incremental loading
+
+
+@query
+def i01_latest_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.latest_dates(B.stock_bars(spark, sf_dir), ["A", "N", "X"])
+
+
+oracle("i01_latest_dates", """SELECT "Ticker", max("Date") AS latest FROM bars WHERE "Ticker" IN ('A', 'N', 'X') GROUP BY 1""", "bars")
+
+
+@query
+def i02_latest_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.latest_date(B.spy_bars(spark, sf_dir))
+
+
+oracle("i02_latest_date", 'SELECT max("Date") AS latest FROM spy', "spy")
+
+
+@query
+def i04_stock_start(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.stock_start(B.stock_bars(spark, sf_dir).where("Ticker != 'R' OR Date < '1996-01-01'"), ["A", "N", "R"], "2005-01-01", "2026-01-01")
+
+
+oracle("i04_stock_start", """SELECT CAST(min(s) AS DATE) AS start FROM (SELECT coalesce(max("Date") + INTERVAL 1 DAY, DATE '2005-01-01') AS s
+    FROM bars WHERE "Ticker" <> 'R' OR "Date" < DATE '1996-01-01' GROUP BY "Ticker") WHERE s < DATE '2026-01-01'""", "bars")
+
+
+@query
+def i05_market_start(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.market_start(B.spy_bars(spark, sf_dir), B.vix_bars(spark, sf_dir), "2005-01-01", "2026-01-01")
+
+
+oracle("i05_market_start", """SELECT CAST(least((SELECT max("Date") FROM spy), (SELECT max("Date") FROM vix)) + INTERVAL 1 DAY AS DATE) AS start""", "spy", "vix")
+
+
+@query
+def i06_one_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.one_series(B.market_bars(spark, sf_dir).withColumn("Volume", F.when(F.col("Volume") > 100, F.col("Volume"))), "SPY")
+
+
+oracle("i06_one_series", 'SELECT * REPLACE (CASE WHEN "Volume" > 100 THEN "Volume" ELSE 0 END AS "Volume") FROM spy', "spy")
+
+
+@query
+def i08_missing_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.missing_days(B.stock_bars(spark, sf_dir), "1990-01-01", "2001-01-01")
+
+
+oracle("i08_missing_days", """SELECT * FROM (SELECT DATE '1990-01-01' AS "first", CAST(min("Date") - INTERVAL 1 DAY AS DATE) AS "last" FROM bars
+    UNION ALL SELECT CAST(max("Date") + INTERVAL 1 DAY AS DATE), DATE '2000-12-31' FROM bars) WHERE "first" <= "last" """, "bars")
+
+
+# joins and frames
+
+
+@query
+def j01_merge_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spy = add_features(B.spy_bars(spark, sf_dir), [{"function": "create_spy_sma_ratio_feature", "kwargs": {"window_size": 5}}], ("Ticker", *frames.OHLCV))
+    vix = add_features(B.vix_bars(spark, sf_dir), [{"function": "create_vix_level_feature"}], ("Ticker", *frames.OHLCV))
+    out = frames.merge_dataframes(B.stock_bars(spark, sf_dir).select("Ticker", "Date", "Close"), spy, vix)
+    return out.withColumn("spy_sma_ratio_5", F.round("spy_sma_ratio_5", 6))
+
+
+oracle("j01_merge_context", f"""SELECT b."Ticker", b."Date", b."Close", round(s.r, 6) AS spy_sma_ratio_5, v."Close" AS vix_level FROM bars b
+    LEFT JOIN (SELECT "Date", {div('"Close"', roll("avg", '"Close"', 5))} AS r FROM spy) s USING ("Date") LEFT JOIN vix v USING ("Date")""", "bars", "spy", "vix")
+
+
+def _frame(model: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return frames.model_frame(B.stock_bars(spark, sf_dir), B.spy_bars(spark, sf_dir), B.vix_bars(spark, sf_dir), model)
+
+    return run
+
+
+QUERIES |= {"p02_lr_frame": _frame("lr"), "p03_xgb_frame": _frame("xgb"), "p04_mlp_frame": _frame("mlp")}
+
+
+# checks
+
+
+@query
+def v01_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = B.stock_bars(spark, sf_dir)
+    bad = good.where("Ticker = 'A'").withColumns({"High": F.col("High") * 0.5, "Volume": F.when(F.col("Volume") > 20, -F.col("Volume")), "Open": F.when(F.month("Date") > 1, F.col("Open"))})
+    return validate.report(good.unionByName(bad), ["A", "N"], "1992-06-01", "1998-06-01", 1, "1998-01-01")
+
+
+def _bad(rule: str) -> str:
+    return f"count(*) FILTER (WHERE {rule})"
+
+
+_T = 1e-4
+_RULES = {f"null_{c}": f'"{c}" IS NULL' for c in validate.COLUMNS} | {
+    "open_not_positive": '"Open" <= 0', "close_not_positive": '"Close" <= 0', "high_below_open": f'"High" < "Open" * {1 - _T!r}', "high_below_close": f'"High" < "Close" * {1 - _T!r}',
+    "high_below_low": f'"High" < "Low" * {1 - _T!r}', "low_above_open": f'"Low" > "Open" * {1 + _T!r}', "low_above_close": f'"Low" > "Close" * {1 + _T!r}', "volume_negative": '"Volume" < 0',
+    "in_future": "\"Date\" > DATE '1998-01-01'", "before_start": "\"Date\" < DATE '1992-06-01'", "after_end": "\"Date\" > DATE '1998-06-01'", "unknown_ticker": "\"Ticker\" NOT IN ('A', 'N')",
+}
+oracle("v01_report", f""", d AS (SELECT * FROM bars UNION ALL BY NAME SELECT "Date", "Ticker", CASE WHEN month("Date") > 1 THEN "Open" END AS "Open", "High" * 0.5 AS "High", "Low", "Close",
+        CASE WHEN "Volume" > 20 THEN -"Volume" END AS "Volume" FROM bars WHERE "Ticker" = 'A')
+    {' UNION ALL '.join(f"SELECT '{r}' AS rule, {_bad(x)} AS violations FROM d" for r, x in _RULES.items())}
+    UNION ALL SELECT 'repeated_key', CAST(coalesce(sum(n - 1), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM d GROUP BY "Ticker", "Date")
+    UNION ALL SELECT 'gap_too_long', {_bad("gap > 1")} FROM (SELECT "Date" - {lag('"Date"', 1)} AS gap FROM d)""".lstrip(), "bars")
+ORACLE_SQL["v01_report"] = ORACLE_SQL["v01_report"].replace(") , d AS", "), d AS")
+
+
+# split, outliers, metrics, selection
+
+_SMALL = [{"function": "create_range_percentage_feature"}, {"function": "create_relative_volume_feature", "kwargs": {"window_size": 5}}, {"function": "create_drawdown_feature", "kwargs": {"window_size": 20}}]
+_SMALL_SQL = staged([{"m": roll("avg", '"Volume"', 5), "k": roll("max", '"Close"', 20)}],
+                    {"range_percentage": div('"High" - "Low"', '"Close"'), "relative_volume_5": div('"Volume"', "m"), "drawdown_20": div('"Close" - k', "k")}, None)
+_SMALL_COLUMNS = ("range_percentage", "relative_volume_5", "drawdown_20")
+
+
+def _small(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return add_features(B.stock_bars(spark, sf_dir), _SMALL)
+
+
+@query
+def r05_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    early, late = prepare.split_train_test(B.stock_bars(spark, sf_dir).select("Ticker", "Date"), 0.8)
+    return early.withColumn("part", F.lit("train")).unionByName(late.withColumn("part", F.lit("test")))
+
+
+oracle("r05_split", """SELECT "Ticker", "Date", CASE WHEN row_number() OVER (ORDER BY "Date", "Ticker") <= floor(count(*) OVER () * 0.8) THEN 'train' ELSE 'test' END AS part FROM bars""", "bars")
+
+
+@query
+def a07_winsor_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounds = prepare.winsor_bounds(_small(spark, sf_dir), _SMALL_COLUMNS)
+    return spark.createDataFrame([(c, *map(lambda x: round(x, 6), b)) for c, b in bounds.items()], "name string, low double, high double")
+
+
+oracle("a07_winsor_bounds", f"WITH f AS ({_SMALL_SQL}) " + " UNION ALL ".join(f"SELECT '{c}' AS name, round(quantile_cont({c}, 0.01), 6) AS low, round(quantile_cont({c}, 0.99), 6) AS high FROM f" for c in _SMALL_COLUMNS))
+
+
+@query
+def m02_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = prepare.clip_outliers(_small(spark, sf_dir), _SMALL_COLUMNS)
+    return out.select("Ticker", "Date", *[F.round(c, 6).alias(c) for c in _SMALL_COLUMNS])
+
+
+_CUT = ", ".join(f"round(CASE WHEN {c} IS NOT NULL THEN least(greatest({c}, (SELECT quantile_cont({c}, 0.01) FROM f)), (SELECT quantile_cont({c}, 0.99) FROM f)) END, 6) AS {c}" for c in _SMALL_COLUMNS)
+oracle("m02_clip", f'WITH f AS ({_SMALL_SQL}) SELECT "Ticker", "Date", {_CUT} FROM f')
+
+
+@query
+def m01_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prepare.outlier_detection(_small(spark, sf_dir), _SMALL_COLUMNS).select("Ticker", "Date", "is_outlier")
+
+
+@query
+def a08_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = B.table(spark, sf_dir, "events").select((F.col("user_id") % 2).alias("label"), (F.col("value") / (1 + F.col("value"))).alias("probability"))
+    out = metrics.classification_metrics(events, threshold=0.9)
+    return out.select(*[F.round(c, 9).alias(c) for c in out.columns])
+
+
+oracle("a08_metrics", """WITH s AS (SELECT CAST(user_id % 2 AS DOUBLE) AS y, value / (1 + value) AS p FROM events WHERE user_id IS NOT NULL AND value IS NOT NULL),
+    g AS (SELECT p, sum(y) AS pos, sum(1 - y) AS neg FROM s GROUP BY p),
+    r AS (SELECT *, coalesce(sum(neg) OVER (ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g),
+    t AS (SELECT count(*) FILTER (WHERE p >= 0.9 AND y = 1) AS tp, count(*) FILTER (WHERE p >= 0.9 AND y = 0) AS fp, count(*) FILTER (WHERE p < 0.9 AND y = 1) AS fn, count(*) FILTER (WHERE p < 0.9 AND y = 0) AS tn FROM s)
+    SELECT round((SELECT sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)) FROM r), 9) AS roc_auc, round((tp + tn) / (tp + tn + fp + fn), 9) AS accuracy,
+           round(tp / (tp + fp), 9) AS "precision", round(tp / (tp + fn), 9) AS recall, round(2 * tp / (2 * tp + fp + fn), 9) AS f1 FROM t""")
+
+# Runs of an experiment (id, start, area under the curve, parent).
+_RUNS = [("a", 1, 0.82, "p"), ("b", 2, 0.91, "p"), ("c", 3, 0.91, "p"), ("d", 4, None, "p"), ("e", 5, 0.99, None)]
+
+
+def _runs(spark: SparkSession) -> DataFrame:
+    rows = [(i, "x", t, {}, {} if m is None else {"roc_auc": m}, {} if p is None else {selection.PARENT: p}) for i, t, m, p in _RUNS]
+    return spark.createDataFrame(rows, RUN)
+
+
+_RUNS_SQL = "(VALUES " + ", ".join(f"('{i}', CAST({t} AS BIGINT), {'NULL' if m is None else f'CAST({m} AS DOUBLE)'}, {'NULL' if p is None else repr(p)})" for i, t, m, p in _RUNS) + ") r(run_id, start_time, m, p)"
+
+
+@query
+def r06_best_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.best_run(selection.get_runs(_runs(spark), "x"))
+
+
+oracle("r06_best_run", f'SELECT run_id, start_time, m AS "value" FROM {_RUNS_SQL} WHERE m IS NOT NULL AND p IS NOT NULL ORDER BY m DESC, start_time DESC LIMIT 1')
+
+
+@query
+def r07_child_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.get_runs(_runs(spark), "x", 3).select("run_id", "start_time")
+
+
+oracle("r07_child_runs", f"SELECT run_id, start_time FROM {_RUNS_SQL} WHERE p IS NOT NULL ORDER BY start_time DESC LIMIT 3")
+
+
+@query
+def m08_champion_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    versions = spark.createDataFrame([("m", 1, "a", "champion"), ("m", 2, "b", None), ("other", 1, "z", "champion")], "name string, version int, run_id string, alias string")
+    name, version = selection.registered_version(versions, "b")
+    return selection.assign_alias(versions, name, version)
+
+
+oracle("m08_champion_alias", "SELECT * FROM (VALUES ('m', 1, 'a', NULL), ('m', 2, 'b', 'champion'), ('other', 1, 'z', 'champion')) v(name, version, run_id, alias)")
+
+
+# logs and serving
+
+
+@query
+def r03_recent_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = B.table(spark, sf_dir, "orders")
+    logs = orders.select(F.col("o_orderkey").alias("prediction_id"), F.col("o_orderdate").alias("timestamp"), F.col("o_orderstatus").alias("ticker"), F.col("o_totalprice").alias("probability"))
+    return newest(logs, 50)
+
+
+oracle("r03_recent_logs", 'SELECT o_orderkey AS prediction_id, o_orderdate AS "timestamp", o_orderstatus AS ticker, o_totalprice AS probability FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50')
+
+
+@query
+def p15_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = B.table(spark, sf_dir, "events").select("event_id", (F.col("value") / (1 + F.col("value"))).alias("p"))
+    return p.select("event_id", inference.confidence(F.col("p")).alias("confidence"))
+
+
+oracle("p15_confidence", "SELECT event_id, CASE WHEN value / (1 + value) >= 0.75 THEN 'High' WHEN value / (1 + value) >= 0.6 THEN 'Medium' ELSE 'Low' END AS confidence FROM events")
+
+
+@query
+def n07_bollinger_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = inference.bollinger_overlay(B.stock_bars(spark, sf_dir))
+    rows = one.select("Ticker", F.explode(F.arrays_zip("dates", "middle", "upper", "lower")).alias("r")).select("Ticker", "r.*")
+    return rows.select("Ticker", "dates", *[F.round(c, 4).alias(c) for c in ("middle", "upper", "lower")])
+
+
+oracle("n07_bollinger_overlay", f"""SELECT "Ticker", strftime("Date", '%Y-%m-%dT00:00:00') AS dates, round(m, 4) AS middle, round(m + 2 * s, 4) AS upper, round(m - 2 * s, 4) AS lower
+    FROM (SELECT *, {roll("avg", '"Close"', 20)} AS m, {roll("stddev_samp", '"Close"', 20)} AS s FROM bars)""", "bars")
+
+# Weights for the attribution query.
+_WEIGHTS = {"range_percentage": 1.5, "relative_volume_5": -0.25, "drawdown_20": 2.0}
+
+
+@query
+def n08_linear_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = inference.linear_attribution(_small(spark, sf_dir), _WEIGHTS, 2, 150)
+    return out.select("Ticker", "rank", "feature", F.round("value", 6).alias("value"), F.round("contribution", 6).alias("contribution"))
+
+
+oracle("n08_linear_attribution", f"""WITH f AS ({_SMALL_SQL}),
+    b AS (SELECT * FROM f WHERE {' AND '.join(f'{c} IS NOT NULL' for c in _SMALL_COLUMNS)} QUALIFY row_number() OVER (PARTITION BY "Ticker" ORDER BY "Date" DESC) <= 150),
+    x AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY "Ticker" ORDER BY "Date" DESC) = 1),
+    c AS ({' UNION ALL '.join(f"SELECT x.\"Ticker\", '{c}' AS feature, x.{c} AS value, {w} * (x.{c} - (SELECT avg(b.{c}) FROM b WHERE b.\"Ticker\" = x.\"Ticker\")) AS contribution FROM x" for c, w in _WEIGHTS.items())})
+    SELECT "Ticker", CAST(row_number() OVER (PARTITION BY "Ticker" ORDER BY abs(contribution) DESC, feature) AS INTEGER) AS rank, feature, round(value, 6) AS value, round(contribution, 6) AS contribution
+    FROM c QUALIFY rank <= 2""")
+
+
+@query
+def n09_market_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = B.stock_bars(spark, sf_dir).select("Ticker", "Date", F.when(F.month("Date") < 9, F.col("Volume") / 1000).alias("vix_level"), F.when(F.dayofmonth("Date") > 9, F.col("Close")).alias("spy_lag_return_1"))
+    return inference.market_overview(rows)
+
+
+oracle("n09_market_overview", """SELECT *, CASE WHEN vix_level >= 25 THEN 'Risk Off' WHEN vix_level >= 18 THEN 'Elevated' ELSE 'Risk On' END AS regime FROM (
+    SELECT "Ticker", arg_max("Close", "Date") FILTER (WHERE day("Date") > 9) AS spy_return, arg_max("Volume" / 1000, "Date") FILTER (WHERE month("Date") < 9) AS vix_level FROM bars GROUP BY 1)""", "bars")
+
+
+@query
+def w13_latest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inference.latest(B.stock_bars(spark, sf_dir))
+
+
+oracle("w13_latest_rows", 'SELECT * FROM bars QUALIFY row_number() OVER (PARTITION BY "Ticker" ORDER BY "Date" DESC) = 1', "bars")
+
+
+# models: small grids here, whole ones by default
+
+
+def _trained(spark: SparkSession, sf_dir: str, kind: str, values: dict) -> DataFrame:
+    df = frames.model_frame(B.stock_bars(spark, sf_dir), B.spy_bars(spark, sf_dir), B.vix_bars(spark, sf_dir), kind)
+    df = df.where(F.col("day_of_week").isin(*train.WEEKDAYS))  # markets are shut on the other days
+    early, late = prepare.split_train_test(prepare.complete_rows(df))
+    got = train.train_model(early, late, kind, values=values, folds=2)
+    return train.scored(got.model, late).select("Ticker", "Date", "prediction", "probability", inference.confidence(F.col("probability")).alias("confidence"))
+
+
+@query
+def m03_lr_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _trained(spark, sf_dir, "lr", {"C": (0.1,), "l1_ratio": (0.0,)})
+
+
+@query
+def m04_gbt_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _trained(spark, sf_dir, "xgb", {"n_estimators": (5,), "max_depth": (2,), "learning_rate": (0.1,)})
+
+
+# streams
+
+
+@query
+def t01_stream_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events through the streaming plan; the result is what the batch bars are."""
+    out = f"{shared_dir(spark)}/stream-bars-{uuid.uuid4().hex}"
+    bars = S.bars_of(spark.readStream.schema(S.EVENT_SCHEMA).parquet(f"{sf_dir}/events.parquet*"), late="60 days")
+    S.run_available(bars, f"{out}/table", f"{out}/checkpoint")
+    return spark.read.parquet(f"{out}/table")
+
+
+oracle("t01_stream_bars", "SELECT * FROM bars_evt", "bars_evt")
