@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import set_aside
-from .words import chunks
+from .words import chunks, give_back
 
 ORDER = 5
 #: Bits of a symbol, so that ORDER of them make one key.
@@ -276,6 +276,7 @@ def identify(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
                 lang, score, rejected = shared.value.predict([t or "" for t in part.column("text").to_pylist()])
                 columns = [*part.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)]
                 yield pa.record_batch(columns, names=[*part.schema.names, *added])
+        give_back()
 
     return docs.mapInArrow(run, schema)
 

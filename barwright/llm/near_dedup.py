@@ -93,6 +93,7 @@ def _sign(s: Settings):
                     ],
                     names=["doc_id", "n_shingles", "set_a", "set_b", "signature", "bands"],
                 )
+        words.give_back()
 
     return run
 
@@ -121,6 +122,7 @@ def _sets(s: Settings):
                 whole = [values[i:j].tobytes() for i, j in at]
                 short = [np.unique(values[i:j].astype(np.uint32)).tobytes() for i, j in at]
                 yield pa.record_batch([part.column("doc_id"), pa.array(whole, pa.binary()), pa.array(short, pa.binary())], names=["doc_id", "whole", "short"])
+        words.give_back()
 
     return run
 
@@ -208,6 +210,7 @@ def _within_blocks(s: Settings, kind: type):
             held.append(batch.slice(last))
         if held:
             yield links(pa.Table.from_batches(held))
+        words.give_back()
 
     return run
 

@@ -11,11 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import chunks
+from .words import chunks, give_back
 
 SPACE = "▁"
 #: Words with their ids, and pairs of pieces with the answer, that a worker keeps; when they are more, it starts afresh.
-CACHE_WORDS, CACHE_PAIRS = 500_000, 400_000
+CACHE_WORDS, CACHE_PAIRS = 300_000, 300_000
 #: Characters of words that are indexed at once; a longer word is indexed alone.
 WORK_CHARS = 1 << 18
 _ID_BITS, _SLOT_BITS = 22, 20
@@ -311,8 +311,13 @@ def _codec(shared) -> Codec:
     return _codecs[key]
 
 
+def _give_up() -> None:
+    _codecs.clear()
+    give_back()
+
+
 def _give_up_later() -> None:
-    timer = threading.Timer(KEEP_SECONDS, _codecs.clear)
+    timer = threading.Timer(KEEP_SECONDS, _give_up)
     timer.daemon = True
     _timers.append(timer)
     timer.start()

@@ -1,24 +1,14 @@
-"""Tables written between steps, in the folder that all executors share."""
+"""What the operators share: written tables, and columns whose names are in the way."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
+from barwright.scratch import Scratch, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where that is unset (tests), a temporary one that goes at exit."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="barwright-")
-        atexit.register(shutil.rmtree, where, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+__all__ = ["Scratch", "set_aside", "shared_dir"]
 
 
 def set_aside(df: DataFrame, names: Iterable[str]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
@@ -27,20 +17,3 @@ def set_aside(df: DataFrame, names: Iterable[str]) -> tuple[DataFrame, Callable[
     taken = {n.lower() for n in names}
     other = {c: f"own {i} {c}" if c.lower() in taken else c for i, c in enumerate(df.columns)}
     return df.withColumnsRenamed({c: o for c, o in other.items() if c != o}), lambda out: out.select(*[out[f"`{o}`"].alias(c) for c, o in other.items()])
-
-
-class Scratch:
-    """Names for the tables of one operator call. A written table cuts the lineage and outlives a lost executor."""
-
-    def __init__(self, spark: SparkSession, what: str) -> None:
-        self.spark, self.base = spark, f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.base}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, name: str) -> None:
-        """For tables that nothing will read again."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

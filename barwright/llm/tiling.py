@@ -124,6 +124,7 @@ def _search(block, settings: Settings):
                 new = [pa.array([r[c] for r in best], t) for c, t in enumerate(kinds)]
                 old = [n for n in part.schema.names if n not in ADDED]
                 yield pa.record_batch([*(part.column(n) for n in old), *new], names=[*old, *ADDED])
+        words.give_back()
 
     return run
 
