@@ -125,6 +125,29 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    # words and shingles as text, pairs by shared shingles, components by recursion
+    "op3_near_dedup": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+            FROM documents
+        ), s AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                                ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS shingles
+            FROM w
+        ), e AS (
+            SELECT doc_id, unnest(shingles) AS x, len(shingles) AS n FROM s
+        ), p AS (
+            SELECT a.doc_id AS i, b.doc_id AS j, count(*) AS shared, any_value(a.n + b.n) AS n FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL
+        ), l AS (
+            SELECT i, j FROM p WHERE 100 * shared >= 75 * (n - shared)
+        ), g AS (
+            SELECT i AS a, j AS b FROM l UNION ALL SELECT j, i FROM l
+        ), r(doc_id, reach) AS (
+            SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, g.b FROM r JOIN g ON g.a = r.reach
+        ), c AS (
+            SELECT doc_id, min(reach) AS component_id FROM r GROUP BY 1
+        )
+        SELECT doc_id, len(shingles) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c USING (doc_id)""",
     "op5_exact_dedup": r"""
         WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
         SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
