@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from barwright.functions.guards import div
 from barwright.operators import train
 from barwright.operators.prepare import clip_outliers, outlier_detection
+from barwright.operators.tree_attribution import tree_attribution
 from barwright.plans.frames import model_frame
 from barwright.plans.window_plan import WindowPlan
 from barwright.sources.store import Store
@@ -148,8 +149,8 @@ class VolatilityPredictor:
         bands = bollinger_overlay(bars).select("Ticker", F.struct("dates", "middle", "upper", "lower").alias("bollinger"))
         market = market_overview(features).select("Ticker", F.struct("spy_return", "vix_level", "regime").alias("market"))
         out = out.join(bands, "Ticker", "left").join(values, "Ticker", "left").join(market, "Ticker", "left")
-        if self.model_type == "lr":
-            why = linear_attribution(features, coefficients(self.model), top_n, background_size)
+        if self.model_type in ("lr", "xgb"):
+            why = linear_attribution(features, coefficients(self.model), top_n, background_size) if self.model_type == "lr" else tree_attribution(features, self.model, top_n, background_size)
             why = why.groupBy("Ticker").agg(F.sort_array(F.collect_list(F.struct("rank", "feature", "value", "contribution"))).alias("attribution"))
             out = out.join(why, "Ticker", "left")
         return out.withColumn("model_stats", F.create_map(*[x for k, v in self.stats.items() for x in (F.lit(k), F.lit(float(v)))]) if self.stats else F.expr("cast(map() as map<string,double>)"))

@@ -1,6 +1,7 @@
 """Training, scoring, attribution and streams on small frames."""
 
 import datetime as dt
+from itertools import permutations
 
 import numpy as np
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from barwright.operators import inference as I
 from barwright.operators import train as T
+from barwright.operators import tree_attribution as A
 from barwright.schema import MODEL_VERSION
 from barwright.sources.store import Store
 from barwright.streaming import bars as S
@@ -66,10 +68,43 @@ def test_boosted_trees(frame):
     early, late = frame.where("Date < '2024-06-15'"), frame.where("Date >= '2024-06-15'")
     got = T.train_model(early, late, "xgb", values={"n_estimators": (10,), "max_depth": (2,), "learning_rate": (0.2,)}, folds=2)
     assert got.metrics["roc_auc"] > 0.8
+    # contributions sum up to the margin at the last row over the mean margin of the background
+    trees = A.read_trees(got.model.stages[-1])
+    out = A.tree_attribution(frame.drop("market_movement"), got.model, 99, 30).toPandas()
+    last = got.model.transform(frame).orderBy("Date").select("Ticker", "features", "rawPrediction").collect()[-60:]
+    for ticker in ("A", "B"):
+        rows = [r for r in last if r.Ticker == ticker]
+        margins = [sum(w * A.tree_value(t, r.features.toArray()) for w, t in trees) for r in rows]
+        assert np.allclose(margins, [r.rawPrediction[1] for r in rows])
+        assert out[out.Ticker == ticker].contribution.sum() == pytest.approx(margins[-1] - np.mean(margins))
+    assert {"a", "relative_volume_5", "day_of_week", "Ticker=A"} <= set(out.feature)
+    payload = I.VolatilityPredictor(got.model, "xgb", "m", 1).payload(
+        frame.select("Date", "Ticker", *[F.lit(1.0).alias(c) for c in ("Open", "High", "Low", "Close")], F.lit(1).cast("long").alias("Volume")),
+        frame.drop("market_movement").withColumns({"spy_lag_return_1": F.lit(0.0), "vix_level": F.lit(30.0)}), 3, 10)
+    assert all(len(r.attribution) == 3 and r.market.regime == "Risk Off" for r in payload.collect())
     with pytest.raises(ValueError):
         T.train_model(early, late, "none")
 
 
+def test_shapley_equals_all_coalitions():
+    rng = np.random.default_rng(9)
+
+    def grow(depth):
+        return (int(rng.integers(4)), float(rng.normal()), grow(depth - 1), grow(depth - 1)) if depth and rng.random() < 0.9 else float(rng.normal())
+
+    for _ in range(30):
+        root, x, z = grow(4), rng.normal(size=4), rng.normal(size=4)
+        got, want = np.zeros(4), np.zeros(4)
+        A.shapley(root, x, z, got)
+        for order in permutations(range(4)):
+            at = z.copy()
+            for f in order:
+                before = A.tree_value(root, at)
+                at[f] = x[f]
+                want[f] += (A.tree_value(root, at) - before) / 24
+        assert np.allclose(got, want)
+
+
 def test_levels(spark):
     df = spark.createDataFrame([(0.95,), (0.75,), (0.7,), (0.6,), (0.4,)], "p double")
     assert [r[0] for r in df.select(I.confidence(F.col("p"))).collect()] == ["High", "High", "Medium", "Medium", "Low"]
