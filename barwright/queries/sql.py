@@ -37,11 +37,12 @@ def ln(x: str) -> str:
     return f"CASE WHEN {x} > 0 THEN ln({x}) END"
 
 
-def staged(stages: list[dict[str, str]], outputs: dict[str, str], digits: int = 6, table: str = "bars") -> str:
-    """SELECT Ticker, Date and rounded outputs, after stages of named expressions."""
-    parts, last = [f"bars AS ({BARS[table]})"], "bars"
+def staged(stages: list[dict[str, str]], outputs: dict[str, tuple[str, int | None]], table: str = "bars", known: bool = False) -> str:
+    """SELECT Ticker, Date and outputs (expression, decimals), after stages of named expressions; `known`: the bars are
+    a view that stands already."""
+    parts, last = ([] if known else [f"bars AS ({BARS[table]})"]), table if known else "bars"
     for i, stage in enumerate(stages):
         parts.append(f"s{i} AS (SELECT *, {', '.join(f'{x} AS {n}' for n, x in stage.items())} FROM {last})")
         last = f"s{i}"
-    shown = ", ".join(f"round({x}, {digits}) AS {n}" if digits is not None else f"{x} AS {n}" for n, x in outputs.items())
-    return f'WITH {", ".join(parts)} SELECT "Ticker", "Date", {shown} FROM {last}'
+    shown = ", ".join(f'{x if d is None else f"round({x}, {d})"} AS "{n}"' for n, (x, d) in outputs.items())
+    return f'{f"WITH {", ".join(parts)} " if parts else ""}SELECT "Ticker", "Date", {shown} FROM {last}'

@@ -145,16 +145,6 @@ oracle("j01_merge_context", f"""SELECT b."Ticker", b."Date", b."Close", round(s.
     LEFT JOIN (SELECT "Date", {div('"Close"', roll("avg", '"Close"', 5))} AS r FROM spy) s USING ("Date") LEFT JOIN vix v USING ("Date")""", "bars", "spy", "vix")
 
 
-def _frame(model: str) -> Callable[[SparkSession, str], DataFrame]:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return frames.model_frame(B.stock_bars(spark, sf_dir), B.spy_bars(spark, sf_dir), B.vix_bars(spark, sf_dir), model)
-
-    return run
-
-
-QUERIES |= {"p02_lr_frame": _frame("lr"), "p03_xgb_frame": _frame("xgb"), "p04_mlp_frame": _frame("mlp")}
-
-
 # checks
 
 
@@ -187,7 +177,7 @@ ORACLE_SQL["v01_report"] = ORACLE_SQL["v01_report"].replace(") , d AS", "), d AS
 
 _SMALL = [{"function": "create_range_percentage_feature"}, {"function": "create_relative_volume_feature", "kwargs": {"window_size": 5}}, {"function": "create_drawdown_feature", "kwargs": {"window_size": 20}}]
 _SMALL_SQL = staged([{"m": roll("avg", '"Volume"', 5), "k": roll("max", '"Close"', 20)}],
-                    {"range_percentage": div('"High" - "Low"', '"Close"'), "relative_volume_5": div('"Volume"', "m"), "drawdown_20": div('"Close" - k', "k")}, None)
+                    {"range_percentage": (div('"High" - "Low"', '"Close"'), None), "relative_volume_5": (div('"Volume"', "m"), None), "drawdown_20": (div('"Close" - k', "k"), None)})
 _SMALL_COLUMNS = ("range_percentage", "relative_volume_5", "drawdown_20")
 
 
