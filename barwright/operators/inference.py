@@ -46,6 +46,19 @@ def last_known(df: DataFrame, column: str) -> DataFrame:
     return df.where(F.col(column).isNotNull()).groupBy("Ticker").agg(F.max_by(column, "Date").alias(column))
 
 
+def feature_rows(features: DataFrame) -> DataFrame:
+    """Each ticker's last row as rows of (Ticker, feature, value), numbers only; text that reads as a number counts, nulls
+    and other text don't."""
+    names = [c for c in features.columns if c not in ("Ticker", "Date")]
+    each = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).try_cast("double").alias("value")) for c in names])
+    return latest(features).select("Ticker", F.explode(each).alias("e")).select("Ticker", "e.feature", "e.value").where("value is not null")
+
+
+def checked_probability(probability: Column) -> Column:
+    """The probability; the query stops where it isn't one."""
+    return F.when(probability.between(0, 1), probability).otherwise(F.raise_error(F.concat(F.lit("not a probability: "), F.coalesce(probability.cast("string"), F.lit("null")))))
+
+
 def market_overview(features: DataFrame) -> DataFrame:
     """Each ticker's latest known market return, fear-index level and regime."""
     spy = F.max_by("spy_lag_return_1", F.when(F.col("spy_lag_return_1").isNotNull(), F.col("Date")))
@@ -158,7 +171,7 @@ class VolatilityPredictor:
     def log(self, store: Store, predictions: DataFrame) -> bool:
         """Appends to the log; a failure is told by the result, as serving goes on without."""
         try:
-            store.log_predictions(predictions.select(F.col("Ticker").alias("ticker"), "prediction", "probability", "model_name", "model_version"))
+            store.log_predictions(predictions.select(F.col("Ticker").alias("ticker"), "prediction", checked_probability(F.col("probability")).alias("probability"), "model_name", "model_version"))
         except Exception:
             return False
         return True

@@ -30,7 +30,8 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
 
 def oracle(name: str, sql: str, *tables: str) -> None:
     """SQL over bar views, which are put in front."""
-    ORACLE_SQL[name] = f"WITH {', '.join(f'{t} AS ({BARS[t]})' for t in tables)} {sql}" if tables else sql
+    views = ", ".join(f"{t} AS ({BARS[t]})" for t in tables)
+    ORACLE_SQL[name] = (f"WITH {views}{sql}" if sql.startswith(",") else f"WITH {views} {sql}") if tables else sql
 
 
 # scans and reshaping
@@ -169,8 +170,7 @@ oracle("v01_report", f""", d AS (SELECT * FROM bars UNION ALL BY NAME SELECT "Da
         CASE WHEN "Volume" > 20 THEN -"Volume" END AS "Volume" FROM bars WHERE "Ticker" = 'A')
     {' UNION ALL '.join(f"SELECT '{r}' AS rule, {_bad(x)} AS violations FROM d" for r, x in _RULES.items())}
     UNION ALL SELECT 'repeated_key', CAST(coalesce(sum(n - 1), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM d GROUP BY "Ticker", "Date")
-    UNION ALL SELECT 'gap_too_long', {_bad("gap > 1")} FROM (SELECT "Date" - {lag('"Date"', 1)} AS gap FROM d)""".lstrip(), "bars")
-ORACLE_SQL["v01_report"] = ORACLE_SQL["v01_report"].replace(") , d AS", "), d AS")
+    UNION ALL SELECT 'gap_too_long', {_bad("gap > 1")} FROM (SELECT "Date" - {lag('"Date"', 1)} AS gap FROM d)""", "bars")
 
 
 # split, outliers, metrics, selection
@@ -338,6 +338,38 @@ def w13_latest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 oracle("w13_latest_rows", 'SELECT * FROM bars QUALIFY row_number() OVER (PARTITION BY "Ticker" ORDER BY "Date" DESC) = 1', "bars")
 
 
+@query
+def w12_last_known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inference.last_known(B.stock_bars(spark, sf_dir).withColumn("Close", F.when(F.month("Date") < 6, F.col("Close"))), "Close")
+
+
+oracle("w12_last_known", """SELECT "Ticker", arg_max("Close", "Date") FILTER (WHERE month("Date") < 6) AS "Close" FROM bars GROUP BY 1""", "bars")
+
+
+@query
+def p19_feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = B.stock_bars(spark, sf_dir).select("Ticker", "Date", "Close", F.date_format("Date", "MM").alias("month"), F.date_format("Date", "EEEE").alias("day_of_week"), F.lit(None).cast("double").alias("none"))
+    return inference.feature_rows(rows)
+
+
+oracle("p19_feature_rows", """, x AS (SELECT * FROM bars QUALIFY row_number() OVER (PARTITION BY "Ticker" ORDER BY "Date" DESC) = 1)
+    SELECT "Ticker", 'Close' AS feature, "Close" AS "value" FROM x UNION ALL SELECT "Ticker", 'month', CAST(month("Date") AS DOUBLE) FROM x""", "bars")
+
+
+@query
+def n10_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = inference.reasons(inference.linear_attribution(_small(spark, sf_dir), _WEIGHTS, 3, 150), 2)
+    return out.select("Ticker", F.array_join("reasons", ",").alias("reasons"), "dominant", F.round("share", 6).alias("share"))
+
+
+oracle("n10_reasons", f"""WITH f AS ({_SMALL_SQL}),
+    b AS (SELECT * FROM f WHERE {' AND '.join(f'{c} IS NOT NULL' for c in _SMALL_COLUMNS)} QUALIFY row_number() OVER (PARTITION BY "Ticker" ORDER BY "Date" DESC) <= 150),
+    x AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY "Ticker" ORDER BY "Date" DESC) = 1),
+    c AS ({' UNION ALL '.join(f"SELECT x.\"Ticker\", '{c}' AS feature, abs({w} * (x.{c} - (SELECT avg(b.{c}) FROM b WHERE b.\"Ticker\" = x.\"Ticker\"))) AS a FROM x" for c, w in _WEIGHTS.items())}),
+    r AS (SELECT *, row_number() OVER (PARTITION BY "Ticker" ORDER BY a DESC, feature) AS n FROM c)
+    SELECT "Ticker", string_agg(feature, ',' ORDER BY n) FILTER (WHERE n <= 2) AS reasons, min(feature) FILTER (WHERE n = 1) AS dominant, round(max(a) / sum(a), 6) AS share FROM r GROUP BY 1""")
+
+
 # models: small grids here, whole ones by default
 
 

@@ -112,6 +112,13 @@ def test_levels(spark):
     assert [r[0] for r in df.select(I.market_regime(F.col("v"))).collect()] == ["Risk Off", "Risk Off", "Elevated", "Risk On", "Risk On"]
 
 
+def test_probabilities_are_checked(spark):
+    df = spark.createDataFrame([(0.0,), (1.0,)], "p double")
+    assert df.select(I.checked_probability(F.col("p"))).count() == 2
+    with pytest.raises(Exception, match="not a probability: 1.5"):
+        spark.createDataFrame([(1.5,)], "p double").select(I.checked_probability(F.col("p"))).collect()
+
+
 def test_attribution(spark):
     rows = [("A", dt.date(2024, 1, d), float(d), float(-2 * d) if d != 3 else None) for d in range(1, 11)]
     got = I.linear_attribution(spark.createDataFrame(rows, "Ticker string, Date date, x double, y double"), {"x": 1.0, "y": 2.0}, 5, 4)
