@@ -300,5 +300,5 @@ def without_near_copies(docs: DataFrame, settings: Settings = Settings()) -> Dat
 
     Rows with null ids stay, and so do rows that repeat the doc_id that stays.
     """
-    go = near_groups(docs, settings).where("not kept").select(F.col("doc_id").alias("copy_id")).distinct()
-    return docs.join(go.hint("merge"), F.col("doc_id") == F.col("copy_id"), "left_anti")
+    go = near_groups(docs, settings).where("not kept").select("doc_id").distinct()
+    return docs.join(go.hint("merge"), "doc_id", "left_anti").select(docs.columns)

@@ -53,7 +53,7 @@ def stages(spark, tmp_path_factory):
     out = []
     for name, stage in corpus_pipeline.STAGES:
         # names that the operators use themselves
-        docs = docs if name == "pieces" else docs.withColumns({"score": F.lit("s"), "text_sha256": F.lit(1), "coverage": F.lit("c"), "component_id": F.lit(0)})
+        docs = docs if name == "pieces" else docs.withColumns({"score": F.lit("s"), "text_sha256": F.lit(1), "coverage": F.lit("c"), "component_id": F.lit(0), "copy_id": F.lit(5), "Copy_n": F.lit(6), "rejected": F.lit(False), "tiles": F.lit(7)})
         columns = docs.columns
         stage(spark, docs, DATA).write.parquet(f"{base}/{name}")
         got = spark.read.parquet(f"{base}/{name}")
