@@ -58,6 +58,16 @@ def test_scans(spark):
     assert sorted(map(tuple, B.long(B.wide(df, ["A", "B"])).select(BAR.names).collect())) == sorted(map(tuple, df.collect()))
 
 
+def test_filters_and_columns_reach_the_scan(spark, tmp_path):
+    s = Store(spark, str(tmp_path))
+    s.write("stock_data", some(spark, ["A", "B"], range(10)))
+    plan = B.between(s.read("stock_data"), str(day(2)), str(day(4)), ["a"]).select("Date", "Close")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(Date" in plan and "ReadSchema: struct<Date:date,Ticker:string,Close:double>" in plan
+    s.write("by_ticker", some(spark, ["A", "B"], range(10)), ["Ticker"])
+    plan = s.read("by_ticker").where("Ticker = 'A'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(Ticker" in plan
+
+
 def test_where_to_start(spark):
     df = some(spark, ["A"], range(3)).unionByName(some(spark, ["B"], range(5)))
     start = lambda t, end=day(20): ingest.stock_start(df, t, "2005-01-01", str(end)).first().start
