@@ -136,6 +136,14 @@ def test_pruned_plan(df):
     assert text.count("Window [") == 1 and "collect_list" not in text
 
 
+def test_yaml_replaces_defaults(spark, tmp_path, df):
+    (tmp_path / "b.yml").write_text("max_gap_days: 3\nstock_features_config:\n  - function: create_momentum_feature\n    kwargs:\n      lag: 4\n  - function: create_date_features\n")
+    (tmp_path / "c.yml").write_text("max_gap_days: 5\n")
+    got = P.load_parameters(tmp_path)
+    assert got["max_gap_days"] == 5 and got["training_proportion"] == 0.8
+    assert add_features(df, got["stock_features_config"]).columns == ["Date", "Ticker", "momentum_4", "day_of_week", "month"]
+
+
 def test_zero_divisors_are_null(spark):
     rows = [(dt.date(2024, 1, i), "A", 0.0, 1.0, 0.0, 0.0, 0) for i in range(1, 30)]
     out = add_features(spark.createDataFrame(rows, BAR), P.STOCK_FEATURES, ())

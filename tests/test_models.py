@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from barwright.operators import inference as I
 from barwright.operators import train as T
 from barwright.operators import tree_attribution as A
-from barwright.schema import MODEL_VERSION
+from barwright.schema import BAR, MODEL_VERSION
 from barwright.sources.store import Store
 from barwright.streaming import bars as S
 
@@ -86,6 +86,23 @@ def test_boosted_trees(frame):
         T.train_model(early, late, "none")
 
 
+def test_serving_frames(spark):
+    def walk(tickers, n=300):
+        rng, rows = np.random.default_rng(1), []
+        for t in tickers:
+            c = 100 + rng.normal(0, 1, n).cumsum() * 0.5
+            rows += [(dt.date(2023, 1, 2) + dt.timedelta(i), t, float(x), float(x + 1), float(x - 1), float(x + 0.3), int(1000 + i)) for i, x in enumerate(c)]
+        return spark.createDataFrame(rows, BAR)
+
+    stock, spy, vix = walk(["A", "B"]), walk(["SPY"]), walk(["^VIX"])
+    lr = I.engineer_data(stock, spy, vix, "lr")
+    assert "market_movement" not in lr.columns and lr.where("is_outlier = 1").count() > 0 and lr.count() == 600
+    assert "is_outlier" not in I.engineer_data(stock, spy, vix, "xgb").columns
+    assert lr.dropna("any").count() == 2 * (300 - 252)
+    with pytest.raises(ValueError):
+        I.engineer_data(stock, spy, vix, "none")
+
+
 def test_shapley_equals_all_coalitions():
     rng = np.random.default_rng(9)
 
