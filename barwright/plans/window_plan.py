@@ -29,11 +29,12 @@ class WindowPlan:
 
     A step is known by its text (such as `mean(lag(gk,1),5)`), so features that share a part share its step; Spark
     itself doesn't merge equal window expressions. `apply` lays the steps out by level, one projection each. All windows
-    have the same partitioning and order, so the plan has one shuffle and one sort, and steps that nothing asks for are
-    pruned. Rolling steps give null unless all n values are there.
+    are partitioned by the key (recursive averages by blocks of it), so the plan has one shuffle, and steps that nothing
+    asks for are pruned. Rolling steps give null unless all n values are there.
     """
 
     def __init__(self, key: str = "Ticker", order: str = "Date") -> None:
+        self.key, self.order = key, order
         self.window = Window.partitionBy(key).orderBy(order)
         self.steps: dict[str, Step] = {}
         self.outputs: dict[str, str] = {}
@@ -107,13 +108,28 @@ class WindowPlan:
     def smooth(self, x: str, alpha: float, wait: int) -> str:
         """The recursive average e = (1 - alpha) e + alpha x over non-null values, null until `wait` of them are there.
 
-        The recursion is a fold over the values that still count, a bounded array per row, so it stays in the JVM.
+        Values are numbered, and the numbers cut into blocks so long that what lies two blocks back weighs nothing. In a
+        block the average is a running sum of values scaled up by their number, scaled down again; to that comes the end
+        of the block before. So the work is a few running sums, whatever alpha is. Scales stay far from overflow.
         """
-        k = ema_rows(alpha)
-        values = self.step(f"values({x},{k + 1})", lambda c: F.collect_list(c).over(self.last(k + 1)), x)
         seen = self.step(f"seen({x})", lambda c: F.count(c).over(self.window.rowsBetween(Window.unboundedPreceding, 0)), x)
-        fold = lambda a: F.aggregate(F.slice(a, 2, F.greatest(F.size(a) - 1, F.lit(0))), F.get(a, F.lit(0)), lambda e, v: e * (1 - alpha) + v * alpha)
-        return self.step(f"smooth({x},{alpha!r},{wait})", lambda c, a, s: F.when(c.isNotNull() & (s >= wait), fold(a)), x, values, seen)
+        if alpha >= 1:
+            return self.step(f"smooth({x},1,{wait})", lambda c, n: F.when(n >= wait, c), x, seen)
+        q, k = 1 - alpha, ema_rows(alpha)
+        size = 64 if k <= 64 else 1024 if k <= 1024 else 1 << (k - 1).bit_length()
+        place = self.step(f"place({x},{size})", lambda n: F.pmod(n - 1, F.lit(size)), seen)
+        block = self.step(f"block({x},{size})", lambda n: F.floor((n - 1) / size), seen)
+
+        def running(c: Column, n: Column, i: Column, b: Column) -> Column:
+            w = Window.partitionBy(self.key, b).orderBy(self.order).rowsBetween(Window.unboundedPreceding, 0)
+            return F.sum(F.coalesce(c * F.when(n == 1, 1.0).otherwise(alpha) * F.pow(F.lit(q), -i), F.lit(0.0))).over(w)
+
+        name = f"{x},{alpha!r}"
+        local = self.step(f"local({name})", lambda s, i: s * F.pow(F.lit(q), i), self.step(f"running({name})", running, x, seen, place, block), place)
+        end = self.step(f"end({name})", lambda c, e, i: F.when(c.isNotNull() & (i == size - 1), e), x, local, place)
+        before = self.step(f"before({name})", lambda e: F.last(e, ignorenulls=True).over(self.window.rowsBetween(Window.unboundedPreceding, -1)), end)
+        whole = lambda c, n, e, i, p: F.when(c.isNotNull() & (n >= wait), e + F.coalesce(F.pow(F.lit(q), i + 1) * p, F.lit(0.0)))
+        return self.step(f"smooth({name},{wait})", whole, x, seen, local, place, before)
 
     def apply(self, df: DataFrame, keep: tuple[str, ...] | None = None) -> DataFrame:
         """The columns `keep` (all if None; outputs replace columns of their names), then the outputs."""

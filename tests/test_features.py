@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 from barwright.plans import parameters as P
 from barwright.plans.features import REGISTRY, add_features, compile_features
 from barwright.plans.frames import merge_dataframes, model_frame, project
+from barwright.plans.window_plan import WindowPlan
 from barwright.schema import BAR
 
 
@@ -136,6 +137,20 @@ def test_pruned_plan(df):
     assert text.count("Window [") == 1 and "collect_list" not in text
 
 
+@pytest.mark.parametrize("span", [1, 2, 5, 26, 60, 150])
+def test_averages_over_many_blocks(spark, span):
+    n = 3000
+    x = pd.Series(100 + np.random.default_rng(span).normal(0, 1, n).cumsum())
+    x[[0, 1, 70, 1030, 1031, 2047]] = np.nan
+    days = [dt.date(2000, 1, 1) + dt.timedelta(i) for i in range(n)]
+    df = spark.createDataFrame([(d, "A", None if v != v else float(v)) for d, v in zip(days, x, strict=True)], "Date date, Ticker string, Close double")
+    plan = WindowPlan()
+    plan.output("e", plan.smooth("Close", 2 / (span + 1), span))
+    got = plan.apply(df).orderBy("Date").toPandas()["e"]
+    want = x.ewm(span=span, adjust=False, ignore_na=True, min_periods=span).mean().where(x.notna())
+    assert (got.isna().to_numpy() == want.isna().to_numpy()).all() and np.allclose(got.astype(float), want, rtol=1e-12, atol=1e-10, equal_nan=True)
+
+
 def test_yaml_replaces_defaults(spark, tmp_path, df):
     (tmp_path / "b.yml").write_text("max_gap_days: 3\nstock_features_config:\n  - function: create_momentum_feature\n    kwargs:\n      lag: 4\n  - function: create_date_features\n")
     (tmp_path / "c.yml").write_text("max_gap_days: 5\n")
