@@ -92,10 +92,14 @@ def resolve(records: DataFrame) -> DataFrame:
     judged = scratch.keep(judged.unionByName(no_place), "judged")
 
     stored = base.where(full).select(F.col("record_id").alias("refers_to"), F.struct(F.array_sort(F.map_entries("headers")).alias("headers"), "body").alias("stored"))
-    wanted = judged.where("refers_to is not null").select("refers_to").distinct()
-    stored = scratch.keep(stored.join(wanted, "refers_to", "left_semi").groupBy("refers_to").agg(F.max("stored").alias("stored")), "stored")
+    # ids are unique as a rule, and then bodies are moved once; only those of repeated ids are grouped
+    repeated = scratch.keep(stored.groupBy("refers_to").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("refers_to"), "repeated")
+    if not repeated.isEmpty():
+        one = stored.join(repeated.hint("merge"), "refers_to", "left_semi").groupBy("refers_to").agg(F.max("stored").alias("stored"))
+        stored = scratch.keep(stored.join(repeated.hint("merge"), "refers_to", "left_anti").unionByName(one), "stored")
     updates = F.map_filter("own", lambda k, v: k.isin(*PERMITTED))
     kept = F.map_filter(F.map_from_entries("stored.headers"), lambda k, v: ~F.map_contains_key(updates, k))
     headers = F.when(F.col("stored").isNotNull(), F.map_concat(kept, updates)).otherwise(F.col("own"))
-    # both sides are written tables, so adaptive execution can split a response that very many revisits refer to
+    # nothing stands between the join and its shuffles, so adaptive execution can split a response that very many
+    # revisits refer to
     return judged.join(stored.hint("merge"), "refers_to", "left").select("record_id", "key", "refers_to", "verdict", headers.alias("headers"), F.col("stored.body").alias("body"))
