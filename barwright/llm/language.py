@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,8 @@ class Settings:
     docs_per_lang: int = 1200
     calibrate_every: int = 4
     #: Standard deviations, and bits at least, over the calibration documents' median cross-entropy beyond which a
-    #: text is rejected. Texts in languages not learnt lie four bits over it or more.
+    #: text is rejected. Texts in other scripts lie four bits over it or more, in languages akin to a learnt one two to
+    #: three.
     reject_sd: float = 8.0
     reject_bits: float = 2.5
 
@@ -229,27 +231,54 @@ def _letter_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.record_batch([pa.array(points[ok].astype(np.int32)), pa.array(n[ok])], names=["letter", "n"])
 
 
+#: Bounds of the classes of length (symbols) in which short texts are calibrated, and the characters cut from the middle
+#: of each longer text, so that every class is filled.
+CLASSES = (1, 25, 50, 100, 200)
+PIECES = (15, 40, 80, 160)
+#: Median deviations to standard deviations, and standard deviations that one in a thousand texts exceeds.
+MAD_SD, TAIL_SD = 1.4826, 3.09
+
+
+def _middle_and_sd(x: np.ndarray) -> tuple[float, float]:
+    """Median, and deviation from it; wrong labels and odd texts, up to half of all, don't widen it at will."""
+    middle = np.median(x)
+    return middle, MAD_SD * np.median(np.abs(x - middle))
+
+
+def _limits(h: np.ndarray, n: np.ndarray, settings: Settings) -> tuple[float, float, float] | None:
+    """Mean, spread and allowance by length from a language's calibration texts; None where long ones are too few."""
+    long_ = n >= CLASSES[-1]
+    if long_.sum() < 20:
+        return None
+    mean, sd = _middle_and_sd(h[long_])
+    spread, by_length = max(settings.reject_sd * sd, settings.reject_bits), 0.0
+    for low, high in pairwise(CLASSES):
+        of = (n >= low) & (n < high)
+        if of.sum() >= 20:
+            middle, sd = _middle_and_sd(h[of])
+            by_length = max(by_length, (middle + TAIL_SD * sd - mean - spread) * np.sqrt(np.median(n[of])))
+    return mean, spread, by_length
+
+
 def _calibrate(detector: Detector, sample: DataFrame, settings: Settings) -> None:
-    """Rejection limits from documents that the models have not seen: by language the mean cross-entropy of long
+    """Rejection limits from documents that the models have not seen: by language the median cross-entropy of long
     texts, their spread, and the extra allowance that short texts need."""
     shared = sample.sparkSession.sparkContext.broadcast(detector)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h, n, _ = shared.value.entropies(batch.column("text").to_pylist())
-            own = [shared.value.langs.index(x) if x in shared.value.langs else -1 for x in batch.column("lang").to_pylist()]
+            cut = list(zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True))
+            cut += [(t[len(t) // 2 :][:k], lang) for t, lang in cut for k in PIECES if len(t) > 2 * k]
+            h, n, _ = shared.value.entropies([t for t, _ in cut])
+            own = [shared.value.langs.index(x) if x in shared.value.langs else -1 for _, x in cut]
             yield pa.record_batch([pa.array(own, pa.int32()), pa.array(h[np.arange(len(own)), own] if len(own) else []), pa.array(n)], names=["lang", "h", "n"])
 
     got = sample.select("text", "lang").mapInArrow(run, "lang int, h double, n long").toArrow()
     lang, h, n = (got.column(c).to_numpy() for c in ("lang", "h", "n"))
     for i in range(len(detector.langs)):
-        long_, short = (lang == i) & (n >= 200), (lang == i) & (n > 0)
-        if long_.sum() >= 20:
-            detector.mean[i] = np.median(h[long_])
-            spread = np.sqrt(np.mean((h[long_] - detector.mean[i]) ** 2))
-            detector.spread[i] = max(settings.reject_sd * spread, settings.reject_bits)
-            z = (h[short] - detector.mean[i] - detector.spread[i]) * np.sqrt(n[short])
-            detector.by_length[i] = max(20.0, 1.5 * z.max())
+        limits = _limits(h[lang == i], n[lang == i], settings)
+        if limits:
+            detector.mean[i], detector.spread[i], detector.by_length[i] = limits
 
 
 def identify(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:

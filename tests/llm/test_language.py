@@ -69,3 +69,14 @@ def test_nothing_to_learn_from(spark):
     docs = spark.createDataFrame([(1, "a b", None), (2, None, None)], "doc_id long, text string, lang string")
     assert [(r.lang_pred, r.score) for r in language.identify(docs).collect()] == [("und", 0.0)] * 2
     assert language.identify(docs.where("false")).count() == 0 and language.accepted(docs).count() == 0
+
+
+def test_short_texts_of_languages_not_learnt(spark):
+    docs = spark.read.parquet(DATA)
+    wrong = F.when(F.col("doc_id") % 29 == 3, F.when(F.col("lang") == "en", "fr").otherwise("en")).otherwise(F.col("lang"))
+    for rows in (docs, docs.withColumn("lang", wrong)):
+        detector = language.fit(rows)
+        short = ["szybki brązowy lis przeskakuje nad leniwym psem", "zażółć gęślą jaźń każdego dnia rano", "зжщ жщз бвгд " * 5]
+        assert detector.predict(short)[2].all()
+        usual = [r.text[len(r.text) // 3 :][:80] for r in docs.where("lang is not null and length(text) > 300").where(language._held_out()).collect()]
+        assert len(usual) > 100 and detector.predict(usual)[2].mean() < 0.01
