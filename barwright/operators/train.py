@@ -22,15 +22,17 @@ from barwright.plans import parameters as P
 from barwright.schema import RUN
 
 WEEKDAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday")
+#: In the order of their numbers; markets that never shut have bars on the last two.
+DAYS = (*WEEKDAYS, "Saturday", "Sunday")
 KEY = ("Date", "Ticker")
 SEED = 42
 
 
 def _encoders(onehot: Sequence[str], ordinal: Sequence[str], columns: Sequence[str]) -> tuple[list, list[str]]:
-    """Stages that encode categories, and the columns that hold them; months come as text and become numbers. Days off
-    the weekday list are an error."""
+    """Stages that encode categories, and the columns that hold them; months come as text and become numbers. What is
+    no day of the week is an error."""
     stages: list = []
-    cases = [f"CASE `{c}` {' '.join(f"WHEN '{d}' THEN {float(i)}" for i, d in enumerate(WEEKDAYS))} ELSE raise_error(concat('unknown {c}: ', `{c}`)) END AS `{c}_number`" for c in ordinal]
+    cases = [f"CASE `{c}` {' '.join(f"WHEN '{d}' THEN {float(i)}" for i, d in enumerate(DAYS))} ELSE raise_error(concat('unknown {c}: ', `{c}`)) END AS `{c}_number`" for c in ordinal]
     months = ["CAST(`month` AS DOUBLE) AS `month_number`"] if "month" in columns else []
     if cases or months:
         stages.append(SQLTransformer(statement=f"SELECT *, {', '.join([*cases, *months])} FROM __THIS__"))

@@ -370,25 +370,24 @@ oracle("n10_reasons", f"""WITH f AS ({_SMALL_SQL}),
     SELECT "Ticker", string_agg(feature, ',' ORDER BY n) FILTER (WHERE n <= 2) AS reasons, min(feature) FILTER (WHERE n = 1) AS dominant, round(max(a) / sum(a), 6) AS share FROM r GROUP BY 1""")
 
 
-# models: small grids here, whole ones by default
+# models: the default grids over five windows
 
 
-def _trained(spark: SparkSession, sf_dir: str, kind: str, values: dict) -> DataFrame:
+def _trained(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     df = frames.model_frame(B.stock_bars(spark, sf_dir), B.spy_bars(spark, sf_dir), B.vix_bars(spark, sf_dir), kind)
-    df = df.where(F.col("day_of_week").isin(*train.WEEKDAYS))  # markets are shut on the other days
     early, late = prepare.split_train_test(prepare.complete_rows(df))
-    got = train.train_model(early, late, kind, values=values, folds=2)
+    got = train.train_model(early, late, kind)
     return train.scored(got.model, late).select("Ticker", "Date", "prediction", "probability", inference.confidence(F.col("probability")).alias("confidence"))
 
 
 @query
 def m03_lr_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _trained(spark, sf_dir, "lr", {"C": (0.1,), "l1_ratio": (0.0,)})
+    return _trained(spark, sf_dir, "lr")
 
 
 @query
 def m04_gbt_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _trained(spark, sf_dir, "xgb", {"n_estimators": (5,), "max_depth": (2,), "learning_rate": (0.1,)})
+    return _trained(spark, sf_dir, "xgb")
 
 
 # streams

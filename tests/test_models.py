@@ -168,3 +168,23 @@ def test_smoothed_stream(spark, tmp_path):
 
     got = [r.ema for r in spark.read.parquet(out).orderBy("Date").collect()]
     assert np.allclose([np.nan if v is None else v for v in got], pd.Series(x).ewm(span=5, adjust=False, min_periods=5).mean(), equal_nan=True)
+
+
+def test_model_queries_search_the_default_grids_over_all_days(spark, frame, monkeypatch):
+    from barwright.queries import QUERIES
+
+    seen = []
+    monkeypatch.setattr(T, "train_model", lambda early, late, kind, **more: seen.append((early, kind, more)) or 1 / 0)
+    for name in ("m03_lr_scores", "m04_gbt_scores"):
+        with pytest.raises(ZeroDivisionError):
+            QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert [(kind, more) for _, kind, more in seen] == [("lr", {}), ("xgb", {})]
+    assert seen[0][0].where("day_of_week in ('Saturday', 'Sunday')").count() > 0
+
+
+def test_weekend_days_have_numbers(spark):
+    stages, _ = T._encoders((), ("day_of_week",), ("day_of_week",))
+    rows = spark.createDataFrame([(d,) for d in T.DAYS], "day_of_week string")
+    assert [r.day_of_week_number for r in stages[0].transform(rows).collect()] == [float(i) for i in range(7)]
+    with pytest.raises(Exception, match="unknown day_of_week"):
+        stages[0].transform(spark.createDataFrame([("x",)], "day_of_week string")).collect()
