@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import re
-import threading
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -14,10 +13,13 @@ from pyspark.sql import functions as F
 from .words import chunks, give_back
 
 SPACE = "▁"
-#: Words with their ids, and pairs of pieces with the answer, that a worker keeps; when they are more, it starts afresh.
-CACHE_WORDS, CACHE_PAIRS = 300_000, 300_000
-#: Characters of words that are indexed at once; a longer word is indexed alone.
-WORK_CHARS = 1 << 18
+#: Words with their ids that a worker keeps, and the characters and ids of all of them; of more, the most used half stays.
+CACHE_WORDS, CACHE_SIZE = 80_000, 1_600_000
+#: Characters that are indexed at once, and the length from which a word is relaxed by itself.
+WORK_CHARS, LONG_WORD = 1 << 17, 64
+#: Bytes of text that are encoded at once.
+CHUNK_BYTES = 1 << 19
+#: Pairs of pieces with the answer are kept in a table of so many places; a new pair takes the place of another.
 _ID_BITS, _SLOT_BITS = 22, 20
 
 
@@ -92,31 +94,45 @@ class Codec:
             self.codes[i, : len(p)] = np.frombuffer(p.encode("utf-32-le"), np.uint32).astype(np.int64) + 1
         self.text_of = {i: p for p, i in self.v.id.items()}
         self.known = np.unique(self.codes[self.lengths == 1, 0])
-        self.fits: dict[int, bool] = {}
         self.slot_keys, self.slot_fits = np.full(1 << _SLOT_BITS, -1, np.int64), np.zeros(1 << _SLOT_BITS, bool)
         self.edges_of: dict[str, tuple[frozenset[str], frozenset[str]]] = {}
         self._forget()
 
     def _forget(self) -> None:
         self.number: dict[str, int] = {}
-        self.ids, self.counts, self.begins = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.chars = 0
+        self.ids, self.counts, self.begins, self.used = np.zeros(0, np.int32), *(np.zeros(0, np.int64) for _ in range(3))
+
+    def _forget_rare(self) -> None:
+        """Keeps the half of the words that texts have used most, less those that are used once, and bounds their sizes."""
+        words = list(self.number)
+        size = np.fromiter(map(len, words), np.int64, len(words)) + self.counts
+        order = np.argsort(-self.used, kind="stable")[: CACHE_WORDS // 2]
+        order = order[(self.used[order] > 1) & (np.cumsum(size[order]) <= CACHE_SIZE // 2)]
+        n = self.counts[order]
+        at = np.repeat(self.begins[order] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        self.ids, self.counts, self.used = self.ids[at], n, self.used[order] // 2
+        self.begins = np.cumsum(n) - n
+        self.number = {words[i]: k for k, i in enumerate(order.tolist())}
+        self.chars = sum(map(len, self.number))
 
     def merge(self, text: str, seam: int = 0) -> list[str] | None:
         """The pieces of a short text by merging the best-ranked neighbours, leftmost first; None as soon as a merge
         crosses the place `seam`."""
-        parts = list(text)
-        rank = self.v.rank
-        while True:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                r = rank.get(parts[i] + parts[i + 1])
-                if r is not None and (best is None or r < best):
-                    best, at = r, i
-            if best is None:
-                return parts
-            if seam and sum(map(len, parts[: at + 1])) == seam:
+        parts, left, rank = list(text), seam, self.v.rank
+        ranks = [rank.get(a + b, np.inf) for a, b in zip(parts, parts[1:], strict=False)]
+        while ranks and (best := min(ranks)) < np.inf:
+            at = ranks.index(best)
+            if at == left - 1:  # the last part before the seam with the first behind it
                 return None
+            left -= at < left
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = rank.get(parts[at - 1] + parts[at], np.inf)
+            if at < len(ranks):
+                ranks[at] = rank.get(parts[at] + parts[at + 1], np.inf)
+        return parts
 
     def _sides(self, piece: str) -> tuple[frozenset[str], frozenset[str]]:
         """What stands at the left and at the right end of a piece while it is merged."""
@@ -131,6 +147,8 @@ class Codec:
                 parts[at : at + 2] = [parts[at] + parts[at + 1]]
                 left.add(parts[0])
                 right.add(parts[-1])
+            if len(self.edges_of) > self.v.size:
+                self.edges_of.clear()
             got = self.edges_of[piece] = (frozenset(left), frozenset(right) if len(parts) == 1 else frozenset())
         return got
 
@@ -150,7 +168,7 @@ class Codec:
             return True
         return self.merge(prior + piece, len(prior)) is not None
 
-    def _edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _edges(self, codes: np.ndarray) -> tuple[np.ndarray, ...]:
         """Ends, starts and tokens of all edges. Code 0 stands between words.
 
         A suffix's first characters, as deep as the longest piece, are packed into a few numbers, which sort the array
@@ -186,48 +204,53 @@ class Codec:
                 continue
             lo[live], hi[live] = (_search(sorted_, lo[live], hi[live], want) for want in (low, high))
         count = hi - lo
-        of = np.repeat(np.arange(len(count)), count)
-        start = suffixes[np.repeat(lo, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
+        of = np.repeat(np.arange(len(count), dtype=np.int32), count)
+        start = suffixes.astype(np.int32)[np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(count.sum())]
         strange = np.flatnonzero((codes > 0) & ~np.isin(codes, self.known))
-        end = np.append(start + length[of], strange + 1)
-        return end, np.append(start, strange), np.append(self.piece_ids[possible[of]], self.v.size + codes[strange] - 1)
+        token = self.piece_ids[possible].astype(np.int32)[of]
+        joined = ((start + length.astype(np.int32)[of], strange + 1), (start, strange), (token, self.v.size + codes[strange] - 1))
+        return tuple(np.append(x, y.astype(np.int32)) for x, y in joined)
 
     def _all_fit(self, before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
         """`_fits` of many pairs: looked up in a table of recent pairs, and each other one asked once."""
-        keys = before << np.int64(_ID_BITS) | tokens
+        keys = before.astype(np.int64) << np.int64(_ID_BITS) | tokens
         slots = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOT_BITS)
         out = self.slot_fits[slots]
         miss = np.flatnonzero(self.slot_keys[slots] != keys)
         if len(miss):
-            fits = self.fits
             asked, inverse = np.unique(keys[miss], return_inverse=True)
-            got = [fits.get(k) for k in asked.tolist()]
-            for i in [i for i, x in enumerate(got) if x is None]:
-                k = int(asked[i])
-                got[i] = fits[k] = self._fits(k >> _ID_BITS, k & ((1 << _ID_BITS) - 1))
-            if len(fits) > CACHE_PAIRS:
-                fits.clear()
+            got = [self._fits(k >> _ID_BITS, k & ((1 << _ID_BITS) - 1)) for k in asked.tolist()]
             out[miss] = np.array(got, bool)[inverse]
             self.slot_keys[slots[miss]], self.slot_fits[slots[miss]] = keys[miss], out[miss]
         return out
 
+    def _ids(self, word: np.ndarray, tokens: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids with the bytes of strange characters in their places, and their number by word; tokens come by word."""
+        strange = np.flatnonzero(tokens >= self.v.size)
+        if len(strange):
+            bytes_of = [[self.v.byte.get(x, self.v.unknown) for x in chr(t - self.v.size).encode()] for t in tokens[strange].tolist()]
+            n = np.ones(len(tokens), np.int64)
+            n[strange] = list(map(len, bytes_of))
+            word, tokens, was = np.repeat(word, n), np.repeat(tokens, n), np.repeat(tokens >= self.v.size, n)
+            tokens[was] = [x for b in bytes_of for x in b]
+        return tokens.astype(np.int32), np.bincount(word, minlength=n_words)
+
     def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words in one array, and their number by word."""
-        joined = "\x00".join(words)
-        codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32).astype(np.int64) + 1
+        codes = np.frombuffer("\x00".join(words).encode("utf-32-le"), np.uint32).astype(np.int64) + 1
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         ends = np.cumsum(sizes + 1) - 1
         codes[ends[:-1]] = 0
         end, start, token = self._edges(codes)
         begins = ends - sizes
         free, first = -2, -1
-        last, back = np.full(len(codes) + 1, free), np.zeros(len(codes) + 1, np.int64)
+        last, back = np.full(len(codes) + 1, free, np.int32), np.zeros(len(codes) + 1, np.int32)
         last[begins] = first
         # all words at once, by the place in the word where an edge ends
         most = int(sizes.max())
         word_start = np.zeros(len(codes) + 1, np.int64)
         word_start[:-1] = np.repeat(begins, sizes + 1)[: len(codes)]
-        place = (end - word_start[start]).astype(np.uint16 if most < 1 << 16 else np.int64)
+        place = (end - word_start[start]).astype(np.uint16)
         order = np.argsort(place, kind="stable")
         cuts = np.searchsorted(place[order], np.arange(1, most + 2))
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
@@ -246,45 +269,80 @@ class Codec:
         steps = np.repeat(np.arange(len(found)), [len(w) for w, _ in found])
         word, tokens = (np.concatenate([f[i] for f in found]) for i in (0, 1))
         order = np.lexsort((-steps, word))
-        word, tokens = word[order], tokens[order]
-        strange = np.flatnonzero(tokens >= self.v.size)
-        if len(strange):
-            bytes_of = [[self.v.byte.get(x, self.v.unknown) for x in chr(t - self.v.size).encode()] for t in tokens[strange].tolist()]
-            n = np.ones(len(tokens), np.int64)
-            n[strange] = list(map(len, bytes_of))
-            word, tokens, was = np.repeat(word, n), np.repeat(tokens, n), np.repeat(tokens >= self.v.size, n)
-            tokens[was] = [x for b in bytes_of for x in b]
-        return tokens.astype(np.int32), np.bincount(word, minlength=len(words))
+        return self._ids(word[order], tokens[order], len(words))
+
+    def _encode_long(self, word: str) -> tuple[np.ndarray, np.ndarray]:
+        """As `_encode_words`, for one word: the text is indexed piece by piece, each with the end of the one before,
+        so that what is held at once besides a few numbers a character is bounded; edges are relaxed one by one."""
+        free, reach = -2, self.v.longest
+        last, back = np.full(len(word) + 1, free, np.int32), np.zeros(len(word) + 1, np.int32)
+        last[0] = -1
+        asked: dict[int, bool] = {}
+        for low in range(0, len(word), WORK_CHARS):
+            base = max(low - reach, 0)
+            codes = np.frombuffer(word[base : low + WORK_CHARS].encode("utf-32-le"), np.uint32).astype(np.int64) + 1
+            end, start, token = self._edges(codes)
+            new = np.flatnonzero(end + base > low)
+            new = new[np.argsort(end[new], kind="stable")]
+            # the state behind the piece's first place, as a list, which single steps read faster than an array
+            state, link = last[base : base + len(codes) + 1].tolist(), back[base : base + len(codes) + 1].tolist()
+            for i in range(0, len(new), 1 << 15):
+                part = new[i : i + (1 << 15)]
+                for e, s, t in zip(end[part].tolist(), start[part].tolist(), token[part].tolist(), strict=True):
+                    before = state[s]
+                    if before == free:
+                        continue
+                    key = before << _ID_BITS | t
+                    fits = asked.get(key)
+                    if fits is None:
+                        if len(asked) > CACHE_WORDS:
+                            asked.clear()
+                        fits = asked[key] = self._fits(before, t)
+                    if fits:
+                        state[e], link[e] = t, s + base
+            last[base : base + len(codes) + 1], back[base : base + len(codes) + 1] = state, link
+        at, tokens = len(word), []
+        while at > 0:
+            tokens.append(int(last[at]))
+            at = int(back[at])
+        return self._ids(np.zeros(len(tokens), np.int64), np.array(tokens[::-1], np.int64), 1)
 
     def _learn(self, new: list[str]) -> None:
         """Encodes words that are not kept, so many characters at a time, and keeps their ids."""
         ids, counts = [self.ids], [self.counts]
+        new.sort(key=lambda w: len(w) > LONG_WORD)
         at = 0
         while at < len(new):
             to, n = at, 0
-            while to < len(new) and (to == at or n + len(new[to]) <= WORK_CHARS):
-                n += len(new[to])
-                to += 1
-            got = self._encode_words(new[at:to])
+            if len(new[at]) > LONG_WORD:
+                to, got = at + 1, self._encode_long(new[at])
+            else:
+                while to < len(new) and n <= WORK_CHARS and len(new[to]) <= LONG_WORD:
+                    n += len(new[to])
+                    to += 1
+                got = self._encode_words(new[at:to])
             ids.append(got[0])
             counts.append(got[1])
             at = to
         for w in new:
             self.number[w] = len(self.number)
+        self.chars += sum(map(len, new))
         self.ids, self.counts = np.concatenate(ids), np.concatenate(counts)
         self.begins = np.cumsum(self.counts) - self.counts
+        self.used = np.append(self.used, np.zeros(len(new), np.int64))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one array, and the texts' bounds in it."""
         split = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if self.v.by_word else r"(?s).+").findall
         parts = [split(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         flat = [w for p in parts for w in p]
-        if len(self.number) > CACHE_WORDS or len(self.ids) > 8 * CACHE_WORDS:
-            self._forget()
+        if len(self.number) > CACHE_WORDS or len(self.ids) + self.chars > CACHE_SIZE:
+            self._forget_rare()
         new = set(flat).difference(self.number)
         if new:
             self._learn(list(new))
         word = np.fromiter(map(self.number.__getitem__, flat), np.int64, len(flat))
+        self.used += np.bincount(word, minlength=len(self.used))
         n = self.counts[word]
         upto = np.zeros(len(flat) + 1, np.int64)
         np.cumsum(n, out=upto[1:])
@@ -294,58 +352,37 @@ class Codec:
         return ids, upto[bounds]
 
 
-#: Seconds without a task after which a worker gives up its codec, and the memory of what that has learnt.
-KEEP_SECONDS = 3.0
-_codecs: dict[int, Codec] = {}
-_timers: list[threading.Timer] = []
-
-
-def _codec(shared) -> Codec:
-    """A worker's codec, kept from task to task for its words."""
-    while _timers:
-        _timers.pop().cancel()
-    key = id(shared.value)
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(shared.value)
-    return _codecs[key]
-
-
-def _give_up() -> None:
-    _codecs.clear()
-    give_back()
-
-
-def _give_up_later() -> None:
-    timer = threading.Timer(KEEP_SECONDS, _give_up)
-    timer.daemon = True
-    _timers.append(timer)
-    timer.start()
-
-
-def encode(docs: DataFrame, model_file: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, model_file: str, text: str = "text", ids: str = "ids", decoded: str | None = None, round_trip: str | None = None, carry: Sequence[str] | None = None) -> DataFrame:
     """The rows of `docs` with the token ids of the text column added (array of int), as the model's own library gives
-    them; if `decoded` is a name, also the text that `decode` would give, found in the same pass.
+    them. If `decoded` is a name, the text that `decode` would give is added too; if `round_trip` is one, whether that
+    is the text (null is empty), the block that stands for a space read as one. Both are found in the same pass.
+    carry: the columns of `docs` that come along, all if None; without the text, texts need not come back.
 
     Null and empty texts have no tokens; texts of any length are encoded whole; rows are encoded one by one; columns
-    of the added names are replaced; an empty table gives no rows."""
+    of the added names are replaced; an empty table gives no rows. What a worker keeps of words and pairs is bounded
+    in bytes and goes with its task."""
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(model_file))
-    added = [ids, *([decoded] if decoded else [])]
-    rows = docs.drop(*added)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", `{ids}` array<int>" + f", `{decoded}` string" * bool(decoded)
+    added = {ids: "array<int>"} | ({decoded: "string"} if decoded else {}) | ({round_trip: "boolean"} if round_trip else {})
+    rows = docs.drop(*added) if carry is None else docs.select(*dict.fromkeys([*carry, text]))
+    kept = [f for f in rows.schema if f.name not in added and (carry is None or f.name in carry)]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), *(f"`{c}` {t}" for c, t in added.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared)
+        codec = Codec(shared.value)
         for batch in batches:
-            for begin, end in chunks(batch.column(text)):
+            for begin, end in chunks(batch.column(text), CHUNK_BYTES):
                 part = batch.slice(begin, end - begin)
-                flat, bounds = codec.encode([t or "" for t in part.column(text).to_pylist()])
+                texts = [t or "" for t in part.column(text).to_pylist()]
+                flat, bounds = codec.encode(texts)
                 new = [pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat))]
-                if decoded:
-                    new.append(pa.array([codec.v.decode(flat[i:j].tolist()) for i, j in zip(bounds[:-1], bounds[1:], strict=True)], pa.string()))
-                yield pa.record_batch([*part.columns, *new], names=[*part.schema.names, *added])
+                if decoded or round_trip:
+                    got = [codec.v.decode(flat[i:j].tolist()) for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
+                    new += [pa.array(got, pa.string())] if decoded else []
+                    new += [pa.array([g == t.replace(SPACE, " ") for g, t in zip(got, texts, strict=True)], pa.bool_())] if round_trip else []
+                yield pa.record_batch([*(part.column(f.name) for f in kept), *new], names=[*(f.name for f in kept), *added])
+            give_back()
         del codec
-        _give_up_later()
+        give_back()
 
     return rows.mapInArrow(run, schema)
 
@@ -369,8 +406,3 @@ def decode(tokens: DataFrame, model_file: str, ids: str = "ids", text: str = "de
 
 def digest(ids: str) -> F.Column:
     return F.sha2(F.col(ids).cast("string"), 256)
-
-
-def same_text(text: F.Column, decoded: F.Column) -> F.Column:
-    """Whether the round trip gave the text (null is empty), the block that stands for a space read as one."""
-    return decoded == F.replace(F.coalesce(text, F.lit("")), F.lit(SPACE), F.lit(" "))

@@ -23,10 +23,8 @@ PIECE_MODEL = os.environ.get("BARWRIGHT_PIECE_MODEL", "/opt/tokenizers/piece_bpe
 
 
 def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = pieces.encode(docs, PIECE_MODEL, decoded="decoded")
-    same = pieces.same_text(F.col("text"), F.col("decoded"))
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), pieces.digest("ids").alias("ids_sha256"), same.alias("round_trip"))
+    got = pieces.encode(_table(spark, sf_dir, "documents"), PIECE_MODEL, round_trip="round_trip", carry=["doc_id"])
+    return got.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), pieces.digest("ids").alias("ids_sha256"), "round_trip")
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Token ids against the library's, and round trips."""
 
+import time
+
 import numpy as np
 import pytest
 import sentencepiece
@@ -40,4 +42,27 @@ def test_edge_cases(spark, codec):
     assert sorted(map(str, ((r.doc_id, r.decoded) for r in got))) == sorted(map(str, ((i, t or "") for i, t in rows)))
     at_once = pieces.encode(df, MODEL, decoded="decoded").collect()
     assert sorted(map(str, at_once)) == sorted(map(str, got))
+    slim = pieces.encode(df, MODEL, round_trip="same", carry=["doc_id"])
+    assert slim.columns == ["doc_id", "ids", "same"] and slim.where("same").count() == len(rows)
+    assert sorted(map(str, slim.select("doc_id", "ids").collect())) == sorted(map(str, (r for r in pieces.encode(df, MODEL).select("doc_id", "ids").collect())))
     assert pieces.encode(df.where("false"), MODEL).count() == 0
+
+
+def test_words_without_end_take_linear_time(codec, library):
+    word = lambda n: "".join(chr(97 + (i * i * 7 + i // 3) % 26) for i in range(n))
+    took = []
+    for n in (100_000, 400_000):
+        began = time.perf_counter()
+        ids, _ = codec.encode([word(n)])
+        took.append(time.perf_counter() - began)
+        assert ids.tolist() == library.encode(word(n))
+    assert took[1] < 10 * took[0] + 1
+
+
+def test_what_is_kept_is_bounded(library):
+    codec, rng = pieces.Codec(pieces.Vocabulary(MODEL)), np.random.default_rng(3)
+    for _ in range(12):
+        texts = [" ".join(f"w{i}" for i in rng.integers(0, 10**9, 20_000)) + " the same words", "the same words"]
+        ids, bounds = codec.encode(texts)
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == library.encode(texts, num_threads=1)
+        assert len(codec.number) <= pieces.CACHE_WORDS + 40_000 and len(codec.edges_of) <= codec.v.size + 1
