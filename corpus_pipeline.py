@@ -32,9 +32,11 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens, ids and round_trip (whether the ids decode to the text) of each document."""
-    both = pieces.encode(docs.select("doc_id", "source", "text"), PIECE_MODEL, decoded="decoded")
-    return both.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", pieces.same_text(F.col("text"), F.col("decoded")).alias("round_trip"))
+    """The columns of the documents but their text, with ids, round_trip (whether the ids decode to the text) and n_tokens
+    added; columns of these names are replaced. See `pieces.encode`."""
+    others = [c for c in docs.columns if c.lower() not in ("text", "ids", "round_trip", "n_tokens")]
+    got = pieces.encode(docs, PIECE_MODEL, round_trip="round_trip", carry=others)
+    return got.withColumn("n_tokens", F.size("ids").cast("long"))
 
 
 STAGES = [
