@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -76,3 +77,17 @@ def test_chats_read_back(spark):
         want.setdefault(c, []).append((role or "", text or ""))
     assert got == {c: (x, "".join(s for r, s in x if r == "assistant")) for c, x in want.items()}
     assert chat.format_chats(df.where("false")).count() == 0
+
+
+def test_long_conversations_take_time_in_proportion(spark):
+    def took(n):
+        df = spark.range(n).selectExpr("1 as conv_id", "id as turn", "if(id % 3 = 0, 'user', 'assistant') as role", "concat('é </turn> ', repeat('abc ', 30), id) as text")
+        t = chat.format_chats(df)
+        began = time.perf_counter()
+        got = t.select(F.size(chat.read_turns(F.col("formatted"))).alias("n"), chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"), F.size("loss_spans").alias("spans")).collect()
+        assert [(r.n, r.spans) for r in got] == [(n, n - (n + 2) // 3)]
+        assert got[0].loss == "".join(f"é </turn> {'abc ' * 30}{i}" for i in range(n) if i % 3)
+        return time.perf_counter() - began
+
+    took(1000)
+    assert took(32_000) < 8 * took(8000) + 2
