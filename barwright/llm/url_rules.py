@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import Scratch
+
 #: Sorts after every key that starts with the key it is put behind.
 LAST = "\U0010ffff"
 
@@ -54,27 +56,31 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", keep: tuple
 
     rules: (host, path, verdict). A rule fits its host and all subdomains if the URL's path starts with the rule's;
     of several the longest (host and path together, then host) wins; none gives a null rule and `default`.
-    Rows and rules meet in one sort: rows and segment starts are dealt by the key's first label and a salt,
-    sorted by key, and each row takes the last stack before it. No interval spans two first labels, so nothing
-    is carried between groups; the salt splits a hot host over all tasks and only the segments are copied.
+    Rows and segment starts meet in one range partitioning by key, written to the shared folder, so every row and every
+    rule is there once and a hot host is cut into as many pieces as others are (rows of one key by a hash). In each piece,
+    in the order of keys, a row takes the last stack before it; where its piece has none yet, the last one of the pieces
+    before, carried over in a table of one row per piece. All path rules of one host lie in one stack.
 
     Null or malformed URLs have empty host and path and the default verdict; repeated rows stay; other columns of
     `pages` are ignored, so clashing names do no harm; an empty table or rule set gives no rows, or no rules.
     """
     spark = pages.sparkSession
-    salts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    pieces = 4 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     host, path = _split(F.col(url))
     kept = F.struct(*[F.col(c) for c in keep]) if keep else F.struct(F.lit(1))
     rows = pages.select(kept.alias("kept"), host.alias("host"), path.alias("path"))
-    rows = rows.withColumn("key", host_key(F.col("host"))).withColumn("salt", F.pmod(F.xxhash64("kept", "path"), F.lit(salts)).cast("int"))
-    segments = rule_segments(rules).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    both = rows.withColumn("is_row", F.lit(1)).unionByName(segments.withColumn("is_row", F.lit(0)), allowMissingColumns=True)
-    sweep = Window.partitionBy(F.substring_index("key", ".", 1), "salt").orderBy("key", "is_row").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("key", host_key(F.col("host"))).withColumn("tie", F.xxhash64("kept", "path")).withColumn("is_row", F.lit(1))
+    both = rows.unionByName(rule_segments(rules).withColumn("is_row", F.lit(0)), allowMissingColumns=True)
+    dealt = both.repartitionByRange(pieces, "key", "is_row", "tie").withColumn("piece", F.spark_partition_id())
+    dealt = Scratch(spark, "urls").keep(dealt, "dealt")  # written, so that a rerun can't deal otherwise
+    sweep = Window.partitionBy("piece").orderBy("key", "is_row").rowsBetween(Window.unboundedPreceding, 0)
+    ends = dealt.groupBy("piece").agg(F.max_by("stack", F.when(F.col("is_row") == 0, F.col("key"))).alias("end"))
+    carried = ends.select("piece", F.last("end", ignorenulls=True).over(Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    both = dealt.withColumn("inside", F.last("stack", ignorenulls=True).over(sweep)).where("is_row = 1").join(F.broadcast(carried), "piece", "left")
     fits = F.filter("active", lambda r: F.startswith(F.col("path"), r["path"]))
     best = F.array_max(F.transform(fits, lambda r: F.struct((F.length(r["host"]) + F.length(r["path"])).alias("n"), F.length(r["host"]).alias("h"), F.concat(r["host"], r["path"]).alias("rule"), r["verdict"].alias("verdict"))))
     return (
-        both.withColumn("active", F.last("stack", ignorenulls=True).over(sweep))
-        .where("is_row = 1")
+        both.withColumn("active", F.coalesce("inside", "carried"))
         .withColumn("best", best)
         .select(*[F.col("kept")[c].alias(c) for c in keep], "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
     )

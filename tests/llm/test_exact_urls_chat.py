@@ -51,6 +51,9 @@ def test_urls_equal_brute_force(spark):
         _, rule, verdict = max(fit, default=(0, None, "allow"))
         want.add((i, host, path, rule, verdict))
     assert got == want
+    odd = spark.createDataFrame([(None, "http://a.net/x"), (1, "http://" + "a." * 50_000 + "net/x"), (None, None)], "page_id long, url string")
+    block = spark.createDataFrame([("net", "/", "block")], "host string, path string, verdict string")
+    assert sorted((r.page_id is None, r.verdict) for r in url_rules.judge_urls(odd, block).collect()) == [(False, "block"), (True, "allow"), (True, "block")]
     none = spark.createDataFrame([], "host string, path string, verdict string")
     assert url_rules.judge_urls(df, none).where("rule is null and verdict = 'allow'").count() == len(urls) + 3
     assert url_rules.judge_urls(df.where("false"), none).count() == 0
