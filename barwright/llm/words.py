@@ -49,6 +49,12 @@ def _power(n: int) -> list[np.ndarray]:
     return _powers
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base of running hashes, and of its inverse."""
+    power, inverse = _power(n)
+    return power[:n], inverse[:n]
+
+
 def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of at most `limit` bytes of text, or one row."""
     return chunks_of(np.asarray(pc.fill_null(pc.binary_length(texts), 0)), limit)
