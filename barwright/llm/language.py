@@ -11,12 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import set_aside
+from .shared import Scratch, set_aside
 from .words import chunks, give_back
 
 ORDER = 5
-#: Bits of a symbol, so that ORDER of them make one key.
-BITS = 6
+#: Bits of a symbol, so that ORDER of them make one key; so many letters, less three, have symbols of their own.
+BITS = 12
 SPACE, OTHER = 1, 2
 #: Bytes of text judged at once.
 CHUNK_BYTES = 1 << 19
@@ -26,33 +26,32 @@ CHUNK_BYTES = 1 << 19
 class Settings:
     """docs_per_lang: about so many labelled documents of each language are learnt from, picked by a hash of the id;
     this bounds what is fitted on, and with it the model. One in calibrate_every of them is set apart to calibrate on.
+    max_langs: of more values of lang the most frequent are learnt.
+
+    A text is rejected beyond median + stretch * (quantile - median) of the cross-entropies that calibration texts of its
+    language and length had.
     """
 
     docs_per_lang: int = 1200
     calibrate_every: int = 4
-    #: Standard deviations, and bits at least, over the calibration documents' median cross-entropy beyond which a
-    #: text is rejected. Texts in other scripts lie four bits over it or more, in languages akin to a learnt one two to
-    #: three.
-    reject_sd: float = 8.0
-    reject_bits: float = 2.5
+    max_langs: int = 500
+    quantile: float = 0.99
+    stretch: float = 5.0
+
+
+_POINTS = 0x110000
 
 
 class Alphabet:
     """Maps code points to symbols: 0 unused, 1 not a letter, 2 any other letter, then the letters learnt."""
 
     def __init__(self, known: np.ndarray) -> None:
-        self.table = np.full(0x3000, OTHER, np.uint8)
-        is_letter = np.array([chr(c).isalpha() for c in range(0x3000)])
-        self.table[~is_letter] = SPACE
+        self.table = np.fromiter((OTHER if chr(c).isalpha() else SPACE for c in range(_POINTS)), np.uint16, _POINTS)
         self.table[known] = np.arange(3, 3 + len(known))
         self.size = 3 + len(known)
 
     def symbols(self, points: np.ndarray) -> np.ndarray:
-        low = self.table[np.minimum(points, 0x2FFF)]
-        far = np.flatnonzero(points >= 0x3000)
-        if len(far):
-            low[far] = [OTHER if chr(c).isalpha() else SPACE for c in points[far].tolist()]
-        return low
+        return self.table[points]
 
 
 def encode(texts: list[str], alphabet: Alphabet) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -141,9 +140,14 @@ class Detector:
 
     def __init__(self, langs: list[str], models: list[KneserNey], alphabet: Alphabet) -> None:
         self.langs, self.models, self.alphabet = langs, models, alphabet
-        self.mean = np.zeros(len(langs))
-        self.spread = np.full(len(langs), np.inf)
-        self.by_length = np.zeros(len(langs))
+        #: By language the logarithms of lengths, and the cross-entropy there beyond which a text is rejected.
+        self.limits: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(1), np.full(1, np.inf)) for _ in langs]
+
+    def limit(self, lang: np.ndarray, n: np.ndarray) -> np.ndarray:
+        out, at = np.zeros(len(lang)), np.log(np.maximum(n, 1))
+        for i, (x, y) in enumerate(self.limits):
+            out[lang == i] = np.interp(at[lang == i], x, y)
+        return out
 
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Cross-entropy per symbol (texts x languages), symbols and letters by text."""
@@ -168,9 +172,8 @@ class Detector:
         # posterior of the best language; long texts don't count as so many independent symbols
         gap = (h.min(axis=1)[:, None] - h) * np.minimum(n, 40)[:, None]
         score = 1 / np.exp2(gap).sum(axis=1)
-        limit = self.mean[best] + self.spread[best] + self.by_length[best] / np.sqrt(np.maximum(n, 1))
         none = n_letters == 0
-        rejected = none | (h.min(axis=1) > limit)
+        rejected = none | (h.min(axis=1) > self.limit(best, n))
         return ["und" if z else self.langs[b] for b, z in zip(best.tolist(), none.tolist(), strict=True)], np.where(none, 0.0, score), rejected
 
 
@@ -181,13 +184,14 @@ def _held_out() -> F.Column:
 def _gram_counts(alphabet: Alphabet):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lang = batch.column("lang").dictionary_encode()
-            index = np.asarray(lang.indices)
-            for i, name in enumerate(lang.dictionary.to_pylist()):
-                texts = batch.column("text").filter(pa.array(index == i)).to_pylist()
-                keys, _, _ = encode(texts, alphabet)
-                grams, counts = np.unique(keys, return_counts=True)
-                yield pa.record_batch([pa.array([name] * len(grams), pa.string()), pa.array(grams), pa.array(counts)], names=["lang", "gram", "n"])
+            for begin, end in chunks(batch.column("text"), CHUNK_BYTES):
+                part = batch.slice(begin, end - begin)
+                lang = part.column("lang").dictionary_encode()
+                index = np.asarray(lang.indices)
+                for i, name in enumerate(lang.dictionary.to_pylist()):
+                    keys, _, _ = encode(part.column("text").filter(pa.array(index == i)).to_pylist(), alphabet)
+                    grams, counts = np.unique(keys, return_counts=True)
+                    yield pa.record_batch([pa.array([name] * len(grams), pa.string()), pa.array(grams), pa.array(counts)], names=["lang", "gram", "n"])
 
     return run
 
@@ -195,18 +199,20 @@ def _gram_counts(alphabet: Alphabet):
 def fit(docs: DataFrame, settings: Settings = Settings()) -> Detector | None:
     """Learns from the text and lang of labelled rows that are not held out; None if there are none.
 
-    Rows are counted by language first; of each, a hash of the id picks about settings.docs_per_lang, so what the
-    driver gathers (n-gram counts of the sample, summed on the executors) has a fixed bound at any input size.
+    Rows are counted by language first (one count a language comes to the driver); of each, a hash of the id picks about
+    settings.docs_per_lang, which are written to the shared folder. What the driver gathers (n-gram counts of that
+    sample, summed on the executors) grows with the languages and not with the input.
     """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~_held_out())
-    sizes = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}
+    sizes = {r[0]: r[1] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(settings.max_langs).collect()}
     if not sizes:
         return None
     rank = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 20))
     bound = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1 << 20, int((1 << 20) * settings.docs_per_lang / n) + 1))])[F.col("lang")]
-    sample = labelled.select("text", "lang", rank.alias("rank"), "doc_id").where(F.col("rank") < bound)
     for_fit = F.pmod(F.xxhash64(F.lit("calibrate"), "doc_id"), F.lit(settings.calibrate_every)) != 0
-    fitted = sample.where(for_fit).select("text", "lang")
+    sample = labelled.where(rank < bound).select("text", "lang", for_fit.alias("for_fit"))
+    sample = Scratch(docs.sparkSession, "language").keep(sample, "sample")
+    fitted = sample.where("for_fit").select("text", "lang")
     # letters of the languages, the most frequent ones with symbols of their own
     seen = fitted.mapInArrow(_letter_counts, "letter int, n long").groupBy("letter").agg(F.sum("n").alias("n"))
     top = seen.orderBy(F.desc("n"), "letter").limit((1 << BITS) - 4).collect()
@@ -214,71 +220,67 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> Detector | None:
     counts = fitted.mapInArrow(_gram_counts(alphabet), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     name, gram, n = counts.column("lang").combine_chunks(), counts.column("gram").to_numpy(), counts.column("n").to_numpy()
     langs = sorted(set(name.unique().to_pylist()))
+    if not langs:  # no labelled text has a letter, or all few are set apart
+        return None
     models = []
     for lang in langs:
         of = np.asarray(pa.compute.equal(name, lang))
         models.append(KneserNey(gram[of], n[of], alphabet.size))
     detector = Detector(langs, models, alphabet)
-    _calibrate(detector, sample.where(~for_fit), settings)
+    _calibrate(detector, sample.where("not for_fit"), settings)
     return detector
 
 
 def _letter_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        text = "".join(batch.column("text").to_pylist()).lower()
-        points, n = np.unique(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), return_counts=True)
-        ok = np.array([c < 0x3000 and chr(c).isalpha() for c in points.tolist()], bool)
-        yield pa.record_batch([pa.array(points[ok].astype(np.int32)), pa.array(n[ok])], names=["letter", "n"])
-
-
-#: Bounds of the classes of length (symbols) in which short texts are calibrated, and the characters cut from the middle
-#: of each longer text, so that every class is filled.
-CLASSES = (1, 25, 50, 100, 200)
-PIECES = (15, 40, 80, 160)
-#: Median deviations to standard deviations, and standard deviations that one in a thousand texts exceeds.
-MAD_SD, TAIL_SD = 1.4826, 3.09
+        for begin, end in chunks(batch.column("text"), CHUNK_BYTES):
+            text = "".join(batch.column("text").slice(begin, end - begin).to_pylist()).lower()
+            points, n = np.unique(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), return_counts=True)
+            ok = np.array([chr(c).isalpha() for c in points.tolist()], bool)
+            yield pa.record_batch([pa.array(points[ok].astype(np.int32)), pa.array(n[ok])], names=["letter", "n"])
 
 
-def _middle_and_sd(x: np.ndarray) -> tuple[float, float]:
-    """Median, and deviation from it; wrong labels and odd texts, up to half of all, don't widen it at will."""
-    middle = np.median(x)
-    return middle, MAD_SD * np.median(np.abs(x - middle))
+#: Bounds of the classes of length (symbols) that are calibrated one by one, and the characters cut from the middle of
+#: each longer text, so that every class is filled.
+CLASSES = (1, 10, 25, 50, 100, 200, 1000, 1 << 62)
+PIECES = (6, 15, 40, 80, 160, 500)
+#: Texts that a class needs; else a neighbouring class counts for its lengths too.
+LEAST = 20
 
 
-def _limits(h: np.ndarray, n: np.ndarray, settings: Settings) -> tuple[float, float, float] | None:
-    """Mean, spread and allowance by length from a language's calibration texts; None where long ones are too few."""
-    long_ = n >= CLASSES[-1]
-    if long_.sum() < 20:
-        return None
-    mean, sd = _middle_and_sd(h[long_])
-    spread, by_length = max(settings.reject_sd * sd, settings.reject_bits), 0.0
+def _limits(h: np.ndarray, n: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray] | None:
+    """Logarithms of the classes' median lengths and their limits, which don't rise with length; None without a class."""
+    at, limit = [], []
     for low, high in pairwise(CLASSES):
         of = (n >= low) & (n < high)
-        if of.sum() >= 20:
-            middle, sd = _middle_and_sd(h[of])
-            by_length = max(by_length, (middle + TAIL_SD * sd - mean - spread) * np.sqrt(np.median(n[of])))
-    return mean, spread, by_length
+        if of.sum() >= LEAST:
+            middle, far = np.quantile(h[of], [0.5, settings.quantile])
+            at.append(np.log(np.median(n[of])))
+            limit.append(middle + settings.stretch * (far - middle))
+    return (np.array(at), np.maximum.accumulate(limit[::-1])[::-1]) if at else None
 
 
 def _calibrate(detector: Detector, sample: DataFrame, settings: Settings) -> None:
-    """Rejection limits from documents that the models have not seen: by language the median cross-entropy of long
-    texts, their spread, and the extra allowance that short texts need."""
+    """Rejection limits by language and length, from documents that the models have not seen. A text that another model
+    likes better than its label's may be labelled wrongly, and says nothing about what the language's texts look like."""
     shared = sample.sparkSession.sparkContext.broadcast(detector)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        d: Detector = shared.value
         for batch in batches:
-            cut = list(zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True))
-            cut += [(t[len(t) // 2 :][:k], lang) for t, lang in cut for k in PIECES if len(t) > 2 * k]
-            h, n, _ = shared.value.entropies([t for t, _ in cut])
-            own = [shared.value.langs.index(x) if x in shared.value.langs else -1 for _, x in cut]
-            yield pa.record_batch([pa.array(own, pa.int32()), pa.array(h[np.arange(len(own)), own] if len(own) else []), pa.array(n)], names=["lang", "h", "n"])
+            for begin, end in chunks(batch.column("text"), CHUNK_BYTES // 4):
+                part = batch.slice(begin, end - begin)
+                cut = list(zip(part.column("text").to_pylist(), part.column("lang").to_pylist(), strict=True))
+                cut += [(t[len(t) // 2 :][:k], lang) for t, lang in cut for k in PIECES if len(t) > 2 * k]
+                h, n, letters = d.entropies([t for t, _ in cut])
+                best = h.argmin(axis=1) if len(h) else np.zeros(0, np.int64)
+                right = np.array([lang == d.langs[b] for (_, lang), b in zip(cut, best.tolist(), strict=True)], bool) & (letters > 0)
+                yield pa.record_batch([pa.array(best[right].astype(np.int32)), pa.array(h.min(axis=1)[right] if len(h) else []), pa.array(n[right])], names=["lang", "h", "n"])
 
     got = sample.select("text", "lang").mapInArrow(run, "lang int, h double, n long").toArrow()
     lang, h, n = (got.column(c).to_numpy() for c in ("lang", "h", "n"))
     for i in range(len(detector.langs)):
-        limits = _limits(h[lang == i], n[lang == i], settings)
-        if limits:
-            detector.mean[i], detector.spread[i], detector.by_length[i] = limits
+        detector.limits[i] = _limits(h[lang == i], n[lang == i], settings) or detector.limits[i]
 
 
 def identify(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -286,9 +288,10 @@ def identify(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 
     The language is the one whose model has the lowest cross-entropy per symbol over the whole text. `und` with
     score 0 where the text is null or has no letter, or nothing could be learnt; such rows are rejected, and so are
-    texts whose cross-entropy lies far above what calibration documents of the predicted language had. lang, source
-    and doc_id are no inputs of a prediction. Ties go to the language that sorts first. Repeated rows are judged
-    one by one; columns of the added names are replaced; other columns stay; an empty table gives no rows.
+    texts whose cross-entropy lies far above what calibration texts of the predicted language and their length had; a
+    language with fewer than LEAST calibration texts of every length rejects nothing. lang, source and doc_id are no inputs
+    of a prediction. Ties go to the language that sorts first. Repeated rows are judged one by one; columns of the added
+    names are replaced; other columns stay; an empty table gives no rows.
     """
     detector = fit(docs, settings)
     added = {"lang_pred": "string", "score": "double", "rejected": "boolean"}

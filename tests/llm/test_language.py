@@ -80,3 +80,31 @@ def test_short_texts_of_languages_not_learnt(spark):
         assert detector.predict(short)[2].all()
         usual = [r.text[len(r.text) // 3 :][:80] for r in docs.where("lang is not null and length(text) > 300").where(language._held_out()).collect()]
         assert len(usual) > 100 and detector.predict(usual)[2].mean() < 0.01
+
+
+@pytest.mark.parametrize("out", ["es", "de"])
+def test_a_language_left_out_is_rejected_and_the_others_are_not(spark, out):
+    docs = spark.read.parquet(DATA.replace("sf0.01", "sf0.1"))
+    detector = language.fit(docs.where(F.col("lang") != out))
+    held = [(r.lang, r.text) for r in docs.where("lang is not null and length(text) > 400").where(language._held_out()).collect()]
+    strange = lambda cut: detector.predict([cut(t) for x, t in held if x == out])[2].mean()
+    usual = lambda cut: detector.predict([cut(t) for x, t in held if x != out])[2].mean()
+    whole, middle = (lambda t: t), (lambda t: t[len(t) // 3 :][:200])
+    assert strange(whole) > 0.95 and strange(middle) > 0.85
+    for n in (20, 50, 100, 200):
+        assert usual(lambda t: t[len(t) // 3 :][:n]) < 0.005  # noqa: B023
+    assert usual(whole) < 0.005
+
+
+def test_ties_long_texts_and_few_calibration_rows(spark):
+    rows = [(i, "same words again", lang) for i in range(200) for lang in ("b", "a")] + [(1000, "same words " * 200_000, None)]
+    got = language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert {r.lang_pred for r in got} == {"a"} and len(got) == len(rows)
+    few = [(i, f"some text {i} that is short", "en") for i in range(9)] + [(99, "зжщ жщз", None)]
+    assert not any(r.rejected for r in language.identify(spark.createDataFrame(few, "doc_id long, text string, lang string")).collect())
+
+
+def test_letters_of_any_script_have_symbols(spark):
+    rows = [(i, t * 9, x) for i in range(120) for x, t in (("zh", "我们今天去学校学习新的知识 "), ("ja", "私たちは今日学校へ行きます "), ("ko", "우리는 오늘 학교에 갑니다 "))]
+    docs = spark.createDataFrame([(3 * i + k, t, x) for k, (i, t, x) in enumerate(rows)], "doc_id long, text string, lang string")
+    assert all(r.lang_pred == r.lang for r in language.identify(docs).collect())
