@@ -45,12 +45,14 @@ def one_series(market: DataFrame, ticker: str) -> DataFrame:
 
 
 def absent(new: DataFrame, stored: DataFrame, key: Sequence[str]) -> DataFrame:
-    """The new rows whose key is not stored; of new rows with one key any one. A key with nulls conflicts with none."""
+    """The new rows whose key is not stored; of new rows with one key the least (maps don't count). A key with nulls
+    conflicts with none."""
     whole = F.lit(True)
     for k in key:
         whole = whole & F.col(k).isNotNull()
-    fresh = new.where(whole).dropDuplicates(list(key)).join(stored.select(*key), list(key), "left_anti")
-    return fresh.select(new.columns).unionByName(new.where(~whole))
+    order = F.struct(*[c for c, t in new.dtypes if "map<" not in t])
+    fresh = new.where(whole).join(stored.select(*key), list(key), "left_anti").groupBy(*key).agg(F.min_by(F.struct(*new.columns), order).alias("row"))
+    return fresh.select("row.*").unionByName(new.where(~whole))
 
 
 def missing_days(stored: DataFrame, start: str, end: str) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from barwright.functions.guards import clip
 from barwright.operators.quantiles import exact_quantiles
 from barwright.plans import parameters as P
+from barwright.scratch import Scratch
 
 KEY = ("Date", "Ticker")
 
@@ -54,9 +55,15 @@ def winsor_bounds(df: DataFrame, columns: Sequence[str] = P.CLIP_COLUMNS, low: f
 
 
 def clip_outliers(df: DataFrame, clip_columns: Sequence[str] | None = None, fit_on: DataFrame | None = None) -> DataFrame:
-    """The columns cut at their 1 % and 99 % quantiles, those of the frame itself unless `fit_on` is given."""
+    """The columns cut at their 1 % and 99 % quantiles, those of the frame itself unless `fit_on` is given. What the
+    quantiles are taken from is written once, as they take several passes."""
     columns = [c for c in (clip_columns or P.CLIP_COLUMNS)]
-    bounds = winsor_bounds(df if fit_on is None else fit_on, columns)
+    scratch = Scratch(df.sparkSession, "clip")
+    if fit_on is None:
+        df = fit_on = scratch.keep(df, "frame")
+    else:
+        fit_on = scratch.keep(fit_on.select(*columns), "fit")
+    bounds = winsor_bounds(fit_on, columns)
     return df.withColumns({c: clip(F.col(c).cast("double"), F.lit(lo), F.lit(hi)) for c, (lo, hi) in bounds.items() if lo is not None})
 
 
@@ -116,10 +123,14 @@ class IsolationForest:
 
 def outlier_detection(df: DataFrame, outlier_feature_selection: Sequence[str] | None = None, settings: ForestSettings = ForestSettings()) -> DataFrame:
     """The frame with `is_outlier` (1 for about the most isolated 1.5 % of rows, else 0). Rows with a null among the
-    columns are not judged (0). The forest is learnt from a bounded sample picked by a hash; all rows are scored."""
+    columns are not judged (0). The forest is learnt from a bounded sample picked by a hash of the key, where the frame
+    has one, so that equal rows are drawn one by one; all rows are scored. Frame and scores are written once."""
     columns = list(outlier_feature_selection or P.OUTLIER_COLUMNS)
-    whole = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna("any")
-    sample = whole.orderBy(F.xxhash64(F.lit(settings.seed), *columns)).limit(settings.trees * settings.sample_rows).toPandas()
+    scratch = Scratch(df.sparkSession, "outliers")
+    df = scratch.keep(df, "frame")
+    drawn = [k for k in KEY if k in df.columns] or columns
+    whole = df.select(F.xxhash64(F.lit(settings.seed), *drawn).alias("_drawn"), *[F.col(c).cast("double").alias(c) for c in columns]).dropna("any")
+    sample = whole.orderBy("_drawn", *columns).limit(settings.trees * settings.sample_rows).drop("_drawn").toPandas()
     shared = df.sparkSession.sparkContext.broadcast(IsolationForest(sample.to_numpy(float), settings))
 
     @F.pandas_udf("double")
@@ -129,7 +140,7 @@ def outlier_detection(df: DataFrame, outlier_feature_selection: Sequence[str] |
             bad = np.isnan(x).any(axis=1)
             yield pd.Series(np.where(bad, np.nan, shared.value.score(np.nan_to_num(x))))
 
-    scored = df.withColumn("_isolation", F.nanvl(isolation(*[F.col(c).cast("double") for c in columns]), F.lit(None).cast("double")))
+    scored = scratch.keep(df.withColumn("_isolation", F.nanvl(isolation(*[F.col(c).cast("double") for c in columns]), F.lit(None).cast("double"))), "scored")
     bound = exact_quantiles(scored.select("_isolation"), ["_isolation"], [1 - settings.contamination])["_isolation"][0]
     flag = F.coalesce(F.col("_isolation") > F.lit(bound), F.lit(False)).cast("int")
     return scored.withColumn("is_outlier", flag).drop("_isolation")

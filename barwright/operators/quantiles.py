@@ -1,35 +1,59 @@
-"""Exact quantiles with linear interpolation, of many columns in a fixed number of passes."""
+"""Exact quantiles with linear interpolation, of many columns in few passes."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Half the width, as a share of the rows, of the bracket in which exact values are looked for.
+#: Half the width, as a share of the values looked at, of the bracket that a sketch gives.
 EPSILON = 0.002
+#: No aggregation takes an exact value among more values than this, unless equal values keep a bracket from narrowing.
+BOUND = 500_000
 
 
-def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> dict[str, list[float | None]]:
+@dataclass
+class _Sought:
+    """A quantile on its way: the value lies at rank `at` (from 0) among the `m` values of the bracket."""
+
+    column: str
+    at: float
+    m: int
+    lo: float | None = None
+    hi: float | None = None
+    open: bool = True
+
+    def inside(self) -> Column:
+        c = F.col(self.column)
+        return c if self.lo is None else F.when((c >= self.lo) & (c <= self.hi), c)
+
+    def share(self, away: float = 0.0) -> float:
+        return min(1.0, max(0.0, (self.at / (self.m - 1) if self.m > 1 else 0.0) + away))
+
+
+def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float], bound: int = BOUND) -> dict[str, list[float | None]]:
     """By column, the quantiles of its non-null values; None without any.
 
-    A sketch brackets each quantile, a second pass counts what lies below and in the bracket, a third takes the exact
-    value among those in the bracket. So what one aggregation holds is a small share of the values, not all.
+    A bracket with more than `bound` values is narrowed by a sketch and a count of what lies below and in it, as often as
+    that makes it smaller; the exact value is then taken among those left. So one aggregation holds a bounded number of
+    different values. Every pass reads `df`, so give one that is cheap to read.
     """
-    keys = [(c, i, p) for c in columns for i, p in enumerate(probabilities)]
-    sketch = df.agg(*[F.count(c).alias(f"n {c}") for c in columns], *[F.percentile_approx(c, [max(0.0, p - EPSILON), min(1.0, p + EPSILON)], 10_000).alias(f"b {c} {i}") for c, i, p in keys]).first()
-    within = lambda c, lo, hi: F.when((F.col(c) >= lo) & (F.col(c) <= hi), F.col(c))
-    brackets = {(c, i): sketch[f"b {c} {i}"] for c, i, _ in keys if sketch[f"n {c}"]}
-    if not brackets:
+    counts = df.agg(*[F.count(c).alias(c) for c in columns]).first().asDict()
+    sought = {(c, i): _Sought(c, p * (counts[c] - 1), counts[c]) for c in columns for i, p in enumerate(probabilities) if counts[c]}
+    while wide := [(str(n), s) for n, s in enumerate(sought.values()) if s.open and s.m > bound]:
+        sketch = df.agg(*[F.percentile_approx(s.inside(), [s.share(-EPSILON), s.share(EPSILON)], 10_000).alias(n) for n, s in wide]).first()
+        below = lambda n, s: F.count_if(s.inside() < sketch[n][0])  # noqa: B023, E731
+        within = lambda n, s: F.count_if(s.inside().between(*sketch[n]))  # noqa: B023, E731
+        counted = df.agg(*[x for n, s in wide for x in (below(n, s).alias(f"below {n}"), within(n, s).alias(f"within {n}"))]).first()
+        for n, s in wide:
+            at, m = s.at - counted[f"below {n}"], counted[f"within {n}"]
+            s.open = 0 <= at <= m - 1 and m < s.m
+            if s.open:
+                s.at, s.m, (s.lo, s.hi) = at, m, sketch[n]
+    if not sought:
         return {c: [None] * len(probabilities) for c in columns}
-    counted = df.agg(*[x for (c, i), (lo, hi) in brackets.items() for x in (F.count_if(F.col(c) < lo).alias(f"l {c} {i}"), F.count(within(c, lo, hi)).alias(f"m {c} {i}"))]).first()
-    exact = {}
-    for c, i, p in keys:
-        if (c, i) in brackets:
-            at, m = p * (sketch[f"n {c}"] - 1) - counted[f"l {c} {i}"], counted[f"m {c} {i}"]
-            inside = 0 <= at <= m - 1
-            lo, hi = brackets[c, i] if inside else (float("-inf"), float("inf"))  # the sketch was off: look among all
-            exact[c, i] = F.percentile(within(c, lo, hi) if inside else F.col(c), (at / (m - 1) if m > 1 else 0.0) if inside else p)
-    row = df.agg(*[v.alias(f"{c} {i}") for (c, i), v in exact.items()]).first()
-    return {c: [row[f"{c} {i}"] if (c, i) in exact else None for i in range(len(probabilities))] for c in columns}
+    row = df.agg(*[F.percentile(s.inside(), s.share()).alias(str(n)) for n, s in enumerate(sought.values())]).first()
+    exact = dict(zip(sought, row, strict=True))
+    return {c: [exact.get((c, i)) for i in range(len(probabilities))] for c in columns}

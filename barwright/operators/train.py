@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import time
 import uuid
 from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from itertools import product
 
@@ -26,6 +28,8 @@ WEEKDAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday")
 DAYS = (*WEEKDAYS, "Saturday", "Sunday")
 KEY = ("Date", "Ticker")
 SEED = 42
+#: Values (of eight bytes) in a partition of encoded rows.
+CELLS = 2_000_000
 
 
 def _encoders(onehot: Sequence[str], ordinal: Sequence[str], columns: Sequence[str]) -> tuple[list, list[str]]:
@@ -108,27 +112,39 @@ def scored(model: PipelineModel | Transformer, df: DataFrame) -> DataFrame:
     return out.select(*df.columns, F.col("prediction").cast("int").alias("prediction"), vector_to_array("probability")[1].alias("probability"))
 
 
-def train_model(train: DataFrame, test: DataFrame, kind: str, target: str = "market_movement", values: dict[str, Sequence] | None = None, folds: int = 5, parallelism: int = 4) -> Trained:
+@contextmanager
+def vectors(pipeline: Pipeline, a: DataFrame, b: DataFrame, cells: int) -> Iterator[tuple[DataFrame, DataFrame]]:
+    """Both frames as labels and encoded vectors, kept while in use: what comes before a pipeline's last stage is the same
+    at every point of a grid, so it is learnt (from `a`) and applied once a window. Small frames get few partitions, as
+    every iteration of a fit is a job over them."""
+    parts = max(1, math.ceil(cells / CELLS))
+    encoder = Pipeline(stages=pipeline.getStages()[:-1]).fit(a)
+    both = [encoder.transform(x).select("label", "features").coalesce(parts).persist() for x in (a, b)]
+    try:
+        yield both[0], both[1]
+    finally:
+        for x in both:
+            x.unpersist()
+
+
+def train_model(train: DataFrame, test: DataFrame, kind: str, target: str = "market_movement", values: dict[str, Sequence] | None = None, folds: int = 5, parallelism: int = 8) -> Trained:
     """Every point of the grid over expanding windows, the best by mean area under the curve learnt again from all
     training rows, and its metrics on the test rows. Fits run side by side on the same cluster."""
     if kind not in PIPELINES:
         raise ValueError(f"unknown model {kind!r}; known are {', '.join(PIPELINES)}")
     make, default = PIPELINES[kind]
     columns = [c for c in train.columns if c not in (target, *KEY)] + ["Ticker"] * ("Ticker" in train.columns)
+    points, means = grid(values or default), []
+    judge = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction", metricName="areaUnderROC", numBins=0)
     placed = positions(train.withColumn("label", F.col(target).cast("double"))).persist()
     try:
         n = placed.count()
-        judge = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction", metricName="areaUnderROC", numBins=0)
-        parts = [(rows, a, b) for rows, a, b in expanding_folds(placed, n, folds)]
-
-        def fold_score(task: tuple[dict, int, DataFrame, DataFrame]) -> float:
-            params, rows, a, b = task
-            return judge.evaluate(make(columns, rows=rows, **params).fit(a).transform(b))
-
-        points = grid(values or default)
         with ThreadPoolExecutor(parallelism) as pool:
-            scores = list(pool.map(fold_score, [(p, *part) for p in points for part in parts]))
-        means = [sum(scores[i * folds : (i + 1) * folds]) / folds for i in range(len(points))]
+            for rows, a, b in expanding_folds(placed, n, folds):
+                with vectors(make(columns, rows=rows), a, b, rows * len(columns)) as (seen, later):
+                    score = lambda p: judge.evaluate(make(columns, rows=rows, **p).getStages()[-1].fit(seen).transform(later))  # noqa: B023, E731
+                    means.append(list(pool.map(score, points)))
+        means = [sum(s) / folds for s in zip(*means, strict=True)]
         best = max(range(len(points)), key=lambda i: means[i])
         model = make(columns, rows=n, **points[best]).fit(placed)
     finally:

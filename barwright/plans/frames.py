@@ -7,6 +7,8 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barwright.scratch import Scratch
+
 from . import parameters as P
 from .features import TARGET, add_features
 
@@ -17,11 +19,12 @@ BROADCAST_ROWS = 200_000
 
 def merge_dataframes(stock: DataFrame, spy: DataFrame, vix: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Both market series joined to the stocks by date, rows without a market day kept. A series has one row a day; it is
-    broadcast while it has no more than `broadcast_rows`, which a count of its dates checks, and else joined by sort."""
-    out = stock
-    for side in (spy, vix):
-        side = side.drop("Ticker")
-        small = side.select("Date").limit(broadcast_rows + 1).count() <= broadcast_rows
+    written once, broadcast while it has no more than `broadcast_rows` (the files know their rows), and else joined by
+    sort."""
+    out, scratch = stock, Scratch(stock.sparkSession, "market")
+    for name, side in (("spy", spy), ("vix", vix)):
+        side = scratch.keep(side.drop("Ticker"), name)
+        small = side.count() <= broadcast_rows
         out = out.join(F.broadcast(side) if small else side, "Date", "left")
     return out.drop("Repaired?")
 

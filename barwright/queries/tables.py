@@ -12,7 +12,7 @@ from barwright.operators import inference, ingest, metrics, prepare, selection,
 from barwright.plans import frames
 from barwright.plans.features import add_features
 from barwright.schema import PRICES, RUN
-from barwright.scratch import shared_dir
+from barwright.scratch import Scratch, shared_dir
 from barwright.sources import bars as B
 from barwright.sources.store import newest
 from barwright.streaming import bars as S
@@ -375,7 +375,9 @@ oracle("n10_reasons", f"""WITH f AS ({_SMALL_SQL}),
 
 def _trained(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     df = frames.model_frame(B.stock_bars(spark, sf_dir), B.spy_bars(spark, sf_dir), B.vix_bars(spark, sf_dir), kind)
-    early, late = prepare.split_train_test(prepare.complete_rows(df))
+    scratch = Scratch(spark, "model")
+    split = prepare.split_train_test(scratch.keep(prepare.complete_rows(df), "frame"))
+    early, late = (scratch.keep(part, name) for part, name in zip(split, ("train", "test"), strict=True))
     got = train.train_model(early, late, kind)
     return train.scored(got.model, late).select("Ticker", "Date", "prediction", "probability", inference.confidence(F.col("probability")).alias("confidence"))
 

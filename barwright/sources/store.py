@@ -47,11 +47,15 @@ class Store:
         return sorted(f.getPath().getName() for f in fs.listStatus(hadoop) if f.isDirectory()) if fs.exists(hadoop) else []
 
     def insert_if_absent(self, name: str, new: DataFrame, key: Sequence[str] | None = None) -> None:
-        """Appends the rows whose key is not stored. Rows become visible when the whole job commits; no rows, no job."""
+        """Appends the rows whose key is not stored. Rows become visible when the whole job commits; no rows, no job. Of
+        the stored rows only those between the first and last new date are read, where the key has a date."""
         if new.isEmpty():
             return
         key = key or TABLES[name][1]
         stored = self.read(name)
+        if "Date" in key:
+            first, last = new.agg(F.min("Date"), F.max("Date")).first()
+            stored = stored.where(F.col("Date").between(F.lit(first), F.lit(last)))
         absent(new.select(stored.columns), stored, key).write.mode("append").parquet(self.path(name))
 
     def insert_stock_data(self, new: DataFrame) -> None:
