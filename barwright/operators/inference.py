@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barwright.functions.guards import div
 from barwright.operators import train
+from barwright.operators.ingest import serving_window
 from barwright.operators.prepare import clip_outliers, outlier_detection
 from barwright.operators.tree_attribution import tree_attribution
 from barwright.plans.frames import model_frame
 from barwright.plans.window_plan import WindowPlan
+from barwright.scratch import Scratch
+from barwright.sources.bars import Source
 from barwright.sources.store import Store
 
 # Least probabilities of the confidence levels, least fear-index levels of the regimes.
@@ -112,8 +117,8 @@ def reasons(attribution: DataFrame, n: int = 5) -> DataFrame:
 
 
 def coefficients(model: PipelineModel) -> dict[str, float]:
-    """A fitted linear pipeline's weights by input column, per unit of the column: scalers are divided out. Encoded
-    categories are left out."""
+    """A fitted linear pipeline's weights by input column, per unit of the column: scalers are divided out. Days and months
+    count as their numbers. Tickers are left out: a ticker is compared with its own rows, where its weight gives nothing."""
     weights, out, at = model.stages[-1].coefficients.toArray(), {}, 0
     sizes = {s.getOutputCol(): s for s in model.stages if hasattr(s, "getOutputCol")}
     for name in model.stages[-2].getInputCols():
@@ -125,10 +130,20 @@ def coefficients(model: PipelineModel) -> dict[str, float]:
         elif name.endswith("_onehot"):
             at += len(next(s for s in model.stages if hasattr(s, "labels") and s.getOutputCol() == name.replace("_onehot", "_index")).labels)
         else:
+            out[name] = float(weights[at])
             at += 1
     return out
 
 
+def model_attribution(features: DataFrame, model: PipelineModel, model_type: str, top_n: int = 10, background_size: int = 150) -> DataFrame:
+    """The contributions that a fitted model of either type gives each ticker's last row."""
+    if model_type == "xgb":
+        return tree_attribution(features, model, top_n, background_size)
+    numbered = PipelineModel(stages=[s for s in model.stages if isinstance(s, SQLTransformer)]).transform(features)
+    out = linear_attribution(numbered, coefficients(model), top_n, background_size)
+    return out.withColumn("feature", F.regexp_replace("feature", "_number$", ""))
+
+
 def engineer_data(stock: DataFrame, spy: DataFrame, vix: DataFrame, model_type: str) -> DataFrame:
     """The serving frame: no answer; for the linear model flagged and winsorised on itself."""
     df = model_frame(stock, spy, vix, model_type, serving=True)
@@ -142,15 +157,44 @@ class VolatilityPredictor:
         self.model, self.model_type, self.name, self.version, self.stats = model, model_type, name, version, stats or {}
 
     @classmethod
-    def champion(cls, store: Store, model_type: str, alias: str = "champion") -> VolatilityPredictor:
-        row = store.read("model_versions").where(F.col("alias") == alias).orderBy("name", F.desc("version")).first()
+    def champion(cls, store: Store, model_type: str | None = None, alias: str = "champion") -> VolatilityPredictor:
+        """The model that has the alias; its type is the run's tag unless it is named."""
+        row = store.versions().where(F.col("alias") == alias).orderBy("name", F.desc("version")).first()
         if row is None:
             raise LookupError(f"no model has the alias {alias!r}")
         runs = store.read("runs").where(F.col("run_id") == row.run_id).first()
+        model_type = model_type or (runs.tags.get("model") if runs else None)
+        if model_type is None:
+            raise LookupError(f"the type of model {row['name']!r} is not known")
         return cls(PipelineModel.load(row.path), model_type, row["name"], row.version, dict(runs.metrics) if runs else {})
 
+    def prepare_features(self, store: Store, source: Source, ticker: str, lookback_window: int = 500, today: date | None = None) -> tuple[DataFrame, DataFrame]:
+        """A ticker's bars of the last so many calendar days and its features, what the store lacks filled from the source
+        and added to it. The frames are written once, as a payload reads them several times."""
+        windows = {"stock_data": ticker, "spy_data": "SPY", "vix_data": "^VIX"}
+        scratch, got = Scratch(store.spark, "serving"), []
+        for name, one in windows.items():
+            bars = scratch.keep(serving_window(store.read(name), source, one, lookback_window, today), name)
+            store.insert_if_absent(name, bars)
+            got.append(bars)
+        return got[0], scratch.keep(engineer_data(*got, self.model_type), "features")
+
+    def predict_ticker(self, store: Store, source: Source, ticker: str, lookback_window: int = 500, today: date | None = None) -> DataFrame:
+        """One row: the prediction with the ticker's last close and the model's type."""
+        bars, features = self.prepare_features(store, source, ticker, lookback_window, today)
+        close = last_known(bars, "Close").withColumnRenamed("Close", "close_price")
+        return self.predict(features).join(close, "Ticker", "left").withColumn("model_type", F.lit(self.model_type))
+
+    def latest_features(self, bars: DataFrame, features: DataFrame) -> DataFrame:
+        """One nested row a ticker: its bars, bands and the values of its last row, as text where they aren't numbers."""
+        names = [c for c in features.columns if c != "Ticker"]
+        values = latest(features).select("Ticker", F.create_map(*[x for c in names for x in (F.lit(c), F.col(c).cast("string"))]).alias("features"))
+        bands = bollinger_overlay(bars).select("Ticker", F.struct("dates", "middle", "upper", "lower").alias("bollinger"))
+        return ohlcv_records(bars).join(bands, "Ticker", "left").join(values, "Ticker", "left")
+
     def predict(self, features: DataFrame) -> DataFrame:
-        """Ticker, date, prediction, probability, confidence, model_name and model_version, a row a ticker."""
+        """Ticker, date, prediction, probability, confidence, model_name and model_version, a row a ticker. It is the last
+        row without nulls that is scored; `Date` tells which day that is."""
         out = train.scored(self.model, latest(features.dropna("any")))
         return out.select("Ticker", "Date", "prediction", "probability", confidence(F.col("probability")).alias("confidence"), F.lit(self.name).alias("model_name"), F.lit(self.version).alias("model_version"))
 
@@ -163,7 +207,7 @@ class VolatilityPredictor:
         market = market_overview(features).select("Ticker", F.struct("spy_return", "vix_level", "regime").alias("market"))
         out = out.join(bands, "Ticker", "left").join(values, "Ticker", "left").join(market, "Ticker", "left")
         if self.model_type in ("lr", "xgb"):
-            why = linear_attribution(features, coefficients(self.model), top_n, background_size) if self.model_type == "lr" else tree_attribution(features, self.model, top_n, background_size)
+            why = model_attribution(features, self.model, self.model_type, top_n, background_size)
             why = why.groupBy("Ticker").agg(F.sort_array(F.collect_list(F.struct("rank", "feature", "value", "contribution"))).alias("attribution"))
             out = out.join(why, "Ticker", "left")
         return out.withColumn("model_stats", F.create_map(*[x for k, v in self.stats.items() for x in (F.lit(k), F.lit(float(v)))]) if self.stats else F.expr("cast(map() as map<string,double>)"))

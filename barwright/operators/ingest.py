@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from datetime import date
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barwright.sources.bars import between
-
-Source = Callable[[Sequence[str], str, str], DataFrame]
+from barwright.sources.bars import Source, between
 
 
 def latest_dates(bars: DataFrame, tickers: Sequence[str]) -> DataFrame:

@@ -40,3 +40,24 @@ def assign_alias(versions: DataFrame, name: str, version: int, alias: str = "cha
     mine = F.col("name") == name
     new = F.when(mine & (F.col("version") == version), alias).when(mine & (F.col("alias") == alias), F.lit(None)).otherwise(F.col("alias"))
     return versions.withColumn("alias", new)
+
+
+def with_aliases(versions: DataFrame, given: DataFrame) -> DataFrame:
+    """The versions with the newest of the aliases given (name, alias, version, set_at): each is taken from the version that
+    had it. A version with several aliases has a row for each."""
+    newest = given.groupBy("name", "alias").agg(F.max_by("version", "set_at").alias("version"))
+    moved = newest.select("name", "alias", F.lit(True).alias("moved"))
+    own = versions.join(moved, ["name", "alias"], "left").withColumn("alias", F.when(F.col("moved").isNull(), F.col("alias")))
+    out = own.join(newest.withColumnRenamed("alias", "given"), ["name", "version"], "left")
+    return out.withColumn("alias", F.coalesce("given", "alias")).select(versions.columns)
+
+
+def experiments(runs: DataFrame) -> DataFrame:
+    """Experiments with their number of runs and the start of the last one."""
+    return runs.groupBy("experiment").agg(F.count(F.lit(1)).alias("runs"), F.max("start_time").alias("last_start"))
+
+
+def models(versions: DataFrame) -> DataFrame:
+    """Models with their number of versions, the latest one, and the version of each alias."""
+    aliases = F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("alias").isNotNull(), F.struct("alias", "version")))))
+    return versions.groupBy("name").agg(F.countDistinct("version").alias("versions"), F.max("version").alias("latest"), aliases.alias("aliases"))

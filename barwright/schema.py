@@ -51,5 +51,15 @@ MODEL_VERSION = T.StructType(
     ]
 )
 
+#: Every alias ever given; of equal names and aliases the newest counts.
+MODEL_ALIAS = T.StructType(
+    [
+        T.StructField("name", T.StringType(), False),
+        T.StructField("alias", T.StringType(), False),
+        T.StructField("version", T.IntegerType(), False),
+        T.StructField("set_at", T.LongType(), False),
+    ]
+)
+
 #: Tables by name, with the columns that tell rows apart.
-TABLES = {"stock_data": (BAR, ("Ticker", "Date")), "spy_data": (BAR, ("Date",)), "vix_data": (BAR, ("Date",)), "prediction_logs": (PREDICTION_LOG, ("prediction_id",)), "runs": (RUN, ("run_id",)), "model_versions": (MODEL_VERSION, ("name", "version"))}
+TABLES = {"stock_data": (BAR, ("Ticker", "Date")), "spy_data": (BAR, ("Date",)), "vix_data": (BAR, ("Date",)), "prediction_logs": (PREDICTION_LOG, ("prediction_id",)), "runs": (RUN, ("run_id",)), "model_versions": (MODEL_VERSION, ("name", "version")), "model_aliases": (MODEL_ALIAS, ("name", "alias", "set_at"))}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from barwright.functions.guards import no_nan
 from barwright.schema import BAR, PRICES
 
+#: Bars of tickers from a first to an exclusive last day, long or wide; what has none gives no rows or ValueError.
+Source = Callable[[Sequence[str], str, str], DataFrame]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -91,3 +94,56 @@ def long(wide_bars: DataFrame, ticker: str | None = None) -> DataFrame:
     each = F.array(*[F.struct(F.lit(t).alias("Ticker"), *[F.col(f"`{t}|{f}`").alias(f) for f in fields]) for t in tickers])
     out = wide_bars.select("Date", F.explode(each).alias("bar")).select("Date", "bar.*")
     return out.where(F.coalesce(*PRICES).isNotNull())
+
+
+def parquet_source(spark: SparkSession, path: str) -> Source:
+    """A source over a table of bars."""
+
+    def read(tickers: Sequence[str], start: str, end: str) -> DataFrame:
+        bars = normalise(spark.read.parquet(path)).where(F.col("Ticker").isin(list(tickers)))
+        return bars.where((F.col("Date") >= F.lit(start).cast("date")) & (F.col("Date") < F.lit(end).cast("date")))
+
+    return read
+
+
+def _no_bars() -> DataFrame:
+    return SparkSession.active().createDataFrame([], BAR)
+
+
+def _shaped(df: DataFrame, tickers: Sequence[str]) -> DataFrame:
+    """The seven columns from any layout: long, `Ticker|Field`, or the plain fields of one ticker."""
+    if any("|" in c for c in df.columns):
+        df = long(df)
+    elif "ticker" not in [c.lower() for c in df.columns]:
+        df = long(normalise_fields(df), tickers[0])
+    return normalise(df)
+
+
+def normalise_fields(df: DataFrame) -> DataFrame:
+    return df.toDF(*[c.capitalize() for c in df.columns])
+
+
+def download_ohlcv_data(source: Source, tickers: Sequence[str], start_date: str, end_date: str) -> DataFrame:
+    """Bars of the tickers (in capitals) from the source. An empty start means that nothing is missing and gives no rows; a
+    source without rows is an error. A frame has no order, so none is given: whoever stores it sorts it."""
+    if start_date == "":
+        return _no_bars()
+    if not tickers:
+        raise ValueError("tickers must not be empty")
+    if not all(isinstance(t, str) for t in tickers):
+        raise TypeError("tickers must be names")
+    if start_date >= end_date:
+        raise ValueError(f"start {start_date} must be before end {end_date}")
+    names = [t.upper() for t in tickers]
+    got = _shaped(source(names, start_date, end_date), names)
+    if got.isEmpty():
+        raise ValueError(f"the source has no bars of {', '.join(names)} from {start_date} to {end_date}")
+    return got
+
+
+def download_market_data(source: Source, start_date: str, end_date: str, tickers: Sequence[str] | None = None) -> DataFrame:
+    """The market series, by default both; no rows where the start is empty or the source has none."""
+    if start_date == "":
+        return _no_bars()
+    names = list(tickers or ("SPY", "^VIX"))
+    return _shaped(source(names, start_date, end_date), names)

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import os
+import time
 from collections.abc import Sequence
 from pathlib import Path
 
 from pyspark.errors import AnalysisException
+from pyspark.ml import Pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barwright.operators.ingest import absent
-from barwright.schema import PREDICTION_LOG, TABLES
+from barwright.operators.selection import with_aliases
+from barwright.schema import MODEL_ALIAS, MODEL_VERSION, PREDICTION_LOG, TABLES
 
 
 class Store:
@@ -41,10 +44,10 @@ class Store:
             self.spark.createDataFrame([], schema).write.mode("ignore").parquet(self.path(name))
 
     def tables(self) -> list[str]:
-        """Names of the folders that hold a table."""
+        """Names of the folders that hold a table; models and data sets lie in folders with an underscore."""
         hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self.base)
         fs = hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return sorted(f.getPath().getName() for f in fs.listStatus(hadoop) if f.isDirectory()) if fs.exists(hadoop) else []
+        return sorted(f.getPath().getName() for f in fs.listStatus(hadoop) if f.isDirectory() and not f.getPath().getName().startswith("_")) if fs.exists(hadoop) else []
 
     def insert_if_absent(self, name: str, new: DataFrame, key: Sequence[str] | None = None) -> None:
         """Appends the rows whose key is not stored. Rows become visible when the whole job commits; no rows, no job. Of
@@ -67,6 +70,32 @@ class Store:
     def insert_vix_data(self, new: DataFrame) -> None:
         self.insert_if_absent("vix_data", new)
 
+    def save_pipeline(self, name: str, pipeline: Pipeline) -> None:
+        """A pipeline that has learnt nothing yet."""
+        pipeline.write().overwrite().save(f"{self.base}/_pipelines/{name}")
+
+    def load_pipeline(self, name: str) -> Pipeline:
+        return Pipeline.load(f"{self.base}/_pipelines/{name}")
+
+    def register(self, trained, experiment: str, name: str, tags: dict[str, str]) -> int:
+        """Stores a trained model, its run (parameters, metrics, tags) and a new version of the named model, which is
+        returned. The version row comes last: what it names is there. Versions are numbered by one writer at a time."""
+        path = f"{self.base}/_models/{trained.run_id}"
+        trained.model.write().overwrite().save(path)
+        trained.run(self.spark, experiment, tags).write.mode("append").parquet(self.path("runs"))
+        version = (self.read("model_versions").where(F.col("name") == name).agg(F.max("version")).first()[0] or 0) + 1
+        self.spark.createDataFrame([(name, version, trained.run_id, path, None)], MODEL_VERSION).write.mode("append").parquet(self.path("model_versions"))
+        return version
+
+    def set_alias(self, name: str, version: int, alias: str = "champion") -> None:
+        """Aliases are appended, so that no reader meets a table half rewritten; the newest one counts."""
+        if self.read("model_versions").where((F.col("name") == name) & (F.col("version") == version)).isEmpty():
+            raise ValueError(f"model {name!r} has no version {version}")
+        self.spark.createDataFrame([(name, alias, version, time.time_ns())], MODEL_ALIAS).write.mode("append").parquet(self.path("model_aliases"))
+
+    def versions(self) -> DataFrame:
+        return with_aliases(self.read("model_versions"), self.read("model_aliases"))
+
     def log_predictions(self, scored: DataFrame) -> None:
         """Appends predictions (ticker, prediction, probability, model_name, model_version and, if known, actual_outcome
         and correct), each with an id of its own and the present time."""
