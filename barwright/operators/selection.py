@@ -58,6 +58,6 @@ def experiments(runs: DataFrame) -> DataFrame:
 
 
 def models(versions: DataFrame) -> DataFrame:
-    """Models with their number of versions, the latest one, and the version of each alias."""
-    aliases = F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("alias").isNotNull(), F.struct("alias", "version")))))
+    """Models with their number of versions, the latest one, and (alias, version) of each alias, sorted."""
+    aliases = F.sort_array(F.collect_set(F.when(F.col("alias").isNotNull(), F.struct("alias", "version"))))
     return versions.groupBy("name").agg(F.countDistinct("version").alias("versions"), F.max("version").alias("latest"), aliases.alias("aliases"))

@@ -4,3 +4,6 @@ from . import features, tables
 
 QUERIES = features.QUERIES | tables.QUERIES
 ORACLE_SQL = features.ORACLE_SQL | tables.ORACLE_SQL
+
+#: Searches over whole grids: they come last where queries are run one after the other.
+LONGEST = ("m03_lr_scores", "m04_gbt_scores")

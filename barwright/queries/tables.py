@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from barwright.operators import inference, ingest, metrics, prepare, selection, train, validate
 from barwright.plans import frames
 from barwright.plans.features import add_features
-from barwright.schema import PRICES, RUN
+from barwright.schema import PRICES
 from barwright.scratch import Scratch, shared_dir
 from barwright.sources import bars as B
 from barwright.sources.store import newest
@@ -53,6 +53,44 @@ def s03_range_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 oracle("s03_range_scan", """SELECT * FROM bars WHERE "Date" BETWEEN DATE '1994-03-01' AND DATE '1996-02-29' AND "Ticker" IN ('A', 'R')""", "bars")
 
 
+@query
+def s04_spy_range_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.between(B.normalise(B.spy_bars(spark, sf_dir)), "1995-01-01", "1997-12-31")
+
+
+oracle("s04_spy_range_scan", """SELECT * FROM spy WHERE "Date" BETWEEN DATE '1995-01-01' AND DATE '1997-12-31'""", "spy")
+
+
+@query
+def s05_vix_range_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.between(B.normalise(B.vix_bars(spark, sf_dir)), "1995-01-01", "1997-12-31")
+
+
+oracle("s05_vix_range_scan", """SELECT * FROM vix WHERE "Date" BETWEEN DATE '1995-01-01' AND DATE '1997-12-31'""", "vix")
+
+
+def _bar_source(spark: SparkSession, sf_dir: str) -> B.Source:
+    """All bars at hand as a source of downloads."""
+    every = B.stock_bars(spark, sf_dir).unionByName(B.market_bars(spark, sf_dir))
+    return lambda tickers, start, end: every.where(F.col("Ticker").isin(list(tickers)) & (F.col("Date") >= F.lit(start).cast("date")) & (F.col("Date") < F.lit(end).cast("date")))
+
+
+@query
+def s01_download(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.download_ohlcv_data(_bar_source(spark, sf_dir), ["a", "N"], "1994-01-01", "1997-01-01")
+
+
+oracle("s01_download", """SELECT * FROM bars WHERE "Ticker" IN ('A', 'N') AND "Date" >= DATE '1994-01-01' AND "Date" < DATE '1997-01-01'""", "bars")
+
+
+@query
+def s02_market_download(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.download_market_data(_bar_source(spark, sf_dir), "1994-01-01", "1997-01-01")
+
+
+oracle("s02_market_download", """SELECT * FROM (SELECT * FROM spy UNION ALL SELECT * FROM vix) WHERE "Date" >= DATE '1994-01-01' AND "Date" < DATE '1997-01-01'""", "spy", "vix")
+
+
 @query
 def s06_insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = B.stock_bars(spark, sf_dir)
@@ -97,6 +135,14 @@ def i02_latest_date(spark: SparkSession, sf_dir: str) -> DataFrame:
 oracle("i02_latest_date", 'SELECT max("Date") AS latest FROM spy', "spy")
 
 
+@query
+def i03_latest_vix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.latest_date(B.vix_bars(spark, sf_dir))
+
+
+oracle("i03_latest_vix", 'SELECT max("Date") AS latest FROM vix', "vix")
+
+
 @query
 def i04_stock_start(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.stock_start(B.stock_bars(spark, sf_dir).where("Ticker != 'R' OR Date < '1996-01-01'"), ["A", "N", "R"], "2005-01-01", "2026-01-01")
@@ -122,6 +168,23 @@ def i06_one_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 oracle("i06_one_series", 'SELECT * REPLACE (CASE WHEN "Volume" > 100 THEN "Volume" ELSE 0 END AS "Volume") FROM spy', "spy")
 
 
+@query
+def i07_one_vix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.one_series(B.market_bars(spark, sf_dir), "^VIX")
+
+
+oracle("i07_one_vix", "SELECT * FROM vix", "vix")
+
+
+@query
+def i08_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = B.stock_bars(spark, sf_dir).where("Date between '1994-01-01' and '1997-01-01'")
+    return ingest.fill(stored, _bar_source(spark, sf_dir), ["A", "R"], "1993-01-01", "1998-01-01")
+
+
+oracle("i08_fill", """SELECT * FROM bars WHERE "Ticker" IN ('A', 'R') AND "Date" >= DATE '1993-01-01' AND "Date" < DATE '1998-01-01'""", "bars")
+
+
 @query
 def i08_missing_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.missing_days(B.stock_bars(spark, sf_dir), "1990-01-01", "2001-01-01")
@@ -185,6 +248,31 @@ def _small(spark: SparkSession, sf_dir: str) -> DataFrame:
     return add_features(B.stock_bars(spark, sf_dir), _SMALL)
 
 
+def _holes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.stock_bars(spark, sf_dir).withColumns({"Open": F.when(F.month("Date") > 2, F.col("Open")), "market_movement": (F.col("Close") > F.col("Open")).cast("int")})
+
+
+_HOLES_SQL = """, h AS (SELECT * REPLACE (CASE WHEN month("Date") > 2 THEN "Open" END AS "Open"), CAST("Close" > CASE WHEN month("Date") > 2 THEN "Open" END AS INTEGER) AS market_movement FROM bars)"""
+
+
+@query
+def p11_complete_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prepare.complete_rows(_holes(spark, sf_dir))
+
+
+oracle("p11_complete_rows", _HOLES_SQL + ' SELECT * FROM h WHERE "Open" IS NOT NULL', "bars")
+
+
+@query
+def p12_features_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x, y = prepare.split_features_target(_holes(spark, sf_dir), "market_movement")
+    return x.select("Ticker", "Date", "Close", F.lit(None).cast("int").alias("answer")).unionByName(y.select("Ticker", "Date", F.lit(None).cast("double").alias("Close"), F.col("market_movement").alias("answer")))
+
+
+oracle("p12_features_target", _HOLES_SQL + """ SELECT "Ticker", "Date", "Close", NULL::INTEGER AS answer FROM h WHERE "Open" IS NOT NULL
+    UNION ALL SELECT "Ticker", "Date", NULL, market_movement FROM h WHERE "Open" IS NOT NULL""", "bars")
+
+
 @query
 def r05_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     early, late = prepare.split_train_test(B.stock_bars(spark, sf_dir).select("Ticker", "Date"), 0.8)
@@ -232,42 +320,92 @@ oracle("a08_metrics", """WITH s AS (SELECT CAST(user_id % 2 AS DOUBLE) AS y, val
     SELECT round((SELECT sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)) FROM r), 9) AS roc_auc, round((tp + tn) / (tp + tn + fp + fn), 9) AS accuracy,
            round(tp / (tp + fp), 9) AS "precision", round(tp / (tp + fn), 9) AS recall, round(2 * tp / (2 * tp + fp + fn), 9) AS f1 FROM t""")
 
-# Runs of an experiment (id, start, area under the curve, parent).
-_RUNS = [("a", 1, 0.82, "p"), ("b", 2, 0.91, "p"), ("c", 3, 0.91, "p"), ("d", 4, None, "p"), ("e", 5, 0.99, None)]
-
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order as a run: some without the metric, some without a parent, many with equal metrics."""
+    none = F.create_map().cast("map<string,string>")
+    return B.table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").cast("string").alias("run_id"),
+        F.col("o_orderstatus").alias("experiment"),
+        F.col("o_custkey").alias("start_time"),
+        none.alias("params"),
+        F.when(F.col("o_orderpriority") != "3-MEDIUM", F.create_map(F.lit("roc_auc"), F.floor(F.col("o_totalprice") / 100_000).cast("double"))).otherwise(none.cast("map<string,double>")).alias("metrics"),
+        F.when(F.col("o_custkey") % 3 != 0, F.create_map(F.lit(selection.PARENT), F.lit("p"))).otherwise(none).alias("tags"),
+    )
 
-def _runs(spark: SparkSession) -> DataFrame:
-    rows = [(i, "x", t, {}, {} if m is None else {"roc_auc": m}, {} if p is None else {selection.PARENT: p}) for i, t, m, p in _RUNS]
-    return spark.createDataFrame(rows, RUN)
 
-
-_RUNS_SQL = "(VALUES " + ", ".join(f"('{i}', CAST({t} AS BIGINT), {'NULL' if m is None else f'CAST({m} AS DOUBLE)'}, {'NULL' if p is None else repr(p)})" for i, t, m, p in _RUNS) + ") r(run_id, start_time, m, p)"
+_RUNS_SQL = """WITH r AS (SELECT CAST(o_orderkey AS VARCHAR) AS run_id, o_orderstatus AS experiment, o_custkey AS start_time,
+    CASE WHEN o_orderpriority <> '3-MEDIUM' THEN CAST(floor(o_totalprice / 100000) AS DOUBLE) END AS m, o_custkey % 3 <> 0 AS child FROM orders)"""
 
 
 @query
 def r06_best_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return selection.best_run(selection.get_runs(_runs(spark), "x"))
+    return selection.best_run(selection.get_runs(_runs(spark, sf_dir), "F"))
 
 
-oracle("r06_best_run", f'SELECT run_id, start_time, m AS "value" FROM {_RUNS_SQL} WHERE m IS NOT NULL AND p IS NOT NULL ORDER BY m DESC, start_time DESC LIMIT 1')
+oracle("r06_best_run", f"""{_RUNS_SQL} SELECT run_id, start_time, m AS "value" FROM r WHERE experiment = 'F' AND child AND m IS NOT NULL ORDER BY m DESC, start_time DESC, run_id DESC LIMIT 1""")
 
 
 @query
 def r07_child_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return selection.get_runs(_runs(spark), "x", 3).select("run_id", "start_time")
+    return selection.get_runs(_runs(spark, sf_dir), "F", 50).select("run_id", "start_time")
 
 
-oracle("r07_child_runs", f"SELECT run_id, start_time FROM {_RUNS_SQL} WHERE p IS NOT NULL ORDER BY start_time DESC LIMIT 3")
+oracle("r07_child_runs", f"{_RUNS_SQL} SELECT run_id, start_time FROM r WHERE experiment = 'F' AND child ORDER BY start_time DESC, run_id LIMIT 50")
+
+
+@query
+def s19_experiments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.experiments(_runs(spark, sf_dir))
+
+
+oracle("s19_experiments", f"{_RUNS_SQL} SELECT experiment, count(*) AS runs, max(start_time) AS last_start FROM r GROUP BY 1")
+
+
+def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part as a version of its brand's model; run ids repeat, and so do aliases."""
+    size = F.col("p_size") % 5
+    return B.table(spark, sf_dir, "part").select(
+        F.col("p_brand").alias("name"),
+        (F.col("p_partkey") + 1).cast("int").alias("version"),
+        (F.col("p_partkey") % 150).cast("string").alias("run_id"),
+        F.when(size == 0, "champion").when(size == 1, "old").alias("alias"),
+    )
+
+
+_VERSIONS_SQL = """v AS (SELECT p_brand AS name, CAST(p_partkey + 1 AS INTEGER) AS version, CAST(p_partkey % 150 AS VARCHAR) AS run_id,
+    CASE p_size % 5 WHEN 0 THEN 'champion' WHEN 1 THEN 'old' END AS alias FROM part)"""
 
 
 @query
 def m08_champion_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
-    versions = spark.createDataFrame([("m", 1, "a", "champion"), ("m", 2, "b", None), ("other", 1, "z", "champion")], "name string, version int, run_id string, alias string")
-    name, version = selection.registered_version(versions, "b")
+    versions = _versions(spark, sf_dir)
+    name, version = selection.registered_version(versions, "17")
     return selection.assign_alias(versions, name, version)
 
 
-oracle("m08_champion_alias", "SELECT * FROM (VALUES ('m', 1, 'a', NULL), ('m', 2, 'b', 'champion'), ('other', 1, 'z', 'champion')) v(name, version, run_id, alias)")
+oracle("m08_champion_alias", f"""WITH {_VERSIONS_SQL}, t AS (SELECT name, version FROM v WHERE run_id = '17' ORDER BY name, version LIMIT 1)
+    SELECT v.name, v.version, v.run_id, CASE WHEN v.name = t.name AND v.version = t.version THEN 'champion' WHEN v.name = t.name AND v.alias = 'champion' THEN NULL ELSE v.alias END AS alias FROM v, t""")
+
+
+@query
+def m08_newest_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    versions = _versions(spark, sf_dir)
+    given = versions.where("version % 4 = 0").select("name", F.when(F.col("version") % 8 == 0, "champion").otherwise("next").alias("alias"), "version", (F.col("version").cast("long") * 7919 % 200_003).alias("set_at"))
+    return selection.with_aliases(versions, given)
+
+
+oracle("m08_newest_aliases", f"""WITH {_VERSIONS_SQL}, n AS (SELECT name, CASE WHEN version % 8 = 0 THEN 'champion' ELSE 'next' END AS alias, arg_max(version, CAST(version AS BIGINT) * 7919 % 200003) AS version
+        FROM v WHERE version % 4 = 0 GROUP BY ALL)
+    SELECT v.name, v.version, v.run_id, coalesce((SELECT n.alias FROM n WHERE n.name = v.name AND n.version = v.version),
+        CASE WHEN NOT EXISTS (FROM n WHERE n.name = v.name AND n.alias = v.alias) THEN v.alias END) AS alias FROM v""")
+
+
+@query
+def s19_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.models(_versions(spark, sf_dir)).withColumn("aliases", F.size("aliases"))
+
+
+oracle("s19_models", f"WITH {_VERSIONS_SQL} SELECT name, count(DISTINCT version) AS versions, max(version) AS latest, CAST(count(alias) AS INTEGER) AS aliases FROM v GROUP BY 1")
 
 
 # logs and serving
@@ -292,6 +430,15 @@ def p15_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 oracle("p15_confidence", "SELECT event_id, CASE WHEN value / (1 + value) >= 0.75 THEN 'High' WHEN value / (1 + value) >= 0.6 THEN 'Medium' ELSE 'Low' END AS confidence FROM events")
 
 
+@query
+def p18_checked_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = B.table(spark, sf_dir, "events").select("event_id", (F.col("value") / (1 + F.col("value"))).alias("p"))
+    return p.select("event_id", F.round(inference.checked_probability(F.col("p")), 9).alias("p"))
+
+
+oracle("p18_checked_probability", "SELECT event_id, round(value / (1 + value), 9) AS p FROM events")
+
+
 @query
 def n07_bollinger_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = inference.bollinger_overlay(B.stock_bars(spark, sf_dir))

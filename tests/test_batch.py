@@ -45,7 +45,7 @@ def test_batch_to_logged_prediction(spark, source, tmp_path):
     assert [type(s).__name__ for s in store.load_pipeline("xgb_pipeline").getStages()][-1] == "GBTClassifier"
     assert [(r.experiment, r.runs) for r in selection.experiments(store.read("runs")).collect()] == [("market-regimes", 2)]
     listed = selection.models(store.versions()).first()
-    assert (listed.versions, listed.latest, listed.aliases) == (2, 2, {"champion": versions[best.run_id][0]})
+    assert (listed.versions, listed.latest, list(map(tuple, listed.aliases))) == (2, 2, [("champion", versions[best.run_id][0])])
 
     with pytest.raises(ValueError):
         batch.run_batch(store, source, params, ["nothing"])

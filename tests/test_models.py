@@ -63,7 +63,7 @@ def test_train_serve_and_log(spark, frame, tmp_path):
     w = I.coefficients(PipelineModel.load(f"{tmp_path}/model"))
     assert set(w) == {"a", "relative_volume_5", "day_of_week_number", "month_number"} and w["a"] > 0
     ready = PipelineModel.load(f"{tmp_path}/model").transform(frame.where("Ticker = 'A'")).limit(40).collect()
-    rest = [r.rawPrediction[1] - sum(x * r[c] for c, x in w.items()) for r in ready]
+    rest = [r.rawPrediction[1] - sum(x * float(r[c]) for c, x in w.items()) for r in ready]
     assert np.allclose(rest, rest[0])
 
 
