@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, html_text, language, near_dedup, pieces, pii, tiling, url_rules, warc
+from . import byte_bpe, chat, exact_dedup, filter_audit, html_text, language, near_dedup, pieces, pii, spelling, tiling, url_rules, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -109,6 +109,27 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The ranks of the query; a path on the driver, else the file of the installed vocabularies.
+RANK_FILE = os.environ.get("BARWRIGHT_RANK_FILE", "")
+
+
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    file, pattern = RANK_FILE or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    got = byte_bpe.encode(_table(spark, sf_dir, "documents"), file, pattern, starts=None, packed="packed", carry=["doc_id"])
+    back = byte_bpe.decode(got, file, pattern)
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2("packed", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_html_text": op1_html_text,
     "op2_pieces": op2_pieces,
@@ -120,6 +141,9 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_url_rules": op9_url_rules,
     "op10_chat_format": op10_chat_format,
+    "op11_byte_bpe": op11_byte_bpe,
+    "op12_spelling": op12_spelling,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLE_SQL = {
@@ -216,4 +240,76 @@ ORACLE_SQL = {
         )
         SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars
         FROM g""",
+    # crc32 bit by bit, words and strings with one character dropped as text, pairs by equal strings
+    "op12_spelling": r"""
+        WITH RECURSIVE t AS (
+            SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents
+        ), u AS (
+            SELECT run, count(*) AS n, doc_id || ':' || run AS s FROM t WHERE length(run) >= 7 GROUP BY doc_id, run
+        ), b AS (
+            SELECT run, n, flatten(list_transform(list_transform(range(1, length(s) + 1), lambda i: unicode(substring(s, i, 1))),
+                                                  lambda c: CASE WHEN c < 128 THEN [c] ELSE [192 + (c // 64), 128 + c % 64] END)) AS bytes
+            FROM u
+        ), h AS (
+            SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(bytes, lambda x: list_transform(range(8), lambda k: ((x >> k) & 1)::BIGINT)))),
+                                                       lambda c, m: xor(c >> 1, 3988292384::BIGINT * (xor(c, m) & 1)))) AS h
+            FROM b
+        ), c AS (
+            SELECT CASE WHEN h % 31 = 0 THEN substring(run, 1, (h % length(run))::INT) || substring(run, (h % length(run))::INT + 2) ELSE run END AS word, n FROM h
+        ), w AS (
+            SELECT word, sum(n)::BIGINT AS n FROM c WHERE length(word) >= 7 GROUP BY 1 HAVING sum(n) >= 2
+        ), i AS (
+            SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w
+        ), d AS (
+            SELECT word, n, i, substring(word, 1, i - 1) || substring(word, i + 1) AS rest FROM i
+        ), e AS (
+            SELECT DISTINCT d.word AS long, d.n AS long_n, w.word AS short, w.n AS short_n FROM d JOIN w ON d.rest = w.word
+        ), p AS (
+            SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM d a JOIN d b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+            UNION ALL SELECT long, long_n, short, short_n FROM e
+            UNION ALL SELECT short, short_n, long, long_n FROM e
+        ), q AS (
+            SELECT word, any_value(n) AS n, count(*) AS n_near, min(struct_pack(minus_n := -other_n, other := other)) AS best FROM p GROUP BY word
+        ), f AS (
+            SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.minus_n >= 10 * w.n THEN best.other END AS form, CASE WHEN -best.minus_n >= 10 * w.n THEN -best.minus_n END AS form_n
+            FROM w LEFT JOIN q USING (word)
+        ), r(word, root, goes_on) AS (
+            SELECT word, word, true FROM f
+            UNION ALL SELECT r.word, f.form, true FROM r JOIN f ON f.word = r.root WHERE f.form IS NOT NULL
+        ), z AS (
+            SELECT r.word, r.root FROM r JOIN f ON f.word = r.root WHERE f.form IS NULL
+        )
+        SELECT word, form, root, n, n_near, form_n::BIGINT AS form_n FROM f JOIN z USING (word)""",
+    "op13_filter_audit": r"""
+        WITH RECURSIVE o(filter_order) AS (
+            SELECT unnest(['A', 'B', 'C', 'D', 'E'])
+            UNION ALL SELECT o.filter_order || f FROM o, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f) WHERE NOT contains(o.filter_order, f)
+        ), s AS (
+            SELECT filter_order, unnest(range(1, 6))::INT AS step FROM o WHERE length(filter_order) = 5
+        ), l AS (
+            SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY 1
+        ), d AS (
+            SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+                   list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-]+'), lambda x: x <> '') AS w
+            FROM documents
+        ), m AS (
+            SELECT part, CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+                         || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 'C' ELSE '' END
+                         || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+                         || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS fails,
+                   coalesce(quality = 1, false)::INT AS good, coalesce(toxic = 1, false)::INT AS toxic
+            FROM d LEFT JOIN l USING (doc_id)
+        ), c AS (
+            SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY 1, 2
+        ), x AS (
+            SELECT part, filter_order, step, filter_order[step] AS f, fails, n, good, toxic, contains(fails, filter_order[step]) AS hit,
+                   len(list_filter(string_split(fails, ''), lambda y: y <> '' AND instr(filter_order, y) < step)) > 0 AS gone
+            FROM c, s
+        ), g AS (
+            SELECT part, filter_order, step, f, coalesce(sum(n) FILTER (NOT gone AND NOT hit), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (NOT gone AND hit), 0)::BIGINT AS removed,
+                   coalesce(sum(n) FILTER (gone AND hit), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (fails = f), 0)::BIGINT AS unique_fails,
+                   coalesce(sum(good) FILTER (NOT gone AND hit), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (NOT gone AND hit), 0)::BIGINT AS toxic_lost
+            FROM x GROUP BY ALL
+        )
+        SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, f)::BIGINT AS shapley FROM g""",
 }
