@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,7 @@ def word_counts(docs: DataFrame, text: str = "text", key: str = "doc_id", least_
     return words.where(F.char_length("word") >= least_chars).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_count)
 
 
-def deletion_keys(ids: np.ndarray, counts: np.ndarray, words: list[str]) -> pa.RecordBatch:
+def deletion_keys(ids: np.ndarray, counts: np.ndarray, words: list[str], key_bits: int = 64) -> pa.RecordBatch:
     """A key for each word as it is (place -1), and one for each character dropped. `new` is false where the character
     before is the same one, so dropping either gives the same string.
 
@@ -54,20 +54,24 @@ def deletion_keys(ids: np.ndarray, counts: np.ndarray, words: list[str]) -> pa.R
     new = np.ones(len(chars), bool)
     new[1:] = (chars[1:] != chars[:-1]) | (place[1:] == 0)
     each = lambda x: np.concatenate([x, np.repeat(x, sizes)])
-    columns = [np.concatenate([whole, dropped]).view(np.int64), np.concatenate([np.full(len(words), -1), place]).astype(np.int32), each(ids), each(counts), np.concatenate([np.ones(len(words), bool), new])]
+    keys = np.concatenate([whole, dropped]) >> np.uint64(64 - key_bits) << np.uint64(64 - key_bits)
+    columns = [keys.view(np.int64), np.concatenate([np.full(len(words), -1), place]).astype(np.int32), each(ids), each(counts), np.concatenate([np.ones(len(words), bool), new])]
     return pa.record_batch([pa.array(c) for c in columns], names=["key", "place", "id", "n", "new"])
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, counts, words = batch.column("id"), batch.column("n"), batch.column("word")
-        for begin, end in chunks(words, BLOCK_BYTES):
-            cut = lambda c: c.slice(begin, end - begin)  # noqa: B023, E731
-            yield deletion_keys(np.asarray(cut(ids)), np.asarray(cut(counts)), cut(words).to_pylist())
-    give_back()
+def _keys(key_bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, counts, words = batch.column("id"), batch.column("n"), batch.column("word")
+            for begin, end in chunks(words, BLOCK_BYTES):
+                cut = lambda c: c.slice(begin, end - begin)  # noqa: B023, E731
+                yield deletion_keys(np.asarray(cut(ids)), np.asarray(cut(counts)), cut(words).to_pylist(), key_bits)
+        give_back()
 
+    return run
 
-def near_words(words: DataFrame) -> DataFrame:
+
+def near_words(words: DataFrame, key_bits: int = 64) -> DataFrame:
     """For each word with any, id, n_near (how many words differ from it by one character put in, left out or replaced) and
     best (struct of -n and id: its near word of the largest n, of the smallest id among equals). words: id, word, n, each
     word once, with ids in the order of the words.
@@ -75,10 +79,11 @@ def near_words(words: DataFrame) -> DataFrame:
     Two words of one length differ in the character at a place if both without it are the same; a word is another with a
     character left out if it is that one's string without the character. So the keys' groups hold all near words, a group
     has at most as many words as there are letters, and counts and the two best of a group do without pairs. Keys are
-    dealt out by their leading bits and sorted; groups of one go; then strings tell equal keys of different strings apart.
+    dealt out by their leading bits and sorted; groups of one go; then strings tell equal keys of different strings apart
+    (fewer `key_bits` make more of them, with the same result).
     """
     radix = F.shiftrightunsigned("key", 64 - RADIX_BITS)
-    keys = words.select("id", "word", "n").mapInArrow(_keys, KEY_SCHEMA).withColumn("radix", radix)
+    keys = words.select("id", "word", "n").mapInArrow(_keys(key_bits), KEY_SCHEMA).withColumn("radix", radix)
     alike = Window.partitionBy("radix", "key")
     shared = keys.repartition("radix").withColumn("size", F.count(F.lit(1)).over(alike)).where("size > 1").drop("size")
     left = F.concat(F.substring("word", F.lit(1), F.col("place")), F.substring("word", F.col("place") + 2, F.char_length("word")))
