@@ -34,3 +34,12 @@ def classification_metrics(scored: DataFrame, label: str = "label", probability:
         div(tp, pos).alias("recall"),
         div(2 * tp, pos + tp + fp).alias("f1"),
     )
+
+
+def areas(scored: DataFrame, by: str) -> DataFrame:
+    """For each value of `by` the area under the curve of its rows (columns y and p), null where a class has none. One sort
+    by group and score over ranges serves all groups, so a group may have any share of the rows."""
+    groups = scored.groupBy(by, "p").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    t = running_totals(groups, [by, "p"], ["neg"])
+    sums = t.groupBy(by).agg(F.sum(F.col("pos") * (F.col("before_neg") + F.col("neg") / 2)).alias("right"), F.min("before_neg").alias("base"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    return sums.select(by, div(F.col("right") - F.col("base") * F.col("pos"), F.col("pos") * F.col("neg")).alias("area"))

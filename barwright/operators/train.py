@@ -6,22 +6,24 @@ import math
 import time
 import uuid
 from collections.abc import Iterator, Sequence
-from concurrent.futures import ThreadPoolExecutor
-from contextlib import contextmanager
 from dataclasses import dataclass, field
 from itertools import product
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel, Transformer
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, RobustScaler, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barwright.operators import boosting, linear_search
+from barwright.operators.boosting import BoostedTrees
 from barwright.operators.metrics import classification_metrics
 from barwright.operators.prepare import positions
 from barwright.plans import parameters as P
 from barwright.schema import RUN
+from barwright.scratch import Scratch
 
 WEEKDAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday")
 #: In the order of their numbers; markets that never shut have bars on the last two.
@@ -62,13 +64,12 @@ def lr_pipeline(columns: Sequence[str], onehot: Sequence[str] = ("Ticker",), ord
 
 
 def gbt_pipeline(columns: Sequence[str], onehot: Sequence[str] = ("Ticker",), ordinal: Sequence[str] = ("day_of_week",), rows: int = 1, n_estimators: int = 100, max_depth: int = 3, learning_rate: float = 0.1, subsample: float = 1.0, colsample_bytree: float = 1.0) -> Pipeline:
-    """Encoded categories and the other columns as they are, then boosted trees. The share of columns is drawn by node."""
+    """Encoded categories and the other columns as they are, then boosted trees. The share of columns is drawn by tree."""
     onehot, ordinal = [c for c in onehot if c in columns], [c for c in ordinal if c in columns]
     stages, encoded = _encoders(onehot, ordinal, columns)
     other = [c for c in columns if c not in (*onehot, *ordinal, *KEY, "month")]
     stages.append(VectorAssembler(inputCols=[*encoded, *other], outputCol="features"))
-    strategy = "all" if colsample_bytree >= 1 else str(colsample_bytree)
-    stages.append(GBTClassifier(featuresCol="features", labelCol="label", maxIter=n_estimators, maxDepth=max_depth, stepSize=learning_rate, subsamplingRate=subsample, featureSubsetStrategy=strategy, seed=SEED))
+    stages.append(BoostedTrees.of(n_estimators=n_estimators, max_depth=max_depth, learning_rate=learning_rate, subsample=subsample, colsample_bytree=colsample_bytree, seed=SEED))
     return Pipeline(stages=stages)
 
 
@@ -106,48 +107,70 @@ class Trained:
 
 def scored(model: PipelineModel | Transformer, df: DataFrame) -> DataFrame:
     """The rows with the predicted class and the probability of class 1."""
-    from pyspark.ml.functions import vector_to_array
-
     out = model.transform(df)
     return out.select(*df.columns, F.col("prediction").cast("int").alias("prediction"), vector_to_array("probability")[1].alias("probability"))
 
 
-@contextmanager
-def vectors(pipeline: Pipeline, a: DataFrame, b: DataFrame, cells: int) -> Iterator[tuple[DataFrame, DataFrame]]:
-    """Both frames as labels and encoded vectors, kept while in use: what comes before a pipeline's last stage is the same
-    at every point of a grid, so it is learnt (from `a`) and applied once a window. Small frames get few partitions, as
-    every iteration of a fit is a job over them."""
-    parts = max(1, math.ceil(cells / CELLS))
-    encoder = Pipeline(stages=pipeline.getStages()[:-1]).fit(a)
-    both = [encoder.transform(x).select("label", "features").coalesce(parts).persist() for x in (a, b)]
-    try:
-        yield both[0], both[1]
-    finally:
-        for x in both:
-            x.unpersist()
+def _plain(pipeline: Pipeline) -> tuple[Pipeline, list[str]]:
+    """A pipeline that encodes as this one does but leaves values unscaled, and the columns of its vector."""
+    inputs = pipeline.getStages()[-2].getInputCols()
+    made = {s.getOutputCol(): s for s in pipeline.getStages() if hasattr(s, "getOutputCol")}
+    columns = [c for name in inputs for c in (made[name.replace("_scaled", "_raw")].getInputCols() if name.endswith("_scaled") else [name])]
+    encoders = [s for s in pipeline.getStages() if isinstance(s, (SQLTransformer, StringIndexer, OneHotEncoder))]
+    return Pipeline(stages=[*encoders, VectorAssembler(inputCols=columns, outputCol="features")]), columns
+
+
+def encoded_rows(pipeline: Pipeline, placed: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
+    """Every row's place, y and x (encoded, not scaled), written once for a whole search, and the length of x. Categories are
+    those of all rows; one that a window hasn't seen is zero throughout it. Small frames get few partitions, as every
+    pass is a job over them."""
+    ready = _plain(pipeline)[0].fit(placed).transform(placed)
+    rows = scratch.keep(ready.select(F.col("position").cast("long").alias("place"), F.col("label").alias("y"), vector_to_array("features").alias("x")), "encoded")
+    n, width = rows.agg(F.count("y"), F.max(F.size("x"))).first()
+    return rows.coalesce(max(1, math.ceil(n * width / CELLS))), width
+
+
+def scaling(pipeline: Pipeline, early: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shift and factor of each place of the vector, as the pipeline's scalers learn them from the rows."""
+    stages = {s.getOutputCol(): s for s in pipeline.getStages() if hasattr(s, "getOutputCol")}
+    shift, factor = [], []
+    for name in pipeline.getStages()[-2].getInputCols():
+        if name.endswith("_scaled"):
+            fitted = Pipeline(stages=[stages[name.replace("_scaled", "_raw")], stages[name]]).fit(early).stages[-1]
+            spread = (fitted.std if hasattr(fitted, "std") else fitted.range).toArray()
+            shift += list((fitted.mean if hasattr(fitted, "mean") else fitted.median).toArray())
+            factor += list(np.where(spread > 0, 1 / np.where(spread > 0, spread, 1), 0.0))
+    plain = width - len(shift)  # one-hot and number columns come first and stay as they are
+    return np.array([0.0] * plain + shift), np.array([1.0] * plain + factor)
+
+
+def search(placed: DataFrame, n: int, kind: str, columns: Sequence[str], points: Sequence[dict], folds: int) -> list[list[float | None]]:
+    """For each window and each point of the grid the area under the curve on the window's later rows. Rows are encoded and
+    written once; see `linear_search` and `boosting` for what the points share."""
+    make, _ = PIPELINES[kind]
+    pipeline = make(columns)
+    rows, width = encoded_rows(pipeline, placed, Scratch(placed.sparkSession, "search"))
+    size = n // (folds + 1)
+    windows = list(expanding_folds(placed, n, folds))
+    if kind == "xgb":
+        return boosting.search(rows, width, [(cut, size) for cut, _, _ in windows], [p | {"seed": SEED} for p in points])
+    scaled = [linear_search.Window(cut, size, *scaling(pipeline, early, width)) for cut, early, _ in windows]
+    return linear_search.search(rows, scaled, [(p.get("C", 1.0), p.get("l1_ratio", 0.0)) for p in points])
 
 
-def train_model(train: DataFrame, test: DataFrame, kind: str, target: str = "market_movement", values: dict[str, Sequence] | None = None, folds: int = 5, parallelism: int = 8) -> Trained:
+def train_model(train: DataFrame, test: DataFrame, kind: str, target: str = "market_movement", values: dict[str, Sequence] | None = None, folds: int = 5) -> Trained:
     """Every point of the grid over expanding windows, the best by mean area under the curve learnt again from all
-    training rows, and its metrics on the test rows. Fits run side by side on the same cluster."""
+    training rows, and its metrics on the test rows. A window whose tested rows are of one class counts for no point."""
     if kind not in PIPELINES:
         raise ValueError(f"unknown model {kind!r}; known are {', '.join(PIPELINES)}")
     make, default = PIPELINES[kind]
     columns = [c for c in train.columns if c not in (target, *KEY)] + ["Ticker"] * ("Ticker" in train.columns)
-    points, means = grid(values or default), []
-    judge = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction", metricName="areaUnderROC", numBins=0)
-    placed = positions(train.withColumn("label", F.col(target).cast("double"))).persist()
-    try:
-        n = placed.count()
-        with ThreadPoolExecutor(parallelism) as pool:
-            for rows, a, b in expanding_folds(placed, n, folds):
-                with vectors(make(columns, rows=rows), a, b, rows * len(columns)) as (seen, later):
-                    score = lambda p: judge.evaluate(make(columns, rows=rows, **p).getStages()[-1].fit(seen).transform(later))  # noqa: B023, E731
-                    means.append(list(pool.map(score, points)))
-        means = [sum(s) / folds for s in zip(*means, strict=True)]
-        best = max(range(len(points)), key=lambda i: means[i])
-        model = make(columns, rows=n, **points[best]).fit(placed)
-    finally:
-        placed.unpersist()
+    points = grid(values or default)
+    placed = Scratch(train.sparkSession, "train").keep(positions(train.withColumn("label", F.col(target).cast("double"))), "placed")
+    n = placed.count()
+    known = [s for s in search(placed, n, kind, columns, points, folds) if None not in s]
+    means = [sum(s) / len(s) for s in zip(*known, strict=True)] if known else [float("nan")] * len(points)
+    best = max(range(len(points)), key=lambda i: (round(means[i], 12), -i)) if known else 0
+    model = make(columns, rows=n, **points[best]).fit(placed)
     row = classification_metrics(scored(model, test.withColumn("label", F.col(target).cast("double")))).first()
     return Trained(model, points[best], means[best], {k: v for k, v in row.asDict().items() if v is not None})

@@ -11,32 +11,21 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A leaf is a number; an inner node is (feature, test, left, right). The test is a threshold, and left are the values not
-#: over it, or the set of the categories that go left.
-Node = float | tuple
-
+from barwright.operators.boosting import BoostedTreesModel
 
-def _left(test: float | frozenset, value: float) -> bool:
-    return value in test if isinstance(test, frozenset) else value <= test
+#: A leaf is a number; an inner node is (feature, threshold, left, right), and left are the values not over the threshold.
+Node = float | tuple
 
 
-def read_trees(model) -> list[tuple[float, Node]]:
+def read_trees(model: BoostedTreesModel) -> list[tuple[float, Node]]:
     """Weight and root of each tree of a fitted boosted model. They are as large as the model."""
-
-    def node(j) -> Node:
-        if j.subtreeDepth() == 0:
-            return float(j.prediction())
-        split = j.split()
-        test = frozenset(split.leftCategories()) if "Categorical" in split.getClass().getSimpleName() else float(split.threshold())
-        return int(split.featureIndex()), test, node(j.leftChild()), node(j.rightChild())
-
-    return [(float(w), node(t._call_java("rootNode"))) for w, t in zip(model.treeWeights, model.trees, strict=True)]
+    return model.read_trees().nested()
 
 
 def tree_value(root: Node, x: np.ndarray) -> float:
     while isinstance(root, tuple):
-        f, test, left, right = root
-        root = left if _left(test, x[f]) else right
+        f, threshold, left, right = root
+        root = left if x[f] <= threshold else right
     return root
 
 
@@ -56,8 +45,8 @@ def shapley(root: Node, x: np.ndarray, z: np.ndarray, out: np.ndarray, weight: f
             for f in from_z:
                 out[f] -= weight * node * factorial(a) * factorial(b - 1) / factorial(a + b)
             continue
-        f, test, left, right = node
-        of_x, of_z = (left if _left(test, v[f]) else right for v in (x, z))
+        f, threshold, left, right = node
+        of_x, of_z = (left if v[f] <= threshold else right for v in (x, z))
         if of_x is of_z or f in from_x:
             todo.append((of_x, from_x, from_z))
         elif f in from_z:

@@ -42,7 +42,7 @@ def test_batch_to_logged_prediction(spark, source, tmp_path):
     best = max(runs, key=lambda r: (r.metrics["roc_auc"], r.start_time))
     versions = {r.run_id: (r.version, r.alias) for r in store.versions().collect()}
     assert sorted(v for v, _ in versions.values()) == [1, 2] and [i for i, (_, a) in versions.items() if a == "champion"] == [best.run_id]
-    assert [type(s).__name__ for s in store.load_pipeline("xgb_pipeline").getStages()][-1] == "GBTClassifier"
+    assert [type(s).__name__ for s in store.load_pipeline("xgb_pipeline").getStages()][-1] == "BoostedTrees"
     assert [(r.experiment, r.runs) for r in selection.experiments(store.read("runs")).collect()] == [("market-regimes", 2)]
     listed = selection.models(store.versions()).first()
     assert (listed.versions, listed.latest, list(map(tuple, listed.aliases))) == (2, 2, [("champion", versions[best.run_id][0])])
