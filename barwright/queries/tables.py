@@ -16,7 +16,9 @@ from barwright.scratch import Scratch, shared_dir
 from barwright.sources import bars as B
 from barwright.sources.store import newest
 from barwright.streaming import bars as S
+from barwright.streaming import smoothing
 
+from .features import sql_of as feature_sql
 from .sql import BARS, div, lag, roll, staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -552,3 +554,78 @@ def t01_stream_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 oracle("t01_stream_bars", "SELECT * FROM bars_evt", "bars_evt")
+
+
+def _dealt(rows: DataFrame, number: F.Column, files: int, where: str) -> str:
+    """The rows as files that a stream reads one by one: those of number 0 first."""
+    for i in range(files):
+        rows.where(number == i).coalesce(1).write.mode("append").parquet(where)
+    return where
+
+
+@query
+def t02_stream_smoothing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """EMA and RSI of daily event bars that reach the stream in three files by the hash of their day, so out of order; one
+    row of later years lets all others out."""
+    base = f"{shared_dir(spark)}/stream-smoothing-{uuid.uuid4().hex}"
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", smoothing.ROCKS_DB)
+    rows = B.event_bars(spark, sf_dir).select("Ticker", "Date", "Close")
+    last = rows.agg(F.lit("").alias("Ticker"), F.date_add(F.max("Date"), 400).alias("Date"), F.lit(0.0).alias("Close"))
+    kept = Scratch(spark, "stream-rows").keep(rows.withColumn("file", F.pmod(F.xxhash64("Date"), F.lit(3))).unionByName(last.withColumn("file", F.lit(3).cast("long"))), "rows")
+    where = _dealt(kept, F.col("file"), 4, f"{base}/in")
+    stream = smoothing.smoothed(spark.readStream.schema(kept.schema).option("maxFilesPerTrigger", 1).parquet(where), 5, 14, "366 days")
+    stream.writeStream.outputMode("append").option("checkpointLocation", f"{base}/checkpoint").option("path", f"{base}/out").format("parquet").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{base}/out").where("Ticker <> ''").select("Ticker", "Date", F.round("ema", 4).alias("ema_5"), F.round("rsi", 5).alias("rsi_14"))
+
+
+_EMA, _RSI = (feature_sql({"function": f"create_{f}", "kwargs": {"window_size": n}}, "bars_evt") for f, n in (("ema_feature", 5), ("rsi_feature", 14)))
+oracle("t02_stream_smoothing", f"""SELECT "Ticker", "Date", ema_5, rsi_14 FROM ({_EMA}) JOIN ({_RSI}) USING ("Ticker", "Date")""")
+
+# every 40th event comes two files late, every 60th comes twice
+_LATE_FILE = "CASE WHEN event_id % 40 = 0 THEN 2 ELSE 0 END"
+_LATE_SQL = f""", f AS (
+        SELECT *, floor(epoch(ts - (SELECT min(ts) FROM events)) / 864000)::INT + {_LATE_FILE} AS file FROM events
+    ), n AS (
+        SELECT file, max(ts) AS newest FROM f GROUP BY file
+    ), m AS (
+        SELECT f.*, (SELECT date_trunc('millisecond', max(newest)) FROM n WHERE n.file < f.file) - INTERVAL 2 DAY AS bound FROM f
+    )"""
+
+
+def _late_stream(spark: SparkSession, sf_dir: str, name: str) -> tuple[str, DataFrame]:
+    base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    events = B.table(spark, sf_dir, "events").select(*[F.col(name).cast(kind) for name, kind in (f.split(" ") for f in S.EVENT_SCHEMA.split(", "))])
+    first = events.agg(F.min("ts")).first()[0]
+    dealt = events.withColumn("file", F.floor((F.col("ts").cast("double") - F.lit(first).cast("double")) / 864000) + F.expr(_LATE_FILE))
+    again = dealt.where("event_id % 60 = 0")
+    last = events.agg((F.max("ts") + F.expr("INTERVAL 100 DAYS")).alias("ts"), F.lit("").alias("event_type"), F.lit(-1).cast("long").alias("event_id"), F.lit(0.0).alias("value"), F.lit(0).cast("long").alias("user_id"), F.lit("").alias("props"))
+    files = int(dealt.agg(F.max("file")).first()[0]) + 1
+    kept = Scratch(spark, "late-rows").keep(dealt.unionByName(again).unionByName(last.withColumn("file", F.lit(files).cast("long"))), "rows")
+    where = _dealt(kept, F.col("file"), files + 1, f"{base}/in")
+    return base, spark.readStream.schema(S.EVENT_SCHEMA).option("maxFilesPerTrigger", 1).parquet(where)
+
+
+@query
+def t03_stream_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed windows appended from a stream with late and repeated events: late ones are left out, repeated ones count once."""
+    base, events = _late_stream(spark, sf_dir, "stream-append")
+    S.admit(events, f"{base}/events", f"{base}/admitting", "2 days")
+    S.insert_new(S.bars_of(S.read_admitted(spark, f"{base}/events"), late="2 days", once=True), f"{base}/table", f"{base}/checkpoint")
+    return spark.read.parquet(f"{base}/table").where("Ticker <> ''")
+
+
+oracle("t03_stream_append", f"""WITH {_LATE_SQL.lstrip(', ')}
+    SELECT CAST(ts AS DATE) AS "Date", event_type AS "Ticker", first(value ORDER BY ts, event_id) AS "Open", max(value) AS "High", min(value) AS "Low",
+           last(value ORDER BY ts, event_id) AS "Close", count(*) AS "Volume"
+    FROM m WHERE bound IS NULL OR ts > bound GROUP BY ALL""")
+
+
+@query
+def t04_late_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events that came too late for those windows, by type and day."""
+    base, events = _late_stream(spark, sf_dir, "stream-late")
+    S.admit(events, f"{base}/events", f"{base}/admitting", "2 days")
+    return S.read_late(spark, f"{base}/events").groupBy(F.col("ts").cast("date").alias("Date"), F.col("event_type").alias("Ticker")).agg(F.count_distinct("event_id").alias("events"))
+
+
+oracle("t04_late_events", f"""WITH {_LATE_SQL.lstrip(', ')} SELECT CAST(ts AS DATE) AS "Date", event_type AS "Ticker", count(*) AS events FROM m WHERE ts <= bound GROUP BY ALL""")

@@ -1,13 +1,9 @@
-"""Bars from a stream of events, appended once each, and a smoothed value that is carried on."""
+"""Bars from a stream of events, appended once each, and a table of the events that came too late."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from barwright.operators.ingest import absent
 from barwright.schema import PRICES
@@ -20,11 +16,17 @@ def read_events(spark: SparkSession, path: str, files_per_trigger: int = 100) ->
     return spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def bars_of(events: DataFrame, late: str = "1 day", every: str = "1 day") -> DataFrame:
+def bars_of(events: DataFrame, late: str = "1 day", every: str = "1 day", once: bool = False) -> DataFrame:
     """Bars of tumbling windows. A window is given out once the watermark has passed its end; events later than
-    `late` are left out. Works on streams and on tables."""
+    `late` are left out (see `admit`). Works on streams and on tables.
+
+    once: an event that comes again within `late` counts once. What is remembered of it goes when the watermark has passed
+    it, so the state holds the ids of `late` time and not of all time."""
     order = F.struct("ts", "event_id")
-    windows = events.withWatermark("ts", late).groupBy(F.window("ts", every).alias("w"), F.col("event_type").alias("Ticker"))
+    marked = events.withWatermark("ts", late)
+    if once:
+        marked = marked.dropDuplicatesWithinWatermark(["event_id"]) if events.isStreaming else marked.dropDuplicates(["event_id"])
+    windows = marked.groupBy(F.window("ts", every).alias("w"), F.col("event_type").alias("Ticker"))
     out = windows.agg(F.min_by("value", order).alias("Open"), F.max("value").alias("High"), F.min("value").alias("Low"), F.max_by("value", order).alias("Close"), F.count("*").alias("Volume"))
     return out.select(F.col("w.start").cast("date").alias("Date"), "Ticker", *PRICES, "Volume")
 
@@ -50,21 +52,32 @@ def insert_new(bars: DataFrame, path: str, checkpoint: str, key: tuple[str, ...]
     bars.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
 
 
-def smoothed(values: DataFrame, span: int, key: str = "Ticker", order: str = "Date", value: str = "Close") -> DataFrame:
-    """The exponential average of each key's values, one double and a count per key as state. Values of a batch are taken
-    in order; a stream must bring its batches in order."""
-    alpha = 2 / (span + 1)
-
-    def step(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        e, n = state.get if state.exists else (0.0, 0)
-        rows = pd.concat(list(frames)).sort_values(order)
-        out = []
-        for x in rows[value]:
-            if x == x:
-                e, n = (x if n == 0 else (1 - alpha) * e + alpha * x), n + 1
-            out.append(e if n >= span and x == x else None)
-        state.update((e, n))
-        yield pd.DataFrame({key: keys[0], order: rows[order], "ema": pd.array(out, dtype="Float64")})
-
-    kinds = dict(values.dtypes)
-    return values.groupBy(key).applyInPandasWithState(step, f"{key} {kinds[key]}, {order} {kinds[order]}, ema double", "e double, n long", "append", GroupStateTimeout.NoTimeout)
+def admit(events: DataFrame, path: str, checkpoint: str, late: str = "1 day", time: str = "ts") -> None:
+    """Parts the events into tables `kept` and `late` under the path: late are those not after the newest time of all earlier
+    batches (in milliseconds, as watermarks are) less `late`. A query with this watermark over what is kept
+    drops nothing, as its own watermark is never further on; so every event is either counted or among the late ones.
+    A batch's rows and its newest time lie in folders of its number: a batch that is run again writes the same."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        batch = batch.persist()
+        try:
+            batch.agg(F.max(time).alias("newest")).write.mode("overwrite").parquet(f"{path}/newest/batch={number}")
+            known = spark.read.schema("newest timestamp, batch long").parquet(f"{path}/newest").where(F.col("batch") < number)
+            bound = known.agg((F.date_trunc("millisecond", F.max("newest")) - F.expr(f"INTERVAL {late}")).alias("bound")).first().bound
+            dropped = F.lit(False) if bound is None else F.coalesce(F.col(time) <= F.lit(bound), F.lit(False))
+            batch.where(dropped).write.mode("overwrite").parquet(f"{path}/late/batch={number}")
+            batch.where(~dropped).write.mode("overwrite").parquet(f"{path}/kept/batch={number}")
+        finally:
+            batch.unpersist()
+
+    events.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+
+
+def read_admitted(spark: SparkSession, path: str, schema: str = EVENT_SCHEMA) -> DataFrame:
+    """A stream of what `admit` kept."""
+    return spark.readStream.schema(schema).parquet(f"{path}/kept/batch=*")
+
+
+def read_late(spark: SparkSession, path: str, schema: str = EVENT_SCHEMA) -> DataFrame:
+    return spark.read.schema(schema).parquet(f"{path}/late/batch=*")

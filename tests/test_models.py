@@ -160,17 +160,47 @@ def test_streams(spark, tmp_path):
     assert sorted((r.Date.day, r.High, r.Volume) for r in spark.read.parquet(out).collect()) == [(1, 7.0, 3), (2, 3.0, 1)]
 
 
-def test_smoothed_stream(spark, tmp_path):
-    x = np.random.default_rng(6).normal(10, 1, 40)
-    schema, src, out = "Ticker string, Date date, Close double", f"{tmp_path}/in", f"{tmp_path}/out"
-    for part in (range(25), range(25, 40)):
-        spark.createDataFrame([("A", dt.date(2024, 1, 1) + dt.timedelta(i), float(x[i])) for i in part], schema).coalesce(1).write.mode("append").parquet(src)
-        stream = S.smoothed(spark.readStream.schema(schema).parquet(src), 5)
-        stream.writeStream.outputMode("append").option("checkpointLocation", f"{tmp_path}/c").option("path", out).format("parquet").trigger(availableNow=True).start().awaitTermination()
+def test_smoothed_stream_takes_rows_in_order(spark, tmp_path):
+    """Shuffled, repeated and null rows over several runs give what a sorted series gives; a row too late is kept apart."""
     import pandas as pd
 
-    got = [r.ema for r in spark.read.parquet(out).orderBy("Date").collect()]
-    assert np.allclose([np.nan if v is None else v for v in got], pd.Series(x).ewm(span=5, adjust=False, min_periods=5).mean(), equal_nan=True)
+    from barwright.streaming import smoothing
+
+    rng = np.random.default_rng(6)
+    x, schema, src, out = rng.normal(10, 1, 300), "Ticker string, Date date, Close double", f"{tmp_path}/in", f"{tmp_path}/out"
+    x[100:105] = x[100]  # neither gains nor losses
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", smoothing.ROCKS_DB)
+    row = lambda t, i: (t, dt.date(2024, 1, 1) + dt.timedelta(int(i)), float(x[i]))
+    for k, part in enumerate((range(0, 200), range(190, 300), [299])):
+        rows = [row(t, i) for t in "AB" for i in rng.permutation(list(part))] + [("A", dt.date(2024, 1, 1) + dt.timedelta(max(part)), None)]
+        if k == 1:
+            rows.append(("A", dt.date(2023, 12, 1), 1000.0))  # long past
+        if k == 2:
+            rows = [("end", dt.date(2030, 1, 1), 1.0)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        stream = smoothing.smoothed(spark.readStream.schema(schema).parquet(src), 5, 14, "15 days")
+        stream.writeStream.outputMode("append").option("checkpointLocation", f"{tmp_path}/c").option("path", out).format("parquet").trigger(availableNow=True).start().awaitTermination()
+    s = pd.Series(x)
+    d = s.diff()
+    gain, loss = (v.where(d.notna()).ewm(alpha=1 / 14, adjust=False, ignore_na=True, min_periods=14).mean() for v in (d.clip(lower=0), (-d).clip(lower=0)))
+    for t in "AB":
+        got = spark.read.parquet(out).where(F.col("Ticker") == t).orderBy("Date").collect()
+        assert [r.Close for r in got] == x.tolist()
+        of = lambda c: [np.nan if r[c] is None else r[c] for r in got]  # noqa: B023, E731
+        assert np.allclose(of("ema"), s.ewm(span=5, adjust=False, min_periods=5).mean(), equal_nan=True)
+        assert np.allclose(of("rsi"), 100 - 100 / (1 + gain / loss), equal_nan=True)
+    assert smoothing.rsi_of(np.array([0.0, 1.0, 1.0]), np.array([0.0, 0.0, 1.0])).tolist() == [50.0, 100.0, 50.0]
+
+
+def test_late_rows_are_written_once(spark, tmp_path):
+    src = f"{tmp_path}/events"
+    make = lambda rows: spark.createDataFrame([(i, dt.datetime(2024, 1, d, h), 1, "x", 1.0, None) for i, d, h in rows], S.EVENT_SCHEMA).coalesce(1).write.mode("append").parquet(src)
+    for rows in ([(1, 1, 9), (2, 5, 9)], [(3, 4, 9), (4, 4, 10), (5, 5, 1), (6, 8, 0)], [(7, 6, 23), (8, 7, 1)]):
+        make(rows)
+        S.admit(S.read_events(spark, src), f"{tmp_path}/e", f"{tmp_path}/check", "1 day")
+    S.admit(S.read_events(spark, src), f"{tmp_path}/e", f"{tmp_path}/check", "1 day")
+    assert sorted(r.event_id for r in S.read_late(spark, f"{tmp_path}/e").collect()) == [3, 7]
+    assert sorted(r.event_id for r in spark.read.parquet(f"{tmp_path}/e/kept").collect()) == [1, 2, 4, 5, 6, 8]
 
 
 def test_model_queries_search_the_default_grids_over_all_days(spark, frame, monkeypatch):
