@@ -17,12 +17,14 @@ from .shared import Scratch, set_aside
 @dataclass(frozen=True)
 class Settings:
     """min_match: words of the shortest tile, and of a seed. threshold: the share of an item's words that a document's
-    tiles must cover to count as a leak. filter_bits: power of two that bounds the table of seeds that is sent to the
+    tiles must cover to count as a leak. least_words: items of fewer words are left out; at 1 an item of one word, such as
+    "yes", leaks into every document that has the word. filter_bits: power of two that bounds the table of seeds that is sent to the
     workers (2**28 bits are 32 MB); a benchmark of more than 4 million seeds fills it more, and more seeds go to the join.
     """
 
     min_match: int = 5
     threshold: float = 0.75
+    least_words: int = 1
     filter_bits: int = 28
 
 
@@ -39,15 +41,16 @@ class Running:
         return words.mix((self.sums[length:] - self.sums[:n]) * self.inverse[:n] + np.uint64(length))
 
 
-def tiles(doc: np.ndarray, item: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+def tiles(doc: np.ndarray, item: np.ndarray, k: int, running: Running | None = None) -> list[tuple[int, int, int]]:
     """Greedy string tiling: (start in doc, start in item, words) of non-overlapping matches of k words or more, longest
     first; ties go to the first place in the document, then in the item.
 
     Both are hashed words. The longest length at which unmarked words of both agree is found by halving, as a shorter
     piece of a match agrees too; its matches become tiles; then the next longest is looked for. Windows that agree are
     compared word by word before they are marked. Places are looked up, never paired, so repeated words cost no more.
+    running: the document's, where several items are laid over it.
     """
-    both = (Running(doc), Running(item))
+    both = (running or Running(doc), Running(item))
     free = (np.ones(len(doc), bool), np.ones(len(item), bool))
     out: list[tuple[int, int, int]] = []
 
@@ -128,8 +131,10 @@ class Filter:
         return tuple(np.concatenate([f[i] for f in found]) for i in (0, 1))
 
 
-def _items(benchmark: DataFrame, k: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Items (item, item_id, words), numbered, and their seeds (item, n, seed): windows of k words, or all of fewer."""
+def _items(benchmark: DataFrame, settings: Settings, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Items (item, item_id, words), numbered, and their seeds (item, item_id, size, n, at, seed): windows of k words at each
+    place, or all words of an item with fewer."""
+    k = settings.min_match
     rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     rows = scratch.keep(rows.withColumn("item", F.monotonically_increasing_id()), "items")
 
@@ -142,16 +147,15 @@ def _items(benchmark: DataFrame, k: int, scratch: Scratch) -> tuple[DataFrame, D
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("item").to_numpy()
             for i, x in enumerate(batch.column("words")):
                 w = np.frombuffer(x.as_buffer(), np.uint64)
                 n = min(len(w), k)
                 _, h = next(_seeds(w, np.array([0, len(w)]), [n])) if n else (None, np.zeros(0, np.uint64))
-                h = np.unique(h).view(np.int64)
-                yield pa.record_batch([pa.array(np.full(len(h), ids[i])), pa.array(np.full(len(h), n, np.int32)), pa.array(h)], names=["item", "n", "seed"])
+                same = [pa.array(np.full(len(h), v, t)) for v, t in ((batch.column("item")[i].as_py(), np.int64), (batch.column("item_id")[i].as_py(), np.int64), (len(w), np.int32), (n, np.int32))]
+                yield pa.record_batch([*same, pa.array(np.arange(len(h), dtype=np.int32)), pa.array(h.view(np.int64))], names=["item", "item_id", "size", "n", "at", "seed"])
 
-    items = scratch.keep(rows.mapInArrow(hashed, "item long, item_id long, words binary"), "hashed")
-    return items, scratch.keep(items.mapInArrow(seeds, "item long, n int, seed long"), "seeds")
+    items = scratch.keep(rows.mapInArrow(hashed, "item long, item_id long, words binary").where(F.octet_length("words") >= 8 * settings.least_words), "hashed")
+    return items, scratch.keep(items.mapInArrow(seeds, "item long, item_id long, size int, n int, at int, seed long"), "seeds")
 
 
 def _binaries(w: np.ndarray, bounds: np.ndarray) -> pa.Array:
@@ -221,15 +225,16 @@ def _seeds_of(shared):
 
 def _tile(settings: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, doc = None, np.zeros(0, np.uint64)
+        last, doc, running = None, np.zeros(0, np.uint64), None
         for batch in batches:
             texts, rows = batch.column("text"), []
             keys = list(zip(*(batch.column(c).to_pylist() for c in _KEY), strict=True))
             for i in range(batch.num_rows):
                 if keys[i] != last:
                     last, (doc, _) = keys[i], words.word_hashes(*words.buffers(texts.slice(i, 1)))
+                    running = Running(doc)
                 item = np.frombuffer(batch.column("words")[i].as_buffer(), np.uint64)
-                got = tiles(doc, item, min(settings.min_match, len(item)))
+                got = tiles(doc, item, min(settings.min_match, len(item)), running)
                 if got:
                     rows.append((i, sum(t[2] for t in got) / len(item), len(got), [{"start": t[0], "words": t[2]} for t in sorted(got)]))
             at = pa.array([r[0] for r in rows], pa.int64())
@@ -251,37 +256,54 @@ def coverage(docs: DataFrame, benchmark: DataFrame, settings: Settings = Setting
 
     1. A Bloom filter of the items' seeds, of bounded size, is the only thing that is broadcast. Documents without a
        passing seed are done where they are read; no others are shuffled.
-    2. The others, one of each text, are joined with the items on their passing seeds. Adaptive execution splits a
-       seed that very many documents or items have.
-    3. Each pair of document and item is tiled (`tiles`), and the best item and the number of leaks are taken with
-       partial maxima and sums.
+    2. The others, one of each text, are joined with the items on their passing seeds, numbers without texts. Adaptive
+       execution splits a seed that very many documents or items have. What the shared seeds of a pair cover of its
+       item bounds what its tiles can.
+    3. Of each document the pair of the highest bound is tiled (`tiles`), and then those only whose bound reaches the
+       threshold or what the first one covers. So a phrase that is in all items and documents costs a row of numbers a
+       pair, and a tiling a document. The best item and the number of leaks are taken with partial maxima and sums.
 
     Null and empty texts share nothing; items without words, text or id are ignored; equal rows of items count once;
     items of different text may share an id and count one by one; rows that repeat get the same answer, null ids need
     no care; empty tables give no rows, or no matches. Columns of the added names are replaced.
     """
     scratch = Scratch(docs.sparkSession, "tiles")
-    items, seeds = _items(benchmark, settings.min_match, scratch)
+    items, seeds = _items(benchmark, settings, scratch)
     shared = docs.sparkSession.sparkContext.broadcast(_filter(seeds, settings))
     own = docs.drop(*ADDED)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema), *(f"{c} long" for c in _KEY), f"{_HIT} boolean"])
     flagged = own.mapInArrow(_flag(shared), schema)
-
-    slim = own.select("text").mapInArrow(_flag(shared), f"text string, {_KEY[0]} long, {_KEY[1]} long, {_HIT} boolean")
-    texts = scratch.keep(slim.where(_HIT).drop(_HIT).dropDuplicates(_KEY), "texts")
-    theirs = seeds.select("item", "seed").hint("merge")
-    pairs = texts.mapInArrow(_seeds_of(shared), f"{_KEY[0]} long, {_KEY[1]} long, seed long").join(theirs, "seed").select(*_KEY, "item").distinct()
-    pairs = scratch.keep(pairs, "pairs")
-    matched = pairs.join(items.hint("merge"), "item").join(texts.hint("merge"), [*_KEY]).select(*_KEY, "text", "item_id", "words")
-    tiled = matched.mapInArrow(_tile(settings), f"{_KEY[0]} long, {_KEY[1]} long, item_id long, coverage double, n_tiles long, tiles {ADDED['tiles']}")
+    hits = scratch.keep(flagged.where(_HIT).drop(_HIT), "hits")
+
+    texts = scratch.keep(hits.select("text", *_KEY).dropDuplicates(_KEY), "texts")
+    doc = list(_KEY)
+    met = texts.mapInArrow(_seeds_of(shared), f"{_KEY[0]} long, {_KEY[1]} long, seed long").join(seeds.hint("merge"), "seed")
+    places = met.groupBy(*doc, "item", "item_id", "size", "n").agg(F.sort_array(F.collect_set("at")).alias("at"))
+    gaps = F.zip_with(F.slice("at", F.lit(2), F.size("at")), F.slice("at", F.lit(1), F.size("at") - 1), lambda b, a: F.least(b - a, F.col("n")))
+    covered = F.aggregate(gaps, F.col("n"), lambda total, x: total + x)
+    pairs = scratch.keep(places.select(*doc, "item", "item_id", (covered / F.col("size")).alias("bound")), "pairs")
+
+    schema = f"{_KEY[0]} long, {_KEY[1]} long, item_id long, coverage double, n_tiles long, tiles {ADDED['tiles']}"
+
+    def tiled(chosen: DataFrame, name: str) -> DataFrame:
+        matched = chosen.select(*doc, "item").join(items.hint("merge"), "item").join(texts.hint("merge"), doc)
+        return scratch.keep(matched.select(*doc, "text", "item_id", "words").mapInArrow(_tile(settings), schema), name)
+
+    top = pairs.groupBy(*doc).agg(F.max_by(F.struct("item", "item_id"), F.struct("bound", -F.col("item_id"), -F.col("item"))).alias("top"))
+    top = scratch.keep(top.select(*doc, F.col("top.item").alias("item"), F.col("top.item_id").alias("first_id")), "top")
+    first = tiled(top, "first")
+    best_yet = top.withColumnRenamed("item", "first").join(first.select(*doc, "coverage").hint("merge"), doc, "left")
+    held = pairs.join(best_yet.hint("merge"), doc).where(F.col("item") != F.col("first"))
+    yet = F.coalesce("coverage", F.lit(0.0))
+    open_ = (F.col("bound") >= settings.threshold) | (F.col("bound") > yet) | ((F.col("bound") == yet) & (F.col("item_id") <= F.col("first_id")))
+    both = first.unionByName(tiled(held.where(open_), "others"))
     best = F.max_by(F.struct("item_id", "coverage", "n_tiles", "tiles"), F.struct("coverage", -F.col("item_id"), -F.col("n_tiles"), "tiles"))
-    found = tiled.groupBy(*_KEY).agg(best.alias("best"), F.sum((F.col("coverage") >= settings.threshold).cast("long")).alias("n_items"))
-    found = scratch.keep(found, "found")
+    found = both.groupBy(*doc).agg(best.alias("best"), F.sum((F.col("coverage") >= settings.threshold).cast("long")).alias("n_items"))
 
     empty = {"item_id": F.lit(None), "coverage": F.lit(0.0), "n_tiles": F.lit(0), "n_items": F.lit(0), "tiles": F.array()}
     got = {c: F.col(c if c == "n_items" else f"best.{c}") for c in ADDED}
     clean = flagged.where(~F.col(_HIT)).withColumns({c: v.cast(ADDED[c]) for c, v in empty.items()})
-    others = flagged.where(_HIT).join(found.hint("merge"), [*_KEY], "left")
+    others = hits.join(found.hint("merge"), doc, "left")
     others = others.withColumns({f"tile {c}": F.coalesce(got[c], empty[c].cast(ADDED[c])) for c in ADDED}).drop("best", "n_items").withColumnsRenamed({f"tile {c}": c for c in ADDED})
     return clean.select(*own.columns, *ADDED).unionByName(others.select(*own.columns, *ADDED))
 

@@ -96,3 +96,28 @@ def test_empty_tables(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert tiling.coverage(docs, bench).count() == 0
     assert tiling.decontaminate(spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string"), bench).count() == 1
+
+
+def test_a_phrase_that_all_items_and_documents_share(spark):
+    """Only one pair of a document needs tiling unless a bound says more; all answers are those of tiling every pair."""
+    rng = np.random.default_rng(2)
+    some = lambda n: " ".join(f"w{i}" for i in rng.integers(0, 10**6, n))
+    phrase = "please answer the following question in detail"
+    items = [(i % 38, f"{phrase} {some(20 + i % 3)}") for i in range(40)] + [(90, "two words"), (91, phrase)]
+    texts = [f"{some(60)} {phrase} {some(30)}" for _ in range(40)]
+    texts += [f"{some(9)} {items[i][1]} {some(9)} {items[i + 1][1]}" for i in range(5)] + [f"{some(3)} two words", "two", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for settings in (tiling.Settings(), tiling.Settings(least_words=3)):
+        got = {r.doc_id: (r.item_id, r.coverage, r.n_items) for r in tiling.coverage(docs, bench, settings).collect()}
+        hashed = lambda t: np.array([hash(w) % 2**61 for w in t.split()], np.uint64)
+        for i, t in enumerate(texts):
+            found = []
+            for item_id, x in items:
+                w = hashed(x)
+                if len(w) >= settings.least_words:
+                    share = sum(n for _, _, n in tiling.tiles(hashed(t or ""), w, min(5, len(w)))) / len(w)
+                    found.append((-share, item_id))
+            best = min(found)
+            assert got[i][1:] == (-best[0], sum(-s >= 0.75 for s, _ in found))
+            assert got[i][0] == (best[1] if best[0] else None)
