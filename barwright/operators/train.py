@@ -97,6 +97,7 @@ class Trained:
     params: dict
     cv_roc_auc: float
     metrics: dict[str, float]
+    evaluated: DataFrame | None = None
     run_id: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def run(self, spark, experiment: str, tags: dict[str, str]) -> DataFrame:
@@ -160,7 +161,7 @@ def search(placed: DataFrame, n: int, kind: str, columns: Sequence[str], points:
 
 def train_model(train: DataFrame, test: DataFrame, kind: str, target: str = "market_movement", values: dict[str, Sequence] | None = None, folds: int = 5) -> Trained:
     """Every point of the grid over expanding windows, the best by mean area under the curve learnt again from all
-    training rows, and its metrics on the test rows. A window whose tested rows are of one class counts for no point."""
+    training rows, and its metrics on the test rows, which are kept with their predictions. A window whose tested rows are of one class counts for no point."""
     if kind not in PIPELINES:
         raise ValueError(f"unknown model {kind!r}; known are {', '.join(PIPELINES)}")
     make, default = PIPELINES[kind]
@@ -172,5 +173,6 @@ def train_model(train: DataFrame, test: DataFrame, kind: str, target: str = "mar
     means = [sum(s) / len(s) for s in zip(*known, strict=True)] if known else [float("nan")] * len(points)
     best = max(range(len(points)), key=lambda i: (round(means[i], 12), -i)) if known else 0
     model = make(columns, rows=n, **points[best]).fit(placed)
-    row = classification_metrics(scored(model, test.withColumn("label", F.col(target).cast("double")))).first()
-    return Trained(model, points[best], means[best], {k: v for k, v in row.asDict().items() if v is not None})
+    evaluated = Scratch(train.sparkSession, "train").keep(scored(model, test.withColumn("label", F.col(target).cast("double"))), "evaluated")
+    row = classification_metrics(evaluated).first()
+    return Trained(model, points[best], means[best], {k: v for k, v in row.asDict().items() if v is not None}, evaluated)

@@ -1,10 +1,11 @@
-"""Stored tables: named datasets, appends that never overwrite, logs, runs and model versions, over files or JDBC."""
+"""Stored tables: named datasets, inserts in one commit, logs, runs and model versions, over files or JDBC."""
 
 from __future__ import annotations
 
 import os
 import time
 from collections.abc import Sequence
+from datetime import date
 from pathlib import Path
 
 from pyspark.errors import AnalysisException
@@ -15,11 +16,14 @@ from pyspark.sql import functions as F
 from barwright.operators.ingest import absent
 from barwright.operators.selection import with_aliases
 from barwright.schema import MODEL_ALIAS, MODEL_VERSION, PREDICTION_LOG, TABLES
+from barwright.scratch import Scratch
+from barwright.sources.commits import CommitLog, Snapshot
 
 
 class Store:
-    """Parquet tables under one folder, by name. Reads of a table that was never written give no rows if its schema is
-    a known one."""
+    """Parquet tables under one folder, by name, as numbered commits (see `commits`): readers see whole commits only, and
+    of two writers at once one acts as if it had come after the other. A known table that was never written has no
+    rows. Folders of plain Parquet files, as other programs write them, can be read too."""
 
     def __init__(self, spark: SparkSession, base: str) -> None:
         self.spark, self.base = spark, base.rstrip("/")
@@ -27,21 +31,49 @@ class Store:
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
 
-    def read(self, name: str) -> DataFrame:
+    def log(self, name: str) -> CommitLog:
+        return CommitLog(self.spark, self.path(name))
+
+    def read(self, name: str, start: str | date | None = None, end: str | date | None = None) -> DataFrame:
+        """The table as it is now. With a range of dates rows outside it may be missing: files that hold none of it aren't
+        read. Only a table that isn't there counts as empty; one that has lost its files is an error."""
+        return self._as_of(name, self.log(name).snapshot(), start, end)
+
+    def _as_of(self, name: str, snapshot: Snapshot, start: str | date | None = None, end: str | date | None = None) -> DataFrame:
+        if snapshot.version:
+            return self.log(name).read(snapshot, start, end)
         try:
             return self.spark.read.parquet(self.path(name))
-        except AnalysisException:
-            if name not in TABLES:
+        except AnalysisException as e:
+            if name not in TABLES or e.getCondition() != "PATH_NOT_FOUND":
                 raise
             return self.spark.createDataFrame([], TABLES[name][0])
 
-    def write(self, name: str, df: DataFrame, partition_by: Sequence[str] = ()) -> None:
-        df.write.mode("overwrite").partitionBy(*partition_by).parquet(self.path(name))
+    def _by_year(self, name: str) -> str | None:
+        return "Date" if name in TABLES and "Date" in TABLES[name][0].names else None
+
+    def write(self, name: str, df: DataFrame) -> None:
+        """The table anew."""
+        self.log(name).commit(lambda _: df, self._by_year(name), replaces=True, blind=True)
+
+    def append(self, name: str, df: DataFrame) -> None:
+        """Adds rows whatever else is added meanwhile."""
+        self.log(name).commit(lambda s: self._joined(name, s, df), self._by_year(name), replaces=self._is_plain(name), blind=not self._is_plain(name))
+
+    def _is_plain(self, name: str) -> bool:
+        """Whether the table is a folder of Parquet files without commits; its first commit takes them over."""
+        log = self.log(name)
+        return not log.exists() and log._fs.exists(log._hadoop(""))
+
+    def _joined(self, name: str, snapshot: Snapshot, df: DataFrame) -> DataFrame:
+        return self._as_of(name, snapshot).unionByName(df) if not snapshot.version and self._is_plain(name) else df
 
     def create_schemas(self) -> None:
         """Every known table, empty, where it isn't there yet."""
         for name, (schema, _) in TABLES.items():
-            self.spark.createDataFrame([], schema).write.mode("ignore").parquet(self.path(name))
+            log = self.log(name)
+            if not log._fs.exists(log._hadoop("")):
+                log.publish(1, {}, schema)
 
     def tables(self) -> list[str]:
         """Names of the folders that hold a table; models and data sets lie in folders with an underscore."""
@@ -49,17 +81,27 @@ class Store:
         fs = hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration())
         return sorted(f.getPath().getName() for f in fs.listStatus(hadoop) if f.isDirectory() and not f.getPath().getName().startswith("_")) if fs.exists(hadoop) else []
 
+    def compact(self, name: str, parts: int | None = None) -> None:
+        """Many small appends become few files (a year each, for bars); readers of the old ones aren't disturbed."""
+        self.log(name).compact(self._by_year(name), parts)
+
     def insert_if_absent(self, name: str, new: DataFrame, key: Sequence[str] | None = None) -> None:
-        """Appends the rows whose key is not stored. Rows become visible when the whole job commits; no rows, no job. Of
-        the stored rows only those between the first and last new date are read, where the key has a date."""
-        if new.isEmpty():
+        """Adds the rows whose key is not stored, all or none of them; of two writers with one key the first to commit wins.
+        The plan of `new` runs once, into a written table. Of the stored rows only files between the first and last new
+        date are read, where the key has a date."""
+        key = list(key or TABLES[name][1])
+        staged = Scratch(self.spark, "insert").keep(new, name)
+        dates = [F.min("Date"), F.max("Date")] if "Date" in key else []
+        n, *span = staged.agg(F.count(F.lit(1)), *dates).first()
+        if not n:
             return
-        key = key or TABLES[name][1]
-        stored = self.read(name)
-        if "Date" in key:
-            first, last = new.agg(F.min("Date"), F.max("Date")).first()
-            stored = stored.where(F.col("Date").between(F.lit(first), F.lit(last)))
-        absent(new.select(stored.columns), stored, key).write.mode("append").parquet(self.path(name))
+
+        def rows(snapshot: Snapshot) -> DataFrame:
+            stored = self._as_of(name, snapshot, *span)
+            fresh = absent(staged.select(stored.columns), stored.where(F.col("Date").between(*map(F.lit, span))) if span and span[0] else stored, key)
+            return self._joined(name, snapshot, fresh)
+
+        self.log(name).commit(rows, self._by_year(name), replaces=self._is_plain(name))
 
     def insert_stock_data(self, new: DataFrame) -> None:
         self.insert_if_absent("stock_data", new)
@@ -78,20 +120,30 @@ class Store:
         return Pipeline.load(f"{self.base}/_pipelines/{name}")
 
     def register(self, trained, experiment: str, name: str, tags: dict[str, str]) -> int:
-        """Stores a trained model, its run (parameters, metrics, tags) and a new version of the named model, which is
-        returned. The version row comes last: what it names is there. Versions are numbered by one writer at a time."""
+        """Stores a trained model, its run (parameters, metrics, tags), the test rows with their predictions if it has them, and
+        a new version of the named model, which is returned. The version's row comes last: what it names is there. Versions
+        of writers at once are different, as each is numbered after the commits before it."""
         path = f"{self.base}/_models/{trained.run_id}"
         trained.model.write().overwrite().save(path)
-        trained.run(self.spark, experiment, tags).write.mode("append").parquet(self.path("runs"))
-        version = (self.read("model_versions").where(F.col("name") == name).agg(F.max("version")).first()[0] or 0) + 1
-        self.spark.createDataFrame([(name, version, trained.run_id, path, None)], MODEL_VERSION).write.mode("append").parquet(self.path("model_versions"))
-        return version
+        if trained.evaluated is not None:
+            trained.evaluated.write.mode("overwrite").parquet(f"{self.base}/_evaluated/{trained.run_id}")
+            tags = tags | {"evaluated_data": f"{self.base}/_evaluated/{trained.run_id}"}
+        self.append("runs", trained.run(self.spark, experiment, tags))
+        given = 0
+
+        def row(snapshot: Snapshot) -> DataFrame:
+            nonlocal given
+            given = (self._as_of("model_versions", snapshot).where(F.col("name") == name).agg(F.max("version")).first()[0] or 0) + 1
+            return self._joined("model_versions", snapshot, self.spark.createDataFrame([(name, given, trained.run_id, path, None)], MODEL_VERSION))
+
+        self.log("model_versions").commit(row, replaces=self._is_plain("model_versions"))
+        return given
 
     def set_alias(self, name: str, version: int, alias: str = "champion") -> None:
         """Aliases are appended, so that no reader meets a table half rewritten; the newest one counts."""
         if self.read("model_versions").where((F.col("name") == name) & (F.col("version") == version)).isEmpty():
             raise ValueError(f"model {name!r} has no version {version}")
-        self.spark.createDataFrame([(name, alias, version, time.time_ns())], MODEL_ALIAS).write.mode("append").parquet(self.path("model_aliases"))
+        self.append("model_aliases", self.spark.createDataFrame([(name, alias, version, time.time_ns())], MODEL_ALIAS))
 
     def versions(self) -> DataFrame:
         return with_aliases(self.read("model_versions"), self.read("model_aliases"))
@@ -101,7 +153,7 @@ class Store:
         and correct), each with an id of its own and the present time."""
         row = scored.withColumns({"prediction_id": F.expr("uuid()"), "timestamp": F.current_timestamp()})
         columns = [(F.col(f.name) if f.name in row.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in PREDICTION_LOG]
-        row.select(*columns).write.mode("append").parquet(self.path("prediction_logs"))
+        self.append("prediction_logs", row.select(*columns))
 
     def prediction_logs(self, limit: int = 50) -> DataFrame:
         return newest(self.read("prediction_logs"), limit)

@@ -1,7 +1,8 @@
 """Training, scoring, attribution and streams on small frames."""
 
 import datetime as dt
-from itertools import permutations
+import time
+from itertools import permutations, product
 
 import numpy as np
 import pytest
@@ -72,7 +73,7 @@ def test_boosted_trees(frame):
     got = T.train_model(early, late, "xgb", values={"n_estimators": (10,), "max_depth": (2,), "learning_rate": (0.2,)}, folds=2)
     assert got.metrics["roc_auc"] > 0.8
     # contributions sum up to the margin at the last row over the mean margin of the background
-    trees = A.read_trees(got.model.stages[-1])
+    trees = [(got.model.stages[-1].read_trees().start, 1.0), *A.read_trees(got.model.stages[-1])]
     out = A.tree_attribution(frame.drop("market_movement"), got.model, 99, 30).toPandas()
     last = got.model.transform(frame).orderBy("Date").select("Ticker", "features", "rawPrediction").collect()[-60:]
     for ticker in ("A", "B"):
@@ -113,16 +114,28 @@ def test_shapley_equals_all_coalitions():
         return (int(rng.integers(4)), float(rng.normal()), grow(depth - 1), grow(depth - 1)) if depth and rng.random() < 0.9 else float(rng.normal())
 
     for _ in range(30):
-        root, x, z = grow(4), rng.normal(size=4), rng.normal(size=4)
-        got, want = np.zeros(4), np.zeros(4)
-        A.shapley(root, x, z, got)
-        for order in permutations(range(4)):
-            at = z.copy()
-            for f in order:
-                before = A.tree_value(root, at)
-                at[f] = x[f]
-                want[f] += (A.tree_value(root, at) - before) / 24
-        assert np.allclose(got, want)
+        trees, x, rows = [(1.0, grow(4)), (0.5, grow(3)), (2.0, 1.5)], rng.normal(size=4), rng.normal(size=(3, 4))
+        rows[0, 0] = x[0]
+        want = np.zeros(4)
+        for (w, root), z in product(trees, rows):
+            for order in permutations(range(4)):
+                at = z.copy()
+                for f in order:
+                    before = A.tree_value(root, at)
+                    at[f] = x[f]
+                    want[f] += w * (A.tree_value(root, at) - before) / 24 / len(rows)
+        assert np.allclose(A.shapley(A.Leaves.of(trees), x, rows), want)
+
+
+def test_shapley_of_many_trees_is_quick():
+    rng = np.random.default_rng(10)
+    grow = lambda depth: (int(rng.integers(100)), float(rng.normal()), grow(depth - 1), grow(depth - 1)) if depth else float(rng.normal())
+    trees, rows = [(0.1, grow(4)) for _ in range(500)], rng.normal(size=(150, 100))
+    began = time.perf_counter()
+    got = A.shapley(A.Leaves.of(trees), rows[0], rows)
+    assert time.perf_counter() - began < 20
+    value = lambda x: sum(w * A.tree_value(t, x) for w, t in trees)
+    assert got.sum() == pytest.approx(value(rows[0]) - np.mean([value(z) for z in rows]))
 
 
 def test_levels(spark):
