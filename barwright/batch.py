@@ -41,6 +41,15 @@ class Batch:
     def write(self, name: str, df: DataFrame) -> None:
         df.write.mode("overwrite").parquet(self.paths[name])
 
+    def move(self, path: str, to: str) -> None:
+        """A folder in the place of another."""
+        spark = self.store.spark
+        a, b = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (path, to))
+        fs = a.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.delete(b, True)
+        if not fs.rename(a, b):
+            raise OSError(f"{path} could not be moved to {to}")
+
 
 def data_ingestion(b: Batch) -> None:
     """Bars that the store hasn't got yet are loaded and added; the raw data sets are the wanted range of the store."""
@@ -64,8 +73,14 @@ def data_validation(b: Batch) -> None:
     p = b.params
     spy, vix = p["market_tickers"]
     for name, tickers in zip(SERIES, ([t.upper() for t in p["tickers"]], [spy], [vix]), strict=True):
-        good = validate.data_validation(b.read(name), tickers=tickers, start_date=p["raw_data_start_date"], end_date=p["raw_data_end_date"], max_gap_days=p["max_gap_days"])
-        b.write(f"validated_{name}", good)
+        checking = f"{b.paths[f'validated_{name}']}_checking"
+
+        def store(df: DataFrame, checking: str = checking) -> DataFrame:
+            df.write.mode("overwrite").parquet(checking)
+            return b.store.spark.read.parquet(checking)
+
+        validate.validate_and_store(b.read(name), store, tickers=tickers, start_date=p["raw_data_start_date"], end_date=p["raw_data_end_date"], max_gap_days=p["max_gap_days"])
+        b.move(checking, b.paths[f"validated_{name}"])
 
 
 def feature_engineering(b: Batch) -> None:

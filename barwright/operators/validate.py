@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -150,12 +150,61 @@ def ticker_validation(df: DataFrame, tickers: Sequence[str] | None = None) -> Da
 
 
 def data_validation(df: DataFrame, required_columns=None, column_types=None, error_messages=None, row_id=None, ohlcv_columns=None, tickers=None, start_date=None, end_date=None, max_gap_days: int = MAX_GAP_DAYS) -> DataFrame:
-    """All checks, one after the other."""
-    empty_data_validation(df)
-    column_existence_validation(df, required_columns)
-    missing_data_validation(df, required_columns)
-    column_type_validation(df, required_columns, column_types, error_messages)
-    duplicate_validation(df, row_id)
-    financial_consistency_validation(df, ohlcv_columns)
-    date_validation(df, start_date, end_date, row_id, max_gap_days)
-    return ticker_validation(df, tickers)
+    """All checks, and their first error in this order: rows, columns, nulls, types, keys, prices, dates, tickers. Good bars
+    cost two queries: one pass counts what single rows break, one shuffle by ticker finds keys and gaps."""
+    return validate_and_store(df, None, required_columns, column_types, error_messages, row_id, ohlcv_columns, tickers, start_date, end_date, max_gap_days)
+
+
+def validate_and_store(df: DataFrame, store: Callable[[DataFrame], DataFrame] | None, required_columns=None, column_types=None, error_messages=None, row_id=None, ohlcv_columns=None, tickers=None, start_date=None, end_date=None, max_gap_days: int = MAX_GAP_DAYS) -> DataFrame:
+    """As `data_validation`, with the rows counted while `store` writes them; keys and gaps are looked for in what it gives
+    back, which is returned. So the plan of `df` runs once. What is stored is not valid until this returns."""
+    columns, key, prices = list(required_columns or COLUMNS), list(row_id or KEY), list(ohlcv_columns or OHLCV)
+    broken = lambda check, *more: check(df, *more)  # the single check tells the error in full
+    if set(columns) - set(df.columns):
+        empty_data_validation(df)
+        return broken(column_existence_validation, columns)
+    sound = None
+    try:
+        column_type_validation(df, columns, column_types, error_messages)
+    except (TypeError, ValueError) as e:
+        sound = e
+    counts = {"rows": F.count(F.lit(1))} | {f"null {c}": F.count_if(F.col(c).isNull()) for c in columns}
+    usable = sound is None and len(key) == 2 and len(prices) == 5 and {*key, *prices} <= set(df.columns)
+    if usable:
+        day = F.col(key[1]).cast("date")
+        counts |= {f"price {n}": F.count_if(r) for n, r in price_rules(prices).items()}
+        counts |= {"future": F.count_if(day > F.current_date()), "first": F.min(day), "last": F.max(day)}
+        if tickers is not None:
+            counts["strange"] = F.count_if(~F.col("Ticker").isin(list(tickers)))
+    wanted = [x.alias(n) for n, x in counts.items()]
+    if store:
+        seen = Observation()
+        df = store(df.observe(seen, *wanted))
+        got = seen.get
+    else:
+        got = df.agg(*wanted).first().asDict()
+    if not got["rows"]:
+        return broken(empty_data_validation)
+    if any(got[f"null {c}"] for c in columns):
+        return broken(missing_data_validation, columns)
+    if sound is not None:
+        raise sound
+    if not usable:  # wrong arguments: the checks say which
+        broken(duplicate_validation, row_id)
+        broken(financial_consistency_validation, ohlcv_columns)
+        return broken(date_validation, start_date, end_date, row_id, max_gap_days)
+    ordered = Window.partitionBy(key[0]).orderBy(key[1])
+    before = F.lag(key[1]).over(ordered)
+    again = (F.row_number().over(ordered) > 1) & before.eqNullSafe(F.col(key[1]))
+    apart = df.select(again.alias("again"), (F.datediff(F.col(key[1]), before) > max_gap_days).alias("gap")).agg(F.count_if("again").alias("again"), F.count_if("gap").alias("gaps")).first()
+    if apart.again:
+        return broken(duplicate_validation, key)
+    if any(got[f"price {n}"] for n in price_rules(prices)):
+        return broken(financial_consistency_validation, prices)
+    late = lambda bound, day: bound is not None and day is not None and str(day) > str(bound)[:10]
+    early = start_date is not None and got["first"] is not None and str(got["first"]) < str(start_date)[:10]
+    if got["future"] or apart.gaps or early or late(end_date, got["last"]):
+        return broken(date_validation, start_date, end_date, key, max_gap_days)
+    if got.get("strange"):
+        return broken(ticker_validation, tickers)
+    return df

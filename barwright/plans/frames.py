@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,13 +20,13 @@ BROADCAST_ROWS = 200_000
 
 def merge_dataframes(stock: DataFrame, spy: DataFrame, vix: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Both market series joined to the stocks by date, rows without a market day kept. A series has one row a day; it is
-    written once, broadcast while it has no more than `broadcast_rows` (the files know their rows), and else joined by
-    sort."""
+    written once, both side by side, broadcast while it has no more than `broadcast_rows` (the write counts them), and else
+    joined by sort."""
     out, scratch = stock, Scratch(stock.sparkSession, "market")
-    for name, side in (("spy", spy), ("vix", vix)):
-        side = scratch.keep(side.drop("Ticker"), name)
-        small = side.count() <= broadcast_rows
-        out = out.join(F.broadcast(side) if small else side, "Date", "left")
+    with ThreadPoolExecutor(2) as pool:
+        sides = list(pool.map(lambda s: scratch.keep_counted(s[1].drop("Ticker"), s[0]), (("spy", spy), ("vix", vix))))
+    for side, rows in sides:
+        out = out.join(F.broadcast(side) if rows <= broadcast_rows else side, "Date", "left")
     return out.drop("Repaired?")
 
 

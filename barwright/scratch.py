@@ -8,7 +8,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,6 +37,12 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def keep_counted(self, df: DataFrame, name: str) -> tuple[DataFrame, int]:
+        """The written frame and its number of rows, which the write itself counts."""
+        seen = Observation()
+        kept = self.keep(df.observe(seen, F.count(F.lit(1)).alias("rows")), name)
+        return kept, seen.get["rows"]
+
     def drop(self, name: str) -> None:
         """For tables that nothing will read again."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")

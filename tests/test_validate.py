@@ -79,3 +79,53 @@ def test_report_counts(good):
     bad = broken(broken(good, "Volume", F.lit(-5)), "Close", F.lit(None))
     got = {r.rule: r.violations for r in V.report(bad.unionByName(bad.where("Ticker = 'MSFT'")), ["AAPL"]).collect()}
     assert got["volume_negative"] == 1 and got["null_Close"] == 1 and got["repeated_key"] == 5 and got["unknown_ticker"] == 10 and got["gap_too_long"] == 0
+
+
+ORDER = [
+    ("no rows", lambda df: df.where("false")),
+    ("missing columns", lambda df: df.drop("Low")),
+    ("'Open': 1", lambda df: broken(df, "Open", F.lit(None))),
+    ("Volume", lambda df: df.withColumn("Volume", F.lit("x"))),
+    ("rows with equal", lambda df: df.unionByName(df.limit(1))),
+    ("open not positive", lambda df: broken(df, "Open", F.lit(-1.0))),
+    ("future", lambda df: df.withColumn("Date", F.date_add("Date", 40_000))),
+    ("dates before", lambda df: df.withColumn("Date", F.date_sub("Date", 300))),
+    ("dates after", lambda df: df.withColumn("Date", F.date_add("Date", 300))),
+    ("gaps of more", lambda df: df.unionByName(df.withColumn("Date", F.date_add("Date", 20)))),
+    ("unexpected tickers", lambda df: df.withColumn("Ticker", F.lower("Ticker"))),
+]
+RULES = {"tickers": ["AAPL", "MSFT"], "start_date": "2024-01-01", "end_date": "2024-01-31", "max_gap_days": 10}
+
+
+@pytest.mark.parametrize("match", [m for m, _ in ORDER])
+def test_every_error_is_told_by_the_fused_checks(good, match):
+    with pytest.raises((ValueError, TypeError), match=match):
+        V.data_validation(dict(ORDER)[match](good), **RULES)
+
+
+def test_the_first_error_in_order_is_told(good):
+    both = lambda a, b: dict(ORDER)[b](dict(ORDER)[a](good))
+    for a, b in (("'Open': 1", "rows with equal"), ("rows with equal", "open not positive"), ("open not positive", "dates before"), ("dates before", "unexpected tickers"), ("'Open': 1", "Volume"), ("Volume", "unexpected tickers")):
+        with pytest.raises((ValueError, TypeError), match=a):
+            V.data_validation(both(a, b), **RULES)
+
+
+def test_good_bars_cost_two_queries_and_one_run_of_their_plan(good, spark, tmp_path):
+    asked = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def price(x):
+        asked.add(1)
+        return float(x)
+
+    def store(df):
+        df.write.parquet(f"{tmp_path}/valid")
+        return spark.read.parquet(f"{tmp_path}/valid")
+
+    done = lambda: spark._jsparkSession.sharedState().statusStore().executionsCount()
+    before = done()
+    V.data_validation(good, **RULES)
+    assert done() - before <= 2
+    before = done()
+    kept = V.validate_and_store(good.withColumn("Close", price("Close")), store, **RULES)
+    assert done() - before <= 2 and asked.value == 10 == kept.count()
