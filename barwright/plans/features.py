@@ -362,22 +362,31 @@ def create_yang_zhang_volatility_features(p: WindowPlan, lag: int = 1, window_si
     _volatility(p, _yz(p, lag), "yz", window_size, lag, second=False)
 
 
-# market context; original_colname is accepted for the sake of older lists, as names are given at once here
+# market context: features of other names; original_colname tells which column of the frame is given the new name, if not
+# the feature's own
+
+
+def _renamed(p: WindowPlan, create: Callable[..., None], own: str, new: str, size: int, original: str | None) -> None:
+    if original is None or original == f"{own}_{size}":
+        create(p, size, new)
+    else:
+        create(p, size, own)
+        p.rename(original, f"{new}_{size}")
 
 
 @feature
 def create_spy_lag_return_feature(p: WindowPlan, lag: int = 1, original_colname: str | None = None) -> None:
-    create_lag_return_feature(p, lag, "spy_lag_return")
+    _renamed(p, create_lag_return_feature, "return_lag", "spy_lag_return", lag, original_colname)
 
 
 @feature
 def create_spy_volatility_feature(p: WindowPlan, window_size: int = 2, original_colname: str | None = None) -> None:
-    create_simple_return_volatility_feature(p, window_size, "spy_volatility")
+    _renamed(p, create_simple_return_volatility_feature, "simple_return_volatility", "spy_volatility", window_size, original_colname)
 
 
 @feature
 def create_spy_drawdown_feature(p: WindowPlan, window_size: int = 2, original_colname: str | None = None) -> None:
-    create_drawdown_feature(p, window_size, "spy_drawdown")
+    _renamed(p, create_drawdown_feature, "drawdown", "spy_drawdown", window_size, original_colname)
 
 
 @feature
@@ -401,12 +410,12 @@ def create_vix_level_feature(p: WindowPlan) -> None:
 
 @feature
 def create_vix_lag_return_feature(p: WindowPlan, lag: int = 1, original_colname: str | None = None) -> None:
-    create_lag_return_feature(p, lag, "vix_return_lag")
+    _renamed(p, create_lag_return_feature, "return_lag", "vix_return_lag", lag, original_colname)
 
 
 @feature
 def create_vix_sma_feature(p: WindowPlan, window_size: int = 2, original_colname: str | None = None) -> None:
-    create_simple_moving_average_feature(p, window_size, "vix_SMA")
+    _renamed(p, create_simple_moving_average_feature, "SMA", "vix_SMA", window_size, original_colname)
 
 
 @feature

@@ -9,6 +9,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barwright.plans.ranks import with_ranks
+
+#: Rolling extremes and ranks of more rows than this don't walk their windows.
+WIDE = 128
 #: Weight at which the rest of an exponential average is left out.
 TINY = 1e-17
 
@@ -20,8 +24,11 @@ def ema_rows(alpha: float) -> int:
 
 @dataclass(frozen=True)
 class Step:
-    column: Column
+    """A column, or for what no column can say a function that adds it to a frame."""
+
+    column: Column | None
     level: int
+    frame: Callable[[DataFrame], DataFrame] | None = None
 
 
 class WindowPlan:
@@ -38,6 +45,7 @@ class WindowPlan:
         self.window = Window.partitionBy(key).orderBy(order)
         self.steps: dict[str, Step] = {}
         self.outputs: dict[str, str] = {}
+        self.renames: dict[str, str] = {}
 
     def step(self, name: str, make: Callable[..., Column], *needs: str) -> str:
         """A step by name; `make` gets the columns of `needs`."""
@@ -49,6 +57,13 @@ class WindowPlan:
     def output(self, name: str, step: str) -> None:
         self.outputs[name] = step
 
+    def rename(self, old: str, new: str) -> None:
+        """Calls an output, or else a column of the input that is kept, by a new name; nothing if there is none such."""
+        if old in self.outputs:
+            self.outputs = {new if k == old else k: v for k, v in self.outputs.items()}
+        else:
+            self.renames[old] = new
+
     def last(self, n: int) -> Window:
         return self.window.rowsBetween(1 - n, 0)
 
@@ -89,10 +104,25 @@ class WindowPlan:
         return self._roll("var", F.var_samp, x, n)
 
     def max(self, x: str, n: int) -> str:
-        return self._roll("max", F.max, x, n)
+        return self._extreme("max", F.max, F.greatest, x, n)
 
     def min(self, x: str, n: int) -> str:
-        return self._roll("min", F.min, x, n)
+        return self._extreme("min", F.min, F.least, x, n)
+
+    def _extreme(self, name: str, f: Callable[[Column], Column], of: Callable[..., Column], x: str, n: int) -> str:
+        """Wide windows are put together of two parts: rows are cut into blocks of n, so the last n rows are the end of one
+        block, whose extreme runs backwards, and the beginning of the next, whose extreme runs forwards. The work of a
+        row doesn't depend on n."""
+        if n <= WIDE:
+            return self._roll(name, f, x, n)
+        number = self.step("number()", lambda: F.row_number().over(self.window))
+        block = self.step(f"rows({n})", lambda i: F.floor((i - 1) / n), number)
+        running = lambda by: lambda c, b: f(c).over(Window.partitionBy(self.key, b).orderBy(by).rowsBetween(Window.unboundedPreceding, 0))
+        here = self.step(f"{name} up to here({x},{n})", running(F.asc(self.order)), x, block)
+        from_here = self.step(f"{name} from here({x},{n})", running(F.desc(self.order)), x, block)
+        seen = self.step(f"seen({x})", lambda c: F.count(c).over(self.window.rowsBetween(Window.unboundedPreceding, 0)), x)
+        all_there = lambda i, s, before: (i >= n) & (s - F.coalesce(before, F.lit(0)) == n)
+        return self.step(f"{name}({x},{n})", lambda i, s, before, a, b: F.when(all_there(i, s, before), of(a, b)), number, seen, self.lag(seen, n), here, self.lag(from_here, n - 1))
 
     def mean_ahead(self, x: str, n: int) -> str:
         """The mean of the next n rows."""
@@ -100,7 +130,14 @@ class WindowPlan:
         return self.step(f"ahead({x},{n})", lambda c: F.when(F.count(c).over(w) == n, F.avg(c).over(w)), x)
 
     def rank(self, x: str, n: int) -> str:
-        """The share of the last n values up to the current one, ties by half."""
+        """The share of the last n values up to the current one, ties by half. Wide windows are ranked outside the window
+        operators (see `ranks`), at the price of one more shuffle."""
+        if n > WIDE:
+            name = f"rank({x},{n})"
+            if name not in self.steps:
+                level = self.steps[x].level + 1 if x in self.steps else 1
+                self.steps[name] = Step(None, level, lambda df: with_ranks(df, self.key, self.order, x, n, name))
+            return name
         values = self.step(f"values({x},{n})", lambda c: F.collect_list(c).over(self.last(n)), x)
         below = lambda c, a: F.size(F.filter(a, lambda v: v < c)) + (F.size(F.filter(a, lambda v: v == c)) + 1) / 2
         return self.step(f"rank({x},{n})", lambda c, a: F.when((F.size(a) == n) & c.isNotNull(), below(c, a) / n), x, values)
@@ -134,10 +171,13 @@ class WindowPlan:
     def apply(self, df: DataFrame, keep: tuple[str, ...] | None = None) -> DataFrame:
         """The columns `keep` (all if None; outputs replace columns of their names), then the outputs."""
         keep = tuple(c for c in (df.columns if keep is None else keep) if c not in self.outputs)
-        levels: dict[int, dict[str, Column]] = {}
+        levels: dict[int, dict[str, Step]] = {}
         for name, s in self.steps.items():
-            levels.setdefault(s.level, {})[name] = s.column
+            levels.setdefault(s.level, {})[name] = s
         out = df
         for level in sorted(levels):
-            out = out.select("*", *(c.alias(name) for name, c in levels[level].items()))
-        return out.select(*(F.col(f"`{c}`") for c in keep), *(F.col(f"`{s}`").alias(name) for name, s in self.outputs.items()))
+            columns = {n: s.column for n, s in levels[level].items() if s.frame is None}
+            out = out.select("*", *(c.alias(name) for name, c in columns.items())) if columns else out
+            for s in levels[level].values():
+                out = s.frame(out) if s.frame else out
+        return out.select(*(F.col(f"`{c}`").alias(self.renames.get(c, c)) for c in keep), *(F.col(f"`{s}`").alias(name) for name, s in self.outputs.items()))

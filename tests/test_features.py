@@ -1,6 +1,7 @@
 """Feature functions against pandas, and the shape of their plans."""
 
 import datetime as dt
+import time
 
 import numpy as np
 import pandas as pd
@@ -195,3 +196,60 @@ def test_model_frames(df, spark):
     assert "market_movement" not in model_frame(df, spy, vix, "lr", serving=True).columns
     with pytest.raises(ValueError):
         model_frame(df, spy, vix, "none")
+
+
+@pytest.fixture(scope="module")
+def long_series(spark):
+    rng, rows, series = np.random.default_rng(21), [], {}
+    for t, n in (("A", 1500), ("B", 700), ("C", 40)):
+        x = pd.Series(rng.normal(0, 1, n).cumsum().round(1) + 50)
+        x[rng.integers(0, n, 2 if n > 100 else 0)] = np.nan
+        series[t] = x
+        rows += [(dt.date(2000, 1, 1) + dt.timedelta(i), t, None if v != v else float(v)) for i, v in enumerate(x)]
+    return spark.createDataFrame(rows, "Date date, Ticker string, Close double").repartition(5), series
+
+
+@pytest.mark.parametrize("n", [1, 2, 128, 129, 200, 500])
+def test_extremes_and_ranks_of_windows_of_any_width(long_series, n):
+    df, series = long_series
+    plan = WindowPlan()
+    for name in ("max", "min", "rank"):
+        plan.output(name, getattr(plan, name)("Close", n))
+    got = plan.apply(df).toPandas().sort_values("Date")
+    for t, x in series.items():
+        mine = got[got.Ticker == t].set_index(x.index)
+        for name, want in (("max", x.rolling(n).max()), ("min", x.rolling(n).min()), ("rank", x.rolling(n).rank(pct=True))):
+            assert np.allclose(mine[name].astype(float), want, equal_nan=True), (t, name)
+
+
+def test_wide_windows_cost_as_much_as_narrow_ones():
+    from barwright.plans.ranks import rolling_ranks
+
+    x = np.random.default_rng(1).normal(size=300_000).round(3)
+    seconds = []
+    for n in (1_000, 100_000):
+        began = time.perf_counter()
+        got = rolling_ranks(x, n)
+        seconds.append(time.perf_counter() - began)
+    window = x[200_001 - 100_000 : 200_001]
+    assert got[200_000] == ((window < x[200_000]).sum() + ((window == x[200_000]).sum() + 1) / 2) / 100_000
+    assert seconds[1] < 3 * seconds[0] + 1
+
+
+def test_wide_extremes_need_no_walk(df):
+    plan = WindowPlan()
+    plan.output("x", plan.max("Close", 5000))
+    text = plan.apply(df)._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange") == 1 and "-4999, currentrow" not in text and "Python" not in text
+
+
+def test_original_colname(df):
+    specs = lambda **k: [{"function": "create_spy_lag_return_feature", "kwargs": {"lag": 2, **k}}]
+    plain = compile_features(specs()).apply(df, ("Ticker", "Date"))
+    assert plain.columns == ["Ticker", "Date", "spy_lag_return_2"] == compile_features(specs(original_colname="return_lag_2")).apply(df, ("Ticker", "Date")).columns
+    other = compile_features(specs(original_colname="Open")).apply(df, ("Ticker", "Date", "Open"))
+    assert other.columns == ["Ticker", "Date", "spy_lag_return_2", "return_lag_2"]
+    assert sorted(map(str, other.select("Ticker", "Date", "return_lag_2").collect())) == sorted(str(r).replace("spy_lag_return_2", "return_lag_2") for r in plain.collect())
+    assert compile_features(specs(original_colname="none")).apply(df, ("Ticker", "Date")).columns == ["Ticker", "Date", "return_lag_2"]
+    both = [{"function": "create_momentum_feature", "kwargs": {"lag": 1}}, *specs(original_colname="momentum_1")]
+    assert compile_features(both).apply(df, ("Ticker",)).columns == ["Ticker", "spy_lag_return_2", "return_lag_2"]
