@@ -119,7 +119,7 @@ def model_training(b: Batch) -> None:
         got = train.train_model(early, late, model, p["target_variable"], p[grid], p["folds"])
         make, _ = train.PIPELINES[model]
         b.store.save_pipeline(f"{model}_pipeline", make([c for c in b.read(names["train"][0]).columns if c != "Date"]))
-        b.store.register(got, p["experiment"], p["registered_model_name"], {"model": model} | {f"{part}_data": b.paths[x] for part, (x, _) in names.items()})
+        b.store.register(got, p["experiment"], p["registered_model_name"], {"model": model, "market_tickers": ",".join(p["market_tickers"])} | {f"{part}_data": b.paths[x] for part, (x, _) in names.items()})
 
 
 def model_selection(b: Batch) -> None:

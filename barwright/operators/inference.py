@@ -35,6 +35,11 @@ def market_regime(level: Column) -> Column:
     return F.when(level >= RISK_OFF, "Risk Off").when(level >= ELEVATED, "Elevated").otherwise("Risk On")
 
 
+def known_ticker(ticker: Column, known: Sequence[str]) -> Column:
+    """Whether a ticker, in any case, is among these."""
+    return F.coalesce(F.upper(ticker).isin(list(known)), F.lit(False))
+
+
 def check_ticker(ticker: str, known: Sequence[str]) -> str:
     if ticker.upper() not in known:
         raise LookupError(f"unknown ticker {ticker!r}; known are {', '.join(known)}")
@@ -153,12 +158,13 @@ def engineer_data(stock: DataFrame, spy: DataFrame, vix: DataFrame, model_type:
 class VolatilityPredictor:
     """A loaded model with its name, version and type; scores each ticker's last complete row."""
 
-    def __init__(self, model: PipelineModel, model_type: str, name: str, version: int, stats: dict[str, float] | None = None) -> None:
+    def __init__(self, model: PipelineModel, model_type: str, name: str, version: int, stats: dict[str, float] | None = None, market_tickers: Sequence[str] = ("SPY", "^VIX")) -> None:
         self.model, self.model_type, self.name, self.version, self.stats = model, model_type, name, version, stats or {}
+        self.spy, self.vix = market_tickers
 
     @classmethod
     def champion(cls, store: Store, model_type: str | None = None, alias: str = "champion") -> VolatilityPredictor:
-        """The model that has the alias; its type is the run's tag unless it is named."""
+        """The model that has the alias; its type and its market tickers are the run's tags unless the type is named."""
         row = store.versions().where(F.col("alias") == alias).orderBy("name", F.desc("version")).first()
         if row is None:
             raise LookupError(f"no model has the alias {alias!r}")
@@ -166,12 +172,13 @@ class VolatilityPredictor:
         model_type = model_type or (runs.tags.get("model") if runs else None)
         if model_type is None:
             raise LookupError(f"the type of model {row['name']!r} is not known")
-        return cls(PipelineModel.load(row.path), model_type, row["name"], row.version, dict(runs.metrics) if runs else {})
+        market = (runs.tags.get("market_tickers") if runs else None) or "SPY,^VIX"
+        return cls(PipelineModel.load(row.path), model_type, row["name"], row.version, dict(runs.metrics) if runs else {}, market.split(","))
 
     def prepare_features(self, store: Store, source: Source, ticker: str, lookback_window: int = 500, today: date | None = None) -> tuple[DataFrame, DataFrame]:
         """A ticker's bars of the last so many calendar days and its features, what the store lacks filled from the source
         and added to it. The frames are written once, as a payload reads them several times."""
-        windows = {"stock_data": ticker, "spy_data": "SPY", "vix_data": "^VIX"}
+        windows = {"stock_data": ticker, "spy_data": self.spy, "vix_data": self.vix}
         scratch, got = Scratch(store.spark, "serving"), []
         for name, one in windows.items():
             bars = scratch.keep(serving_window(store.read(name), source, one, lookback_window, today), name)
@@ -185,6 +192,17 @@ class VolatilityPredictor:
         close = last_known(bars, "Close").withColumnRenamed("Close", "close_price")
         return self.predict(features).join(close, "Ticker", "left").withColumn("model_type", F.lit(self.model_type))
 
+    def explain(self, store: Store, source: Source, ticker: str, lookback_window: int = 500, top_n: int = 10, background_size: int = 150, today: date | None = None) -> DataFrame:
+        """The greatest contributions to a ticker's prediction: Ticker, rank, feature, value, contribution."""
+        _, features = self.prepare_features(store, source, ticker, lookback_window, today)
+        return model_attribution(features, self.model, self.model_type, top_n, background_size)
+
+    def get_prediction(self, store: Store, source: Source, ticker: str, lookback_window: int = 500, top_n: int = 10, background_size: int = 150, today: date | None = None) -> DataFrame:
+        """One nested row (see `payload`) for a ticker, with its last close and the model's type."""
+        bars, features = self.prepare_features(store, source, ticker, lookback_window, today)
+        close = last_known(bars, "Close").withColumnRenamed("Close", "close_price")
+        return self.payload(bars, features, top_n, background_size).join(close, "Ticker", "left").withColumn("model_type", F.lit(self.model_type))
+
     def latest_features(self, bars: DataFrame, features: DataFrame) -> DataFrame:
         """One nested row a ticker: its bars, bands and the values of its last row, as text where they aren't numbers."""
         names = [c for c in features.columns if c != "Ticker"]

@@ -59,6 +59,26 @@ def report(df: DataFrame, tickers: Sequence[str] | None = None, start_date: str
     return counts.select(pairs).select("r.*").unionByName(repeated).unionByName(gaps)
 
 
+def future_dates(df: DataFrame, day: Column | str = "Date", today: Column | None = None, limit: int = 5) -> DataFrame:
+    """The first dates after today, each once."""
+    day = (F.col(day) if isinstance(day, str) else day).cast("date")
+    return df.where(day > (F.current_date() if today is None else today)).select(day.alias("Date")).distinct().orderBy("Date").limit(limit)
+
+
+def strange_tickers(df: DataFrame, tickers: Sequence[str]) -> DataFrame:
+    """The tickers that aren't among these, each once."""
+    return df.where(~F.col("Ticker").isin(list(tickers))).select("Ticker").distinct()
+
+
+def missing_columns(df: DataFrame, required_columns: Sequence[str] | None = None) -> list[str]:
+    return sorted(set(required_columns or COLUMNS) - set(df.columns))
+
+
+def type_classes(df: DataFrame) -> dict[str, list[str]]:
+    """The classes of type that each column is of: an integer is a number too."""
+    return {f.name: [k for k, types in _KINDS.items() if isinstance(f.dataType, types)] for f in df.schema}
+
+
 def empty_data_validation(df: DataFrame) -> DataFrame:
     if df.isEmpty():
         raise ValueError("the frame has no rows")
@@ -66,7 +86,7 @@ def empty_data_validation(df: DataFrame) -> DataFrame:
 
 
 def column_existence_validation(df: DataFrame, required_columns: Sequence[str] | None = None) -> DataFrame:
-    missing = sorted(set(required_columns or COLUMNS) - set(df.columns))
+    missing = missing_columns(df, required_columns)
     if missing:
         raise ValueError(f"missing columns: {missing}")
     return df
@@ -127,9 +147,9 @@ def date_validation(df: DataFrame, start_date: str | None = None, end_date: str
         if not df.select((F.lag(k).over(w) > k).alias("back")).where("back").isEmpty():
             raise ValueError(f"rows are not sorted by {key}")
     day = F.col(key[1]).cast("date")
-    future = df.where(day > F.current_date()).select(day.alias("d")).distinct().orderBy("d").limit(5).collect()
+    future = future_dates(df, day).collect()
     if future:
-        raise ValueError(f"dates in the future: {[str(r.d) for r in future]}")
+        raise ValueError(f"dates in the future: {[str(r.Date) for r in future]}")
     lo, hi = df.agg(F.min(day), F.max(day)).first()
     if start_date is not None and lo is not None and lo < date.fromisoformat(str(start_date)[:10]):
         raise ValueError(f"dates before {start_date}")
@@ -143,7 +163,7 @@ def date_validation(df: DataFrame, start_date: str | None = None, end_date: str
 def ticker_validation(df: DataFrame, tickers: Sequence[str] | None = None) -> DataFrame:
     if tickers is None:
         return df
-    strange = df.where(~F.col("Ticker").isin(list(tickers))).select("Ticker").distinct().orderBy("Ticker").limit(20).collect()
+    strange = strange_tickers(df, tickers).orderBy("Ticker").limit(20).collect()
     if strange:
         raise ValueError(f"unexpected tickers: {[r.Ticker for r in strange]}")
     return df

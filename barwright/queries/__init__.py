@@ -1,6 +1,6 @@
 """All queries of the engine over the synthetic tables, each with its DuckDB SQL where SQL can say it."""
 
-from . import features, tables
+from . import features, stored, tables  # noqa: F401
 
 QUERIES = features.QUERIES | tables.QUERIES
 ORACLE_SQL = features.ORACLE_SQL | tables.ORACLE_SQL

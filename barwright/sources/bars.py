@@ -34,9 +34,9 @@ def between(bars: DataFrame, start: str | date, end: str | date, tickers: Sequen
     return out if tickers is None else out.where(F.col("Ticker").isin([t.upper() for t in tickers]))
 
 
-def with_warm_up(bars: DataFrame, start: str | date, rows: int, days_per_row: float = 1.6) -> DataFrame:
-    """Bars from so many days before `start` that windows of `rows` trading days are whole at `start`."""
-    return bars.where(F.col("Date") >= F.date_sub(F.lit(str(start)).cast("date"), int(rows * days_per_row) + 10))
+def in_order(bars: DataFrame) -> DataFrame:
+    """Bars by ticker, then date: for what is read from the first row to the last, as a sink; windows order their own rows."""
+    return bars.orderBy("Ticker", "Date")
 
 
 def build(trades: DataFrame, ticker: Column, day: Column, price: Column, order: Sequence[Column | str], volume: Column) -> DataFrame:

@@ -62,6 +62,11 @@ def test_batch_to_logged_prediction(spark, source, tmp_path):
     bars, features = p.prepare_features(store, source, "A", 500, today)
     row = p.latest_features(bars, features).first()
     assert len(row.ohlcv) == len(row.bollinger.upper) == bars.count() and row.features["Date"] == str(today)
+    rich = p.get_prediction(store, source, "A", 500, 4, 50, today).first()
+    assert rich.close_price == last.Close and rich.model_type == p.model_type and rich.probability == got[0].probability and len(rich.attribution) == 4
+    why = p.explain(store, source, "A", 500, 4, 50, today).collect()
+    assert [(r.rank, r.feature) for r in why] == [(a["rank"], a.feature) for a in rich.attribution]
+    assert spark.read.parquet(best.tags["evaluated_data"]).where("prediction in (0, 1) and probability between 0 and 1").count() == spark.read.parquet(best.tags["evaluated_data"]).count() > 0
     assert p.log(store, p.predict(features)) and store.prediction_logs().first().ticker == "A"
     for other in ("lr", "xgb"):
         v = next(version for version, _ in versions.values() if version != versions[best.run_id][0])
