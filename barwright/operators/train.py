@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 from itertools import product
 
 import numpy as np
+from pyspark import SparkContext
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, RobustScaler, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
@@ -159,6 +160,15 @@ def search(placed: DataFrame, n: int, kind: str, columns: Sequence[str], points:
     return linear_search.search(rows, scaled, [(p.get("C", 1.0), p.get("l1_ratio", 0.0)) for p in points])
 
 
+def without_summary(model: PipelineModel) -> PipelineModel:
+    """The model without what Spark keeps of its training. A summary holds the session, which can't be sent to tasks once a
+    frame of the session has been observed."""
+    for stage in model.stages:
+        if getattr(stage, "hasSummary", False):
+            stage._java_obj.setSummary(SparkContext._active_spark_context._jvm.scala.Option.empty())
+    return model
+
+
 def train_model(train: DataFrame, test: DataFrame, kind: str, target: str = "market_movement", values: dict[str, Sequence] | None = None, folds: int = 5) -> Trained:
     """Every point of the grid over expanding windows, the best by mean area under the curve learnt again from all
     training rows, and its metrics on the test rows, which are kept with their predictions. A window whose tested rows are of one class counts for no point."""
@@ -172,7 +182,7 @@ def train_model(train: DataFrame, test: DataFrame, kind: str, target: str = "mar
     known = [s for s in search(placed, n, kind, columns, points, folds) if None not in s]
     means = [sum(s) / len(s) for s in zip(*known, strict=True)] if known else [float("nan")] * len(points)
     best = max(range(len(points)), key=lambda i: (round(means[i], 12), -i)) if known else 0
-    model = make(columns, rows=n, **points[best]).fit(placed)
+    model = without_summary(make(columns, rows=n, **points[best]).fit(placed))
     evaluated = Scratch(train.sparkSession, "train").keep(scored(model, test.withColumn("label", F.col(target).cast("double"))), "evaluated")
     row = classification_metrics(evaluated).first()
     return Trained(model, points[best], means[best], {k: v for k, v in row.asDict().items() if v is not None}, evaluated)

@@ -20,7 +20,7 @@ BROADCAST_ROWS = 200_000
 
 def merge_dataframes(stock: DataFrame, spy: DataFrame, vix: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Both market series joined to the stocks by date, rows without a market day kept. A series has one row a day; it is
-    written once, both side by side, broadcast while it has no more than `broadcast_rows` (the write counts them), and else
+    written once, both side by side, broadcast while it has no more than `broadcast_rows` (its files know), and else
     joined by sort."""
     out, scratch = stock, Scratch(stock.sparkSession, "market")
     with ThreadPoolExecutor(2) as pool:
