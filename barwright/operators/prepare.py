@@ -50,8 +50,9 @@ def split_train_test(df: DataFrame, training_proportion: float = P.DEFAULTS["tra
     return placed.where(early).select(df.columns), placed.where(~early).select(df.columns)
 
 
-def winsor_bounds(df: DataFrame, columns: Sequence[str] = P.CLIP_COLUMNS, low: float = 0.01, high: float = 0.99) -> dict[str, list[float | None]]:
-    return exact_quantiles(df, columns, (low, high))
+def winsor_bounds(df: DataFrame, columns: Sequence[str] = P.CLIP_COLUMNS, low: float = 0.01, high: float = 0.99, stored: DataFrame | None = None, **more) -> dict[str, list[float | None]]:
+    """The quantiles to cut at; with stored `sketches` of the rows (and `bound`) as in `exact_quantiles`."""
+    return exact_quantiles(df, columns, (low, high), stored=stored, **more)
 
 
 def clip_outliers(df: DataFrame, clip_columns: Sequence[str] | None = None, fit_on: DataFrame | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barwright.operators import inference, ingest, metrics, prepare, selection, train, validate
+from barwright.operators.quantiles import sketches
 from barwright.plans import frames
 from barwright.plans.features import add_features
 from barwright.schema import PRICES
@@ -293,6 +294,19 @@ def a07_winsor_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 oracle("a07_winsor_bounds", f"WITH f AS ({_SMALL_SQL}) " + " UNION ALL ".join(f"SELECT '{c}' AS name, round(quantile_cont({c}, 0.01), 6) AS low, round(quantile_cont({c}, 0.99), 6) AS high FROM f" for c in _SMALL_COLUMNS))
 
 
+@query
+def a07_narrowed_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same bounds from sketches stored by day and a bound so small that brackets must be narrowed."""
+    scratch = Scratch(spark, "sketches")
+    rows = scratch.keep(_small(spark, sf_dir), "rows")
+    stored = scratch.keep(sketches(rows, _SMALL_COLUMNS), "sketches")
+    bounds = prepare.winsor_bounds(rows, _SMALL_COLUMNS, stored=stored, bound=50)
+    return spark.createDataFrame([(c, *map(lambda x: round(x, 6), b)) for c, b in bounds.items()], "name string, low double, high double")
+
+
+ORACLE_SQL["a07_narrowed_bounds"] = ORACLE_SQL["a07_winsor_bounds"]
+
+
 @query
 def m02_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = prepare.clip_outliers(_small(spark, sf_dir), _SMALL_COLUMNS)

@@ -223,3 +223,29 @@ def test_selection(spark):
     assert {r.version: r.alias for r in selection.assign_alias(versions, "m", 2).collect()} == {1: None, 2: "champion"}
     with pytest.raises(ValueError):
         selection.registered_version(versions, "none")
+
+
+def test_stored_sketches_save_a_pass(spark, tmp_path):
+    from barwright.operators import quantiles as Q
+
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.lognormal(0, 2, 20_000), np.full(3_000, 7.0)])
+    df = spark.createDataFrame([(day(i % 30), float(v), None) for i, v in enumerate(x)], "Date date, x double, none double")
+    df.write.parquet(f"{tmp_path}/rows")
+    rows = spark.read.parquet(f"{tmp_path}/rows")
+    Q.sketches(rows.where(F.col("Date") < day(20)), ["x", "none"]).write.parquet(f"{tmp_path}/days")
+    Q.sketches(rows.where(F.col("Date") >= day(20)), ["x", "none"]).write.mode("append").parquet(f"{tmp_path}/days")
+    stored = spark.read.parquet(f"{tmp_path}/days")
+    assert stored.count() == 30 and Q.merged(stored, ["none"], [0.5]) == {"none": None}
+    shares = [0.0, 0.01, 0.5, 0.77, 0.99, 1.0]
+    done = lambda: spark._jsparkSession.sharedState().statusStore().executionsCount()
+    passes = []
+    for more in ({}, {"stored": stored}):
+        before = done()
+        got = Q.exact_quantiles(rows, ["x", "none"], shares, bound=200, **more)
+        passes.append(done() - before)
+        assert np.allclose(got["x"], np.quantile(x, shares)) and got["none"] == [None] * 6
+    assert passes[1] <= passes[0]  # the sketches' own rows are one of these, and no pass over the bars
+    # sketches of other rows only cost a pass
+    wrong = Q.sketches(rows.withColumn("x", F.col("x") + 1000), ["x"])
+    assert np.allclose(Q.exact_quantiles(rows, ["x"], shares, bound=200, stored=wrong)["x"], np.quantile(x, shares))
