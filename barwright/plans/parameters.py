@@ -6,141 +6,444 @@ from pathlib import Path
 from typing import Any
 
 
-def _each(function: str, **values: Any) -> list[dict]:
-    """Specs of one function, one for each value (or tuple of values) of its arguments."""
-    names = tuple(values)
-    rows = zip(*values.values(), strict=True)
-    return [{"function": f"create_{function}", "kwargs": dict(zip(names, row, strict=True))} for row in rows]
-
-
-_REGIMES = {"short_span": (5, 10, 20), "long_span": (20, 60, 60)}
-
-# Features of the stock bars, in order.
+# Features of the bars of stocks, of the market and of the fear index, in order.
 STOCK_FEATURES = [
-    *_each("log_return_lag_feature", lag=(1, 2, 3, 5, 10, 20)),
-    *_each("log_distance_from_sma_feature", window_size=(5, 10, 20, 50)),
-    *_each("ema_crossover_feature", short_span=(5, 12), long_span=(20, 26)),
-    *_each("log_return_volatility_feature", window_size=(5, 10, 20)),
-    *_each("bollinger_bands_features", window_size=(10, 20)),
-    *_each("rsi_feature", window_size=(7, 14, 21)),
-    *_each("garman_klass_variance_feature", lag=(1, 5)),
-    *_each("gk_variance_rolling_mean_feature", window_size=(5, 20), lag=(1, 1)),
-    *_each("gk_regime_feature", **_REGIMES),
-    *_each("parkinson_variance_feature", lag=(1, 5)),
-    *_each("parkinson_variance_rolling_mean_feature", window_size=(20,), lag=(1,)),
-    *_each("parkinson_regime_feature", **_REGIMES),
-    *_each("parkinson_volatility_feature", window_size=(5, 20), lag=(1, 1)),
-    *_each("rogers_satchell_variance_feature", lag=(1, 5)),
-    *_each("rogers_satchell_variance_rolling_mean_feature", window_size=(20,), lag=(1,)),
-    *_each("rogers_satchell_regime_feature", **_REGIMES),
-    *_each("rogers_satchell_volatility_feature", window_size=(5, 20), lag=(1, 1)),
-    *_each("yang_zhang_variance_feature", lag=(1,)),
-    *_each("yang_zhang_variance_rolling_mean_feature", lag=(1, 1), window_size=(5, 20)),
-    *_each("yang_zhang_regime_feature", **_REGIMES),
-    *_each("yang_zhang_volatility_feature", lag=(1, 1, 1), window_size=(5, 20, 60)),
-    *_each("yang_zhang_volatility_ratio_feature", short_span=(5, 12, 20), long_span=(20, 26, 60)),
-    *({"function": f"create_{x}_feature"} for x in ("daily_range", "range_percentage", "candle_body", "upper_shadow", "lower_shadow", "body_percentage", "upper_shadow_percentage", "lower_shadow_percentage")),
-    *_each("volume_pct_change_feature", lag=(1,)),
-    *_each("relative_volume_feature", window_size=(5, 20)),
-    *_each("volume_sma_feature", window_size=(20,)),
+    {"function": "create_log_return_lag_feature", "kwargs": {"lag": 1}},
+    {"function": "create_log_return_lag_feature", "kwargs": {"lag": 2}},
+    {"function": "create_log_return_lag_feature", "kwargs": {"lag": 3}},
+    {"function": "create_log_return_lag_feature", "kwargs": {"lag": 5}},
+    {"function": "create_log_return_lag_feature", "kwargs": {"lag": 10}},
+    {"function": "create_log_return_lag_feature", "kwargs": {"lag": 20}},
+    {"function": "create_log_distance_from_sma_feature", "kwargs": {"window_size": 5}},
+    {"function": "create_log_distance_from_sma_feature", "kwargs": {"window_size": 10}},
+    {"function": "create_log_distance_from_sma_feature", "kwargs": {"window_size": 20}},
+    {"function": "create_log_distance_from_sma_feature", "kwargs": {"window_size": 50}},
+    {"function": "create_ema_crossover_feature", "kwargs": {"short_span": 5, "long_span": 20}},
+    {"function": "create_ema_crossover_feature", "kwargs": {"short_span": 12, "long_span": 26}},
+    {"function": "create_log_return_volatility_feature", "kwargs": {"window_size": 5}},
+    {"function": "create_log_return_volatility_feature", "kwargs": {"window_size": 10}},
+    {"function": "create_log_return_volatility_feature", "kwargs": {"window_size": 20}},
+    {"function": "create_bollinger_bands_features", "kwargs": {"window_size": 10}},
+    {"function": "create_bollinger_bands_features", "kwargs": {"window_size": 20}},
+    {"function": "create_rsi_feature", "kwargs": {"window_size": 7}},
+    {"function": "create_rsi_feature", "kwargs": {"window_size": 14}},
+    {"function": "create_rsi_feature", "kwargs": {"window_size": 21}},
+    {"function": "create_garman_klass_variance_feature", "kwargs": {"lag": 1}},
+    {"function": "create_garman_klass_variance_feature", "kwargs": {"lag": 5}},
+    {"function": "create_gk_variance_rolling_mean_feature", "kwargs": {"window_size": 5, "lag": 1}},
+    {"function": "create_gk_variance_rolling_mean_feature", "kwargs": {"window_size": 20, "lag": 1}},
+    {"function": "create_gk_regime_feature", "kwargs": {"short_span": 5, "long_span": 20}},
+    {"function": "create_gk_regime_feature", "kwargs": {"short_span": 10, "long_span": 60}},
+    {"function": "create_gk_regime_feature", "kwargs": {"short_span": 20, "long_span": 60}},
+    {"function": "create_parkinson_variance_feature", "kwargs": {"lag": 1}},
+    {"function": "create_parkinson_variance_feature", "kwargs": {"lag": 5}},
+    {"function": "create_parkinson_variance_rolling_mean_feature", "kwargs": {"window_size": 20, "lag": 1}},
+    {"function": "create_parkinson_regime_feature", "kwargs": {"short_span": 5, "long_span": 20}},
+    {"function": "create_parkinson_regime_feature", "kwargs": {"short_span": 10, "long_span": 60}},
+    {"function": "create_parkinson_regime_feature", "kwargs": {"short_span": 20, "long_span": 60}},
+    {"function": "create_parkinson_volatility_feature", "kwargs": {"window_size": 5, "lag": 1}},
+    {"function": "create_parkinson_volatility_feature", "kwargs": {"window_size": 20, "lag": 1}},
+    {"function": "create_rogers_satchell_variance_feature", "kwargs": {"lag": 1}},
+    {"function": "create_rogers_satchell_variance_feature", "kwargs": {"lag": 5}},
+    {"function": "create_rogers_satchell_variance_rolling_mean_feature", "kwargs": {"window_size": 20, "lag": 1}},
+    {"function": "create_rogers_satchell_regime_feature", "kwargs": {"short_span": 5, "long_span": 20}},
+    {"function": "create_rogers_satchell_regime_feature", "kwargs": {"short_span": 10, "long_span": 60}},
+    {"function": "create_rogers_satchell_regime_feature", "kwargs": {"short_span": 20, "long_span": 60}},
+    {"function": "create_rogers_satchell_volatility_feature", "kwargs": {"window_size": 5, "lag": 1}},
+    {"function": "create_rogers_satchell_volatility_feature", "kwargs": {"window_size": 20, "lag": 1}},
+    {"function": "create_yang_zhang_variance_feature", "kwargs": {"lag": 1}},
+    {"function": "create_yang_zhang_variance_rolling_mean_feature", "kwargs": {"lag": 1, "window_size": 5}},
+    {"function": "create_yang_zhang_variance_rolling_mean_feature", "kwargs": {"lag": 1, "window_size": 20}},
+    {"function": "create_yang_zhang_regime_feature", "kwargs": {"short_span": 5, "long_span": 20}},
+    {"function": "create_yang_zhang_regime_feature", "kwargs": {"short_span": 10, "long_span": 60}},
+    {"function": "create_yang_zhang_regime_feature", "kwargs": {"short_span": 20, "long_span": 60}},
+    {"function": "create_yang_zhang_volatility_feature", "kwargs": {"lag": 1, "window_size": 5}},
+    {"function": "create_yang_zhang_volatility_feature", "kwargs": {"lag": 1, "window_size": 20}},
+    {"function": "create_yang_zhang_volatility_feature", "kwargs": {"lag": 1, "window_size": 60}},
+    {"function": "create_yang_zhang_volatility_ratio_feature", "kwargs": {"short_span": 5, "long_span": 20}},
+    {"function": "create_yang_zhang_volatility_ratio_feature", "kwargs": {"short_span": 12, "long_span": 26}},
+    {"function": "create_yang_zhang_volatility_ratio_feature", "kwargs": {"short_span": 20, "long_span": 60}},
+    {"function": "create_daily_range_feature"},
+    {"function": "create_range_percentage_feature"},
+    {"function": "create_candle_body_feature"},
+    {"function": "create_upper_shadow_feature"},
+    {"function": "create_lower_shadow_feature"},
+    {"function": "create_body_percentage_feature"},
+    {"function": "create_upper_shadow_percentage_feature"},
+    {"function": "create_lower_shadow_percentage_feature"},
+    {"function": "create_volume_pct_change_feature", "kwargs": {"lag": 1}},
+    {"function": "create_relative_volume_feature", "kwargs": {"window_size": 5}},
+    {"function": "create_relative_volume_feature", "kwargs": {"window_size": 20}},
+    {"function": "create_volume_sma_feature", "kwargs": {"window_size": 20}},
     {"function": "create_return_x_volume_feature"},
-    *_each("drawdown_feature", window_size=(10, 20, 50)),
-    *_each("rolling_window_mdd_feature", window_size=(10, 20, 50)),
-    *_each("rolling_sharpe_ratio_feature", window_size=(10, 20)),
-    *_each("momentum_feature", lag=(1, 10)),
+    {"function": "create_drawdown_feature", "kwargs": {"window_size": 10}},
+    {"function": "create_drawdown_feature", "kwargs": {"window_size": 20}},
+    {"function": "create_drawdown_feature", "kwargs": {"window_size": 50}},
+    {"function": "create_rolling_window_mdd_feature", "kwargs": {"window_size": 10}},
+    {"function": "create_rolling_window_mdd_feature", "kwargs": {"window_size": 20}},
+    {"function": "create_rolling_window_mdd_feature", "kwargs": {"window_size": 50}},
+    {"function": "create_rolling_sharpe_ratio_feature", "kwargs": {"window_size": 10}},
+    {"function": "create_rolling_sharpe_ratio_feature", "kwargs": {"window_size": 20}},
+    {"function": "create_momentum_feature", "kwargs": {"lag": 1}},
+    {"function": "create_momentum_feature", "kwargs": {"lag": 10}},
     {"function": "create_date_features"},
     {"function": "create_market_movement_target"},
 ]
 SPY_FEATURES = [
-    *_each("spy_lag_return_feature", lag=(1, 5, 20)),
-    *_each("spy_volatility_feature", window_size=(20,)),
-    *_each("spy_drawdown_feature", window_size=(252,)),
-    *_each("spy_sma_ratio_feature", window_size=(50, 200)),
-    *_each("spy_return_zscore_feature", window_size=(252,)),
+    {"function": "create_spy_lag_return_feature", "kwargs": {"lag": 1}},
+    {"function": "create_spy_lag_return_feature", "kwargs": {"lag": 5}},
+    {"function": "create_spy_lag_return_feature", "kwargs": {"lag": 20}},
+    {"function": "create_spy_volatility_feature", "kwargs": {"window_size": 20}},
+    {"function": "create_spy_drawdown_feature", "kwargs": {"window_size": 252}},
+    {"function": "create_spy_sma_ratio_feature", "kwargs": {"window_size": 50}},
+    {"function": "create_spy_sma_ratio_feature", "kwargs": {"window_size": 200}},
+    {"function": "create_spy_return_zscore_feature", "kwargs": {"window_size": 252}},
 ]
 VIX_FEATURES = [
-    *_each("vix_lag_return_feature", lag=(1, 5, 20)),
-    *_each("vix_sma_feature", window_size=(10, 20, 60)),
-    *_each("vix_percentile_feature", window_size=(252,)),
+    {"function": "create_vix_lag_return_feature", "kwargs": {"lag": 1}},
+    {"function": "create_vix_lag_return_feature", "kwargs": {"lag": 5}},
+    {"function": "create_vix_lag_return_feature", "kwargs": {"lag": 20}},
+    {"function": "create_vix_sma_feature", "kwargs": {"window_size": 10}},
+    {"function": "create_vix_sma_feature", "kwargs": {"window_size": 20}},
+    {"function": "create_vix_sma_feature", "kwargs": {"window_size": 60}},
+    {"function": "create_vix_percentile_feature", "kwargs": {"window_size": 252}},
     {"function": "create_vix_level_feature"},
 ]
 TARGET_FUNCTION = "create_market_movement_target"
 
 # The columns of each model's frame, in order.
-LR_FEATURES = tuple(
-    """
-    Ticker log_return_lag_1 log_return_lag_5 log_return_lag_10 log_return_lag_20 log_distance_close_vs_SMA_5 log_distance_close_vs_SMA_10
-    log_distance_close_vs_SMA_20 log_return_volatility_5 log_return_volatility_10 log_return_volatility_20 bollinger_upper_distance_20
-    bollinger_lower_distance_20 bollinger_bandwidth_20 rsi_14 range_percentage body_percentage upper_shadow_pct lower_shadow_pct volume_pct_change_1
-    relative_volume_5 relative_volume_20 drawdown_20 sharpe_20 gk_variance_mean_5_lag_1 gk_variance_mean_20_lag_1 gk_regime_5_20 gk_regime_10_60
-    gk_regime_20_60 parkinson_regime_5_20 parkinson_regime_10_60 parkinson_regime_20_60 parkinson_volatility_5_lag_1 parkinson_volatility_20_lag_1
-    parkinson_vol_of_vol_5_lag_1 parkinson_vol_of_vol_20_lag_1 rs_regime_5_20 rs_regime_10_60 rs_regime_20_60 rs_volatility_5_lag_1
-    rs_volatility_20_lag_1 rs_vol_of_vol_5_lag_1 rs_vol_of_vol_20_lag_1 yz_regime_5_20 yz_regime_10_60 yz_regime_20_60 yz_volatility_5_lag_1
-    yz_volatility_20_lag_1 yz_volatility_60_lag_1 yz_vol_of_vol_5_lag_1 yz_vol_of_vol_20_lag_1 yz_vol_of_vol_60_lag_1 yz_volatility_ratio_5_20
-    yz_volatility_ratio_20_60 day_of_week month market_movement spy_lag_return_1 spy_lag_return_5 spy_lag_return_20 spy_volatility_20 spy_drawdown_252
-    spy_sma_ratio_50 spy_sma_ratio_200 spy_return_zscore_252 vix_level vix_return_lag_1 vix_return_lag_5 vix_return_lag_20 vix_SMA_10 vix_SMA_20
-    vix_SMA_60 vix_percentile_252
-    """.split()
+LR_FEATURES = (
+    "Ticker",
+    "log_return_lag_1",
+    "log_return_lag_5",
+    "log_return_lag_10",
+    "log_return_lag_20",
+    "log_distance_close_vs_SMA_5",
+    "log_distance_close_vs_SMA_10",
+    "log_distance_close_vs_SMA_20",
+    "log_return_volatility_5",
+    "log_return_volatility_10",
+    "log_return_volatility_20",
+    "bollinger_upper_distance_20",
+    "bollinger_lower_distance_20",
+    "bollinger_bandwidth_20",
+    "rsi_14",
+    "range_percentage",
+    "body_percentage",
+    "upper_shadow_pct",
+    "lower_shadow_pct",
+    "volume_pct_change_1",
+    "relative_volume_5",
+    "relative_volume_20",
+    "drawdown_20",
+    "sharpe_20",
+    "gk_variance_mean_5_lag_1",
+    "gk_variance_mean_20_lag_1",
+    "gk_regime_5_20",
+    "gk_regime_10_60",
+    "gk_regime_20_60",
+    "parkinson_regime_5_20",
+    "parkinson_regime_10_60",
+    "parkinson_regime_20_60",
+    "parkinson_volatility_5_lag_1",
+    "parkinson_volatility_20_lag_1",
+    "parkinson_vol_of_vol_5_lag_1",
+    "parkinson_vol_of_vol_20_lag_1",
+    "rs_regime_5_20",
+    "rs_regime_10_60",
+    "rs_regime_20_60",
+    "rs_volatility_5_lag_1",
+    "rs_volatility_20_lag_1",
+    "rs_vol_of_vol_5_lag_1",
+    "rs_vol_of_vol_20_lag_1",
+    "yz_regime_5_20",
+    "yz_regime_10_60",
+    "yz_regime_20_60",
+    "yz_volatility_5_lag_1",
+    "yz_volatility_20_lag_1",
+    "yz_volatility_60_lag_1",
+    "yz_vol_of_vol_5_lag_1",
+    "yz_vol_of_vol_20_lag_1",
+    "yz_vol_of_vol_60_lag_1",
+    "yz_volatility_ratio_5_20",
+    "yz_volatility_ratio_20_60",
+    "day_of_week",
+    "month",
+    "market_movement",
+    "spy_lag_return_1",
+    "spy_lag_return_5",
+    "spy_lag_return_20",
+    "spy_volatility_20",
+    "spy_drawdown_252",
+    "spy_sma_ratio_50",
+    "spy_sma_ratio_200",
+    "spy_return_zscore_252",
+    "vix_level",
+    "vix_return_lag_1",
+    "vix_return_lag_5",
+    "vix_return_lag_20",
+    "vix_SMA_10",
+    "vix_SMA_20",
+    "vix_SMA_60",
+    "vix_percentile_252",
 )
-XGB_FEATURES = tuple(
-    """
-    Ticker log_return_lag_1 log_return_lag_2 log_return_lag_3 log_return_lag_5 log_return_lag_10 log_return_lag_20 log_distance_close_vs_SMA_5
-    log_distance_close_vs_SMA_10 log_distance_close_vs_SMA_20 log_distance_close_vs_SMA_50 ema5_minus_ema20 ema12_minus_ema26 log_return_volatility_5
-    log_return_volatility_10 log_return_volatility_20 bollinger_upper_distance_10 bollinger_lower_distance_10 bollinger_bandwidth_10
-    bollinger_upper_distance_20 bollinger_lower_distance_20 bollinger_bandwidth_20 rsi_7 rsi_14 rsi_21 daily_range range_percentage candle_body
-    upper_shadow lower_shadow body_percentage upper_shadow_pct lower_shadow_pct volume_pct_change_1 relative_volume_5 relative_volume_20 volume_sma_20
-    return_x_volume drawdown_10 drawdown_20 drawdown_50 rolling_window_mdd_10 rolling_window_mdd_20 rolling_window_mdd_50 sharpe_10 sharpe_20
-    momentum_1 momentum_10 gk_variance_lag_1 gk_variance_lag_5 gk_regime_5_20 gk_regime_10_60 gk_regime_20_60 parkinson_variance_lag_1
-    parkinson_variance_lag_5 parkinson_regime_5_20 parkinson_regime_10_60 parkinson_regime_20_60 rogers_satchell_variance_lag_1
-    rogers_satchell_variance_lag_5 rs_regime_5_20 rs_regime_10_60 rs_regime_20_60 gk_variance_mean_5_lag_1 gk_variance_mean_20_lag_1
-    parkinson_volatility_5_lag_1 parkinson_volatility_20_lag_1 parkinson_vol_of_vol_5_lag_1 parkinson_vol_of_vol_20_lag_1 rs_volatility_5_lag_1
-    rs_volatility_20_lag_1 rs_vol_of_vol_5_lag_1 rs_vol_of_vol_20_lag_1 yz_variance_lag_1 yz_regime_5_20 yz_regime_10_60 yz_regime_20_60
-    yz_volatility_5_lag_1 yz_volatility_20_lag_1 yz_volatility_60_lag_1 yz_vol_of_vol_5_lag_1 yz_vol_of_vol_20_lag_1 yz_vol_of_vol_60_lag_1
-    yz_volatility_ratio_5_20 yz_volatility_ratio_12_26 yz_volatility_ratio_20_60 day_of_week month market_movement spy_lag_return_1 spy_lag_return_5
-    spy_lag_return_20 spy_volatility_20 spy_drawdown_252 spy_sma_ratio_50 spy_sma_ratio_200 spy_return_zscore_252 vix_level vix_return_lag_1
-    vix_return_lag_5 vix_return_lag_20 vix_SMA_10 vix_SMA_20 vix_SMA_60 vix_percentile_252
-    """.split()
+XGB_FEATURES = (
+    "Ticker",
+    "log_return_lag_1",
+    "log_return_lag_2",
+    "log_return_lag_3",
+    "log_return_lag_5",
+    "log_return_lag_10",
+    "log_return_lag_20",
+    "log_distance_close_vs_SMA_5",
+    "log_distance_close_vs_SMA_10",
+    "log_distance_close_vs_SMA_20",
+    "log_distance_close_vs_SMA_50",
+    "ema5_minus_ema20",
+    "ema12_minus_ema26",
+    "log_return_volatility_5",
+    "log_return_volatility_10",
+    "log_return_volatility_20",
+    "bollinger_upper_distance_10",
+    "bollinger_lower_distance_10",
+    "bollinger_bandwidth_10",
+    "bollinger_upper_distance_20",
+    "bollinger_lower_distance_20",
+    "bollinger_bandwidth_20",
+    "rsi_7",
+    "rsi_14",
+    "rsi_21",
+    "daily_range",
+    "range_percentage",
+    "candle_body",
+    "upper_shadow",
+    "lower_shadow",
+    "body_percentage",
+    "upper_shadow_pct",
+    "lower_shadow_pct",
+    "volume_pct_change_1",
+    "relative_volume_5",
+    "relative_volume_20",
+    "volume_sma_20",
+    "return_x_volume",
+    "drawdown_10",
+    "drawdown_20",
+    "drawdown_50",
+    "rolling_window_mdd_10",
+    "rolling_window_mdd_20",
+    "rolling_window_mdd_50",
+    "sharpe_10",
+    "sharpe_20",
+    "momentum_1",
+    "momentum_10",
+    "gk_variance_lag_1",
+    "gk_variance_lag_5",
+    "gk_regime_5_20",
+    "gk_regime_10_60",
+    "gk_regime_20_60",
+    "parkinson_variance_lag_1",
+    "parkinson_variance_lag_5",
+    "parkinson_regime_5_20",
+    "parkinson_regime_10_60",
+    "parkinson_regime_20_60",
+    "rogers_satchell_variance_lag_1",
+    "rogers_satchell_variance_lag_5",
+    "rs_regime_5_20",
+    "rs_regime_10_60",
+    "rs_regime_20_60",
+    "gk_variance_mean_5_lag_1",
+    "gk_variance_mean_20_lag_1",
+    "parkinson_volatility_5_lag_1",
+    "parkinson_volatility_20_lag_1",
+    "parkinson_vol_of_vol_5_lag_1",
+    "parkinson_vol_of_vol_20_lag_1",
+    "rs_volatility_5_lag_1",
+    "rs_volatility_20_lag_1",
+    "rs_vol_of_vol_5_lag_1",
+    "rs_vol_of_vol_20_lag_1",
+    "yz_variance_lag_1",
+    "yz_regime_5_20",
+    "yz_regime_10_60",
+    "yz_regime_20_60",
+    "yz_volatility_5_lag_1",
+    "yz_volatility_20_lag_1",
+    "yz_volatility_60_lag_1",
+    "yz_vol_of_vol_5_lag_1",
+    "yz_vol_of_vol_20_lag_1",
+    "yz_vol_of_vol_60_lag_1",
+    "yz_volatility_ratio_5_20",
+    "yz_volatility_ratio_12_26",
+    "yz_volatility_ratio_20_60",
+    "day_of_week",
+    "month",
+    "market_movement",
+    "spy_lag_return_1",
+    "spy_lag_return_5",
+    "spy_lag_return_20",
+    "spy_volatility_20",
+    "spy_drawdown_252",
+    "spy_sma_ratio_50",
+    "spy_sma_ratio_200",
+    "spy_return_zscore_252",
+    "vix_level",
+    "vix_return_lag_1",
+    "vix_return_lag_5",
+    "vix_return_lag_20",
+    "vix_SMA_10",
+    "vix_SMA_20",
+    "vix_SMA_60",
+    "vix_percentile_252",
 )
-MLP_FEATURES = tuple(
-    """
-    Ticker log_return_lag_1 log_return_lag_3 log_return_lag_5 log_return_lag_10 log_return_lag_20 log_distance_close_vs_SMA_5
-    log_distance_close_vs_SMA_10 log_distance_close_vs_SMA_20 log_return_volatility_5 log_return_volatility_10 log_return_volatility_20
-    bollinger_upper_distance_20 bollinger_lower_distance_20 bollinger_bandwidth_20 rsi_7 rsi_14 range_percentage body_percentage upper_shadow_pct
-    lower_shadow_pct volume_pct_change_1 relative_volume_5 relative_volume_20 drawdown_20 rolling_window_mdd_20 sharpe_20 yz_volatility_5_lag_1
-    yz_volatility_20_lag_1 yz_volatility_60_lag_1 yz_vol_of_vol_5_lag_1 yz_vol_of_vol_20_lag_1 yz_vol_of_vol_60_lag_1 parkinson_regime_5_20
-    parkinson_regime_10_60 parkinson_regime_20_60 parkinson_volatility_5_lag_1 parkinson_vol_of_vol_5_lag_1 rs_regime_5_20 rs_regime_10_60
-    rs_regime_20_60 rs_volatility_5_lag_1 rs_vol_of_vol_5_lag_1 yz_regime_5_20 yz_regime_10_60 yz_regime_20_60 yz_volatility_ratio_5_20
-    yz_volatility_ratio_20_60 gk_variance_mean_20_lag_1 gk_regime_5_20 gk_regime_10_60 gk_regime_20_60 parkinson_variance_mean_20_lag_1
-    rs_variance_mean_20_lag_1 day_of_week month market_movement spy_lag_return_1 spy_lag_return_5 spy_lag_return_20 spy_volatility_20 spy_drawdown_252
-    spy_sma_ratio_50 spy_sma_ratio_200 spy_return_zscore_252 vix_level vix_return_lag_1 vix_return_lag_5 vix_return_lag_20 vix_SMA_10 vix_SMA_20
-    vix_SMA_60 vix_percentile_252
-    """.split()
+MLP_FEATURES = (
+    "Ticker",
+    "log_return_lag_1",
+    "log_return_lag_3",
+    "log_return_lag_5",
+    "log_return_lag_10",
+    "log_return_lag_20",
+    "log_distance_close_vs_SMA_5",
+    "log_distance_close_vs_SMA_10",
+    "log_distance_close_vs_SMA_20",
+    "log_return_volatility_5",
+    "log_return_volatility_10",
+    "log_return_volatility_20",
+    "bollinger_upper_distance_20",
+    "bollinger_lower_distance_20",
+    "bollinger_bandwidth_20",
+    "rsi_7",
+    "rsi_14",
+    "range_percentage",
+    "body_percentage",
+    "upper_shadow_pct",
+    "lower_shadow_pct",
+    "volume_pct_change_1",
+    "relative_volume_5",
+    "relative_volume_20",
+    "drawdown_20",
+    "rolling_window_mdd_20",
+    "sharpe_20",
+    "yz_volatility_5_lag_1",
+    "yz_volatility_20_lag_1",
+    "yz_volatility_60_lag_1",
+    "yz_vol_of_vol_5_lag_1",
+    "yz_vol_of_vol_20_lag_1",
+    "yz_vol_of_vol_60_lag_1",
+    "parkinson_regime_5_20",
+    "parkinson_regime_10_60",
+    "parkinson_regime_20_60",
+    "parkinson_volatility_5_lag_1",
+    "parkinson_vol_of_vol_5_lag_1",
+    "rs_regime_5_20",
+    "rs_regime_10_60",
+    "rs_regime_20_60",
+    "rs_volatility_5_lag_1",
+    "rs_vol_of_vol_5_lag_1",
+    "yz_regime_5_20",
+    "yz_regime_10_60",
+    "yz_regime_20_60",
+    "yz_volatility_ratio_5_20",
+    "yz_volatility_ratio_20_60",
+    "gk_variance_mean_20_lag_1",
+    "gk_regime_5_20",
+    "gk_regime_10_60",
+    "gk_regime_20_60",
+    "parkinson_variance_mean_20_lag_1",
+    "rs_variance_mean_20_lag_1",
+    "day_of_week",
+    "month",
+    "market_movement",
+    "spy_lag_return_1",
+    "spy_lag_return_5",
+    "spy_lag_return_20",
+    "spy_volatility_20",
+    "spy_drawdown_252",
+    "spy_sma_ratio_50",
+    "spy_sma_ratio_200",
+    "spy_return_zscore_252",
+    "vix_level",
+    "vix_return_lag_1",
+    "vix_return_lag_5",
+    "vix_return_lag_20",
+    "vix_SMA_10",
+    "vix_SMA_20",
+    "vix_SMA_60",
+    "vix_percentile_252",
 )
 
 # Columns looked at for outliers, columns that are winsorised, and columns with long tails.
-OUTLIER_COLUMNS = tuple(
-    """
-    upper_shadow_pct lower_shadow_pct drawdown_20 range_percentage relative_volume_5 log_return_lag_1 bollinger_lower_distance_20
-    log_return_volatility_5
-    """.split()
+OUTLIER_COLUMNS = (
+    "upper_shadow_pct",
+    "lower_shadow_pct",
+    "drawdown_20",
+    "range_percentage",
+    "relative_volume_5",
+    "log_return_lag_1",
+    "bollinger_lower_distance_20",
+    "log_return_volatility_5",
 )
-CLIP_COLUMNS = tuple(
-    """
-    upper_shadow_pct lower_shadow_pct drawdown_20 range_percentage relative_volume_5 log_return_lag_1 bollinger_lower_distance_20
-    bollinger_upper_distance_20 bollinger_bandwidth_20 log_return_volatility_5 volume_pct_change_1 relative_volume_20 body_percentage
-    gk_variance_mean_5_lag_1 gk_variance_mean_20_lag_1 parkinson_volatility_5_lag_1 parkinson_volatility_20_lag_1 rs_volatility_5_lag_1
-    rs_volatility_20_lag_1 yz_volatility_5_lag_1 yz_volatility_20_lag_1 yz_volatility_60_lag_1 yz_volatility_ratio_5_20 yz_volatility_ratio_20_60
-    spy_lag_return_1 spy_lag_return_5 spy_lag_return_20 spy_volatility_20 spy_drawdown_252 spy_sma_ratio_50 spy_sma_ratio_200 spy_return_zscore_252
-    vix_level vix_return_lag_1 vix_return_lag_5 vix_return_lag_20 vix_SMA_10 vix_SMA_20 vix_SMA_60
-    """.split()
+CLIP_COLUMNS = (
+    "upper_shadow_pct",
+    "lower_shadow_pct",
+    "drawdown_20",
+    "range_percentage",
+    "relative_volume_5",
+    "log_return_lag_1",
+    "bollinger_lower_distance_20",
+    "bollinger_upper_distance_20",
+    "bollinger_bandwidth_20",
+    "log_return_volatility_5",
+    "volume_pct_change_1",
+    "relative_volume_20",
+    "body_percentage",
+    "gk_variance_mean_5_lag_1",
+    "gk_variance_mean_20_lag_1",
+    "parkinson_volatility_5_lag_1",
+    "parkinson_volatility_20_lag_1",
+    "rs_volatility_5_lag_1",
+    "rs_volatility_20_lag_1",
+    "yz_volatility_5_lag_1",
+    "yz_volatility_20_lag_1",
+    "yz_volatility_60_lag_1",
+    "yz_volatility_ratio_5_20",
+    "yz_volatility_ratio_20_60",
+    "spy_lag_return_1",
+    "spy_lag_return_5",
+    "spy_lag_return_20",
+    "spy_volatility_20",
+    "spy_drawdown_252",
+    "spy_sma_ratio_50",
+    "spy_sma_ratio_200",
+    "spy_return_zscore_252",
+    "vix_level",
+    "vix_return_lag_1",
+    "vix_return_lag_5",
+    "vix_return_lag_20",
+    "vix_SMA_10",
+    "vix_SMA_20",
+    "vix_SMA_60",
 )
-SKEWED_COLUMNS = tuple(
-    """
-    log_return_volatility_5 log_return_volatility_10 log_return_volatility_20 bollinger_upper_distance_20 bollinger_lower_distance_20
-    bollinger_bandwidth_20 range_percentage upper_shadow_pct lower_shadow_pct relative_volume_5 relative_volume_20 drawdown_20
-    gk_variance_mean_5_lag_1 gk_variance_mean_20_lag_1 parkinson_volatility_5_lag_1 parkinson_volatility_20_lag_1 rs_volatility_5_lag_1
-    rs_volatility_20_lag_1 yz_volatility_5_lag_1 yz_volatility_20_lag_1 yz_volatility_60_lag_1
-    """.split()
+SKEWED_COLUMNS = (
+    "log_return_volatility_5",
+    "log_return_volatility_10",
+    "log_return_volatility_20",
+    "bollinger_upper_distance_20",
+    "bollinger_lower_distance_20",
+    "bollinger_bandwidth_20",
+    "range_percentage",
+    "upper_shadow_pct",
+    "lower_shadow_pct",
+    "relative_volume_5",
+    "relative_volume_20",
+    "drawdown_20",
+    "gk_variance_mean_5_lag_1",
+    "gk_variance_mean_20_lag_1",
+    "parkinson_volatility_5_lag_1",
+    "parkinson_volatility_20_lag_1",
+    "rs_volatility_5_lag_1",
+    "rs_volatility_20_lag_1",
+    "yz_volatility_5_lag_1",
+    "yz_volatility_20_lag_1",
+    "yz_volatility_60_lag_1",
 )
 
 PROJECTIONS = {"lr": LR_FEATURES, "xgb": XGB_FEATURES, "mlp": MLP_FEATURES}
