@@ -67,6 +67,8 @@ def rows():
             v = rng.choice([b[:i] + b[i + 1 :], b[:i] + rng.choice("abÿé") + b[i:], b[:i] + rng.choice("xyÀ") + b[i + 1 :]])
             words += [v] * rng.choice([2, 2, 3, 11, 12])
             words += [v[:-1] + rng.choice("qrs")] * rng.choice([1, 2])
+    for chain in (("grandmother", "grandmothr", "grandmohr"), ("neighbourhood", "neighborhood", "neighborhoo")):
+        words += [w for w, n in zip(chain, (320, 28, 2), strict=True) for _ in range(n)]
     words = [w.upper() if rng.random() < 0.1 and w.isascii() else w for w in words]
     rng.shuffle(words)
     out = [(i, rng.choice(" ,.1\n").join(words[i * 40 : i * 40 + 40])) for i in range(len(words) // 40 + 1)]
