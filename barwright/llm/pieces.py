@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+import sys
+from collections import Counter
 from collections.abc import Iterator, Sequence
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +66,41 @@ class Vocabulary:
         # no piece goes on past a space that follows other characters: words can be encoded one by one
         self.by_word = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.id)
         self.longest = max(map(len, self.id))
+        self._read_merges()
+
+    def last_merge(self, piece: str) -> tuple[str, str] | None:
+        """The two parts whose merge gives the piece when its characters are merged alone; None if merging doesn't give it."""
+        parts, rank = list(piece), self.rank
+        while len(parts) > 1:
+            r = [rank.get(a + b, np.inf) for a, b in zip(parts, parts[1:], strict=False)]
+            at = min(range(len(r)), key=r.__getitem__)
+            if r[at] == np.inf:
+                return None
+            if len(parts) == 2:
+                return parts[0], parts[1]
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return None
+
+    def _read_merges(self) -> None:
+        """By id: the rank as a whole number (0 for characters) and both parts of the last merge (-1 for characters); which
+        ids `Codec._all_fit` can judge by them, as their merges come in the order of ranks that no other piece has; and
+        the rank of every pair of pieces that would merge, by the pair's key."""
+        long = [p for p in self.id if len(p) > 1]
+        levels = {r: i + 1 for i, r in enumerate(sorted({self.rank[p] for p in long}))}
+        shared = Counter(self.rank[p] for p in long)
+        self.order, self.parts, self.plain = np.zeros(self.size, np.int64), np.full((2, self.size), -1, np.int64), np.zeros(self.size, bool)
+        for p in sorted(self.id, key=len):  # parts before what they make
+            i = self.id[p]
+            if len(p) == 1:
+                self.plain[i] = True
+                continue
+            self.order[i] = levels[self.rank[p]]
+            merge = self.last_merge(p)
+            if merge and all(x in self.id for x in merge):
+                self.parts[:, i] = a, b = [self.id[x] for x in merge]
+                self.plain[i] = shared[self.rank[p]] == 1 and self.plain[a] and self.plain[b] and self.order[i] > max(self.order[a], self.order[b])
+        pairs = sorted((self.id[p[:i]] << _ID_BITS | self.id[p[i:]], self.order[self.id[p]]) for p in long for i in range(1, len(p)) if p[:i] in self.id and p[i:] in self.id)
+        self.pair_keys, self.pair_order = (np.array([x[i] for x in pairs], np.int64) for i in (0, 1))
 
     def decode(self, ids: list[int]) -> str:
         """The text of token ids. The space that encoding puts in front goes; the block that stands for a space in
@@ -72,6 +110,14 @@ class Vocabulary:
         return text[1:] if text[:1] == " " else text
 
 
+class Numbers(dict[str, int]):
+    """Numbers of words; a word that has none gets the next one."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 class Codec:
     """Encodes batches of texts with one vocabulary.
 
@@ -87,19 +133,27 @@ class Codec:
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.v = vocabulary
         pieces = sorted(self.v.id)
-        self.piece_ids = np.array([self.v.id[p] for p in pieces], np.int64)
-        self.lengths = np.array(list(map(len, pieces)), np.int64)
-        self.codes = np.zeros((len(pieces), self.v.longest), np.int64)
-        for i, p in enumerate(pieces):
-            self.codes[i, : len(p)] = np.frombuffer(p.encode("utf-32-le"), np.uint32).astype(np.int64) + 1
+        self.piece_ids = np.array([self.v.id[p] for p in pieces], np.int32)
+        self.lengths = np.array(list(map(len, pieces)), np.int32)
+        letters = np.frombuffer("".join(pieces).encode("utf-32-le"), np.uint32).astype(np.int64) + 1
+        alphabet = np.unique(letters)
+        #: The number of a character (by its code) among those that pieces have, in their order; 0 for others.
+        self.symbol = np.zeros(sys.maxunicode + 2, np.int32)
+        self.symbol[alphabet] = np.arange(1, len(alphabet) + 1)
+        row = np.repeat(np.arange(len(pieces)), self.lengths)
+        #: Symbols of all pieces, a column for each.
+        self.columns = np.zeros((self.v.longest, len(pieces)), np.int32)
+        self.columns[np.arange(len(letters)) - (np.cumsum(self.lengths) - self.lengths)[row], row] = self.symbol[letters]
+        self.single = np.zeros(len(alphabet) + 1, bool)
+        self.single[self.columns[0, self.lengths == 1]] = True
         self.text_of = {i: p for p, i in self.v.id.items()}
-        self.known = np.unique(self.codes[self.lengths == 1, 0])
         self.slot_keys, self.slot_fits = np.full(1 << _SLOT_BITS, -1, np.int64), np.zeros(1 << _SLOT_BITS, bool)
+        self.words_of = re.compile(f"{SPACE}({SPACE}*[^{SPACE}]*)").findall
         self.edges_of: dict[str, tuple[frozenset[str], frozenset[str]]] = {}
         self._forget()
 
     def _forget(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number = Numbers()
         self.chars = 0
         self.ids, self.counts, self.begins, self.used = np.zeros(0, np.int32), *(np.zeros(0, np.int64) for _ in range(3))
 
@@ -113,7 +167,7 @@ class Codec:
         at = np.repeat(self.begins[order] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         self.ids, self.counts, self.used = self.ids[at], n, self.used[order] // 2
         self.begins = np.cumsum(n) - n
-        self.number = {words[i]: k for k, i in enumerate(order.tolist())}
+        self.number = Numbers((words[i], k) for k, i in enumerate(order.tolist()))
         self.chars = sum(map(len, self.number))
 
     def merge(self, text: str, seam: int = 0) -> list[str] | None:
@@ -171,46 +225,61 @@ class Codec:
     def _edges(self, codes: np.ndarray) -> tuple[np.ndarray, ...]:
         """Ends, starts and tokens of all edges. Code 0 stands between words.
 
-        A suffix's first characters, as deep as the longest piece, are packed into a few numbers, which sort the array
-        and are what the binary searches compare.
+        A suffix ends with its word, and before a character that no piece has. Its first characters, as deep as the longest
+        piece, are packed into a few numbers, which sort the array and are what the binary searches compare; numbers after
+        the first are compared where that is equal.
         """
         n, longest = len(codes), self.v.longest
-        alphabet, symbol = np.unique(codes, return_inverse=True)
-        bits = int(len(alphabet)).bit_length()
+        symbol = self.symbol[codes]
+        used = np.bincount(symbol, minlength=len(self.single)) > 0
+        used[0] = True
+        number = np.cumsum(used) - 1
+        bits = max(int(number[-1]).bit_length(), 1)
         width = min(62 // bits, longest)  # characters of one number
-        padded = np.append(symbol.astype(np.int64) + 1, np.zeros(longest + width, np.int64))
-        one = np.zeros(n + longest, np.int64)
+        stops = np.append(np.flatnonzero(symbol == 0), n)
+        size = np.repeat(stops, np.diff(stops, prepend=-1))[:n] - np.arange(n)
+        padded = np.append(number[symbol], np.zeros(width, np.int64))
+        one = np.zeros(n, np.int64)
         for j in range(width):
             one <<= np.int64(bits)
-            one |= padded[j : j + n + longest]
-        numbers = [one[i : i + n] for i in range(0, longest, width)]
-        suffixes = np.lexsort(numbers[::-1]) if len(numbers) > 1 else np.argsort(numbers[0], kind="stable")
-        numbers = [x[suffixes] for x in numbers]
-        at = np.minimum(np.searchsorted(alphabet, self.codes), len(alphabet) - 1)
-        possible = np.flatnonzero(((alphabet[at] == self.codes) | (self.codes == 0)).all(axis=1))
+            one |= padded[j : j + n]
+        over = np.maximum(width - size, 0) * bits
+        one = one >> over << over
+        suffixes = np.argsort(one)
+        first = one[suffixes]
+        same = first[1:] == first[:-1]
+        tied = np.append(same, False) | np.append(False, same)
+        tied = np.flatnonzero(tied & (first & ((1 << bits) - 1) > 0))
+        if len(tied) and width < longest:
+            of = suffixes[tied]
+            suffixes[tied] = of[np.lexsort([*(self._packed(one, size, of, i) for i in reversed(range(width, longest, width))), first[tied]])]
+        possible = np.flatnonzero((used | (np.arange(len(used)) == 0))[self.columns].all(axis=0))
         length = self.lengths[possible]
-        piece = np.where(self.codes[possible] > 0, at[possible] + 1, 0)
-        piece = np.pad(piece, ((0, 0), (0, width)))
+        piece = np.append(number[self.columns[:, possible]], np.zeros((width, len(possible)), np.int64), axis=0)
         lo, hi = np.zeros(len(possible), np.int64), np.full(len(possible), n, np.int64)
-        for level, sorted_ in enumerate(numbers):
-            live = np.flatnonzero((length > level * width) & (lo < hi))
+        for at in range(0, longest, width):
+            live = np.flatnonzero((length > at) & (lo < hi))
             low = np.zeros(len(live), np.int64)
             for j in range(width):
-                low = low << np.int64(bits) | piece[live, level * width + j]
-            rest = np.maximum(width - (length[live] - level * width), 0)
-            high = low + (np.int64(1) << (rest * bits))
-            if level == 0:
-                lo[live], hi[live] = np.searchsorted(sorted_, low), np.searchsorted(sorted_, high)
+                low = low << np.int64(bits) | piece[at + j, live]
+            high = low + (np.int64(1) << (np.maximum(width - (length[live] - at), 0) * np.int64(bits)))
+            if at == 0:
+                lo[live], hi[live] = np.searchsorted(first, low), np.searchsorted(first, high)
                 continue
+            sorted_ = self._packed(one, size, suffixes, at)
             lo[live], hi[live] = (_search(sorted_, lo[live], hi[live], want) for want in (low, high))
         count = hi - lo
         of = np.repeat(np.arange(len(count), dtype=np.int32), count)
-        start = suffixes.astype(np.int32)[np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(count.sum())]
-        strange = np.flatnonzero((codes > 0) & ~np.isin(codes, self.known))
-        token = self.piece_ids[possible].astype(np.int32)[of]
-        joined = ((start + length.astype(np.int32)[of], strange + 1), (start, strange), (token, self.v.size + codes[strange] - 1))
+        start = suffixes.astype(np.int32)[np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(len(of))]
+        strange = np.flatnonzero((codes > 0) & ~self.single[symbol])
+        joined = ((start + length[of], strange + 1), (start, strange), (self.piece_ids[possible][of], self.v.size + codes[strange] - 1))
         return tuple(np.append(x, y.astype(np.int32)) for x, y in joined)
 
+    @staticmethod
+    def _packed(one: np.ndarray, size: np.ndarray, suffixes: np.ndarray, at: int) -> np.ndarray:
+        """The numbers of the suffixes from their character `at` on; 0 for those that end before."""
+        return np.where(size[suffixes] > at, one[np.minimum(suffixes + at, len(one) - 1)], 0)
+
     def _all_fit(self, before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
         """`_fits` of many pairs: looked up in a table of recent pairs, and each other one asked once."""
         keys = before.astype(np.int64) << np.int64(_ID_BITS) | tokens
@@ -218,12 +287,42 @@ class Codec:
         out = self.slot_fits[slots]
         miss = np.flatnonzero(self.slot_keys[slots] != keys)
         if len(miss):
-            asked, inverse = np.unique(keys[miss], return_inverse=True)
-            got = [self._fits(k >> _ID_BITS, k & ((1 << _ID_BITS) - 1)) for k in asked.tolist()]
-            out[miss] = np.array(got, bool)[inverse]
+            out[miss] = self._judge(before[miss].astype(np.int64), tokens[miss].astype(np.int64))
             self.slot_keys[slots[miss]], self.slot_fits[slots[miss]] = keys[miss], out[miss]
         return out
 
+    def _judge(self, before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        """`_fits` of many pairs at once, from the last state of both sides back to their characters.
+
+        Both sides are merged in the order of ranks. So of the two, the one of higher rank (of equal ones the right one) came
+        last, and before it stood there in its parts. A merge across the seam would have come before that one if its rank
+        is lower, or equal and the one undone is at the right. Pairs that can't be judged so are asked one by one."""
+        v = self.v
+        inside = (tokens < v.size) & (before < v.size)
+        out, live = np.zeros(len(tokens), bool), np.flatnonzero(inside)
+        live = live[v.plain[tokens[live]] & ((before[live] < 0) | v.plain[before[live]])]
+        slow = np.ones(len(tokens), bool)
+        slow[live], out[live] = False, True
+        live = live[before[live] >= 0]
+        left, right, limit = before[live], tokens[live], np.full(len(live), np.iinfo(np.int64).max)
+        while len(live) and len(v.pair_keys):
+            keys = left << np.int64(_ID_BITS) | right
+            at = np.minimum(np.searchsorted(v.pair_keys, keys), len(v.pair_keys) - 1)
+            crossed = (v.pair_keys[at] == keys) & (v.pair_order[at] < limit)
+            out[live[crossed]] = False
+            a, b = v.order[left], v.order[right]
+            go = np.flatnonzero(~crossed & ((a > 0) | (b > 0)))
+            live, left, right, a, b = live[go], left[go], right[go], a[go], b[go]
+            undo_left = a > b
+            limit = np.where(undo_left, a, b + 1)
+            left, right = np.where(undo_left, v.parts[1, left], left), np.where(undo_left, right, v.parts[0, right])
+        slow = np.flatnonzero(slow)
+        if len(slow):
+            asked, inverse = np.unique(before[slow] << np.int64(_ID_BITS) | tokens[slow], return_inverse=True)
+            got = [self._fits(k >> _ID_BITS, k & ((1 << _ID_BITS) - 1)) for k in asked.tolist()]
+            out[slow] = np.array(got, bool)[inverse]
+        return out
+
     def _ids(self, word: np.ndarray, tokens: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids with the bytes of strange characters in their places, and their number by word; tokens come by word."""
         strange = np.flatnonzero(tokens >= self.v.size)
@@ -236,9 +335,9 @@ class Codec:
         return tokens.astype(np.int32), np.bincount(word, minlength=n_words)
 
     def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all words in one array, and their number by word."""
-        codes = np.frombuffer("\x00".join(words).encode("utf-32-le"), np.uint32).astype(np.int64) + 1
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        """The ids of all words, each behind a space, in one array, and their number by word."""
+        codes = np.frombuffer((SPACE + f"\x00{SPACE}".join(words)).encode("utf-32-le"), np.uint32).astype(np.int64) + 1
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
         ends = np.cumsum(sizes + 1) - 1
         codes[ends[:-1]] = 0
         end, start, token = self._edges(codes)
@@ -253,9 +352,10 @@ class Codec:
         place = (end - word_start[start]).astype(np.uint16)
         order = np.argsort(place, kind="stable")
         cuts = np.searchsorted(place[order], np.arange(1, most + 2))
+        end, start, token = end[order], start[order], token[order]
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             if a < b:
-                e, s, t = (x[order[a:b]] for x in (end, start, token))
+                e, s, t = end[a:b], start[a:b], token[a:b]
                 ok = last[s] != free
                 ok[ok] = self._all_fit(last[s[ok]], t[ok])
                 last[e[ok]], back[e[ok]] = t[ok], s[ok]
@@ -309,39 +409,43 @@ class Codec:
 
     def _learn(self, new: list[str]) -> None:
         """Encodes words that are not kept, so many characters at a time, and keeps their ids."""
-        ids, counts = [self.ids], [self.counts]
-        new.sort(key=lambda w: len(w) > LONG_WORD)
-        at = 0
-        while at < len(new):
-            to, n = at, 0
-            if len(new[at]) > LONG_WORD:
-                to, got = at + 1, self._encode_long(new[at])
-            else:
-                while to < len(new) and n <= WORK_CHARS and len(new[to]) <= LONG_WORD:
-                    n += len(new[to])
-                    to += 1
-                got = self._encode_words(new[at:to])
-            ids.append(got[0])
-            counts.append(got[1])
+        sizes = np.fromiter(map(len, new), np.int64, len(new))
+        order = np.argsort(sizes > LONG_WORD, kind="stable")
+        n_short, upto = int((sizes <= LONG_WORD).sum()), np.cumsum(sizes[order])
+        words, got, at = [new[i] for i in order.tolist()], [], 0
+        while at < n_short:
+            to = min(int(np.searchsorted(upto, (upto[at - 1] if at else 0) + WORK_CHARS, side="right")) + 1, n_short)
+            got.append(self._encode_words(words[at:to]))
             at = to
-        for w in new:
-            self.number[w] = len(self.number)
-        self.chars += sum(map(len, new))
-        self.ids, self.counts = np.concatenate(ids), np.concatenate(counts)
-        self.begins = np.cumsum(self.counts) - self.counts
+        got += [self._encode_long(SPACE + w) for w in words[n_short:]]
+        in_order = np.concatenate([n for _, n in got])
+        counts, begins = np.zeros((2, len(new)), np.int64)
+        counts[order], begins[order] = in_order, np.cumsum(in_order) - in_order + len(self.ids)
+        self.ids = np.concatenate([self.ids, *(x for x, _ in got)])
+        self.counts, self.begins = np.append(self.counts, counts), np.append(self.begins, begins)
         self.used = np.append(self.used, np.zeros(len(new), np.int64))
+        self.chars += int(sizes.sum())
+
+    def _split(self, text: str) -> list[str]:
+        """The words of a text, each without the one space that stands before it."""
+        if not text:
+            return []
+        if not self.v.by_word:
+            return [text.replace(" ", SPACE)]
+        if SPACE not in text and "  " not in text and text[0] != " " and text[-1] != " ":
+            return text.split(" ")
+        return self.words_of(SPACE + text.replace(" ", SPACE))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one array, and the texts' bounds in it."""
-        split = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if self.v.by_word else r"(?s).+").findall
-        parts = [split(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        flat = [w for p in parts for w in p]
+        parts = [self._split(t) for t in texts]
+        flat = list(chain.from_iterable(parts))
         if len(self.number) > CACHE_WORDS or len(self.ids) + self.chars > CACHE_SIZE:
             self._forget_rare()
-        new = set(flat).difference(self.number)
-        if new:
-            self._learn(list(new))
+        known = len(self.number)
         word = np.fromiter(map(self.number.__getitem__, flat), np.int64, len(flat))
+        if len(self.number) > known:
+            self._learn(list(islice(reversed(self.number), len(self.number) - known))[::-1])
         self.used += np.bincount(word, minlength=len(self.used))
         n = self.counts[word]
         upto = np.zeros(len(flat) + 1, np.int64)

@@ -66,3 +66,61 @@ def test_what_is_kept_is_bounded(library):
         ids, bounds = codec.encode(texts)
         assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == library.encode(texts, num_threads=1)
         assert len(codec.number) <= pieces.CACHE_WORDS + 40_000 and len(codec.edges_of) <= codec.v.size + 1
+
+
+def _made_up(rng) -> pieces.Vocabulary:
+    """A vocabulary of few characters, with ranks in any order and some of them equal."""
+    v = object.__new__(pieces.Vocabulary)
+    words = ["▁", "a", "b", "c", *{"".join(rng.choice(["a", "b", "c", "▁", "d"], int(rng.integers(2, 6)))) for _ in range(60)}]
+    v.id, v.size, v.unknown, v.byte = {w: i for i, w in enumerate(words)}, len(words), 0, {}
+    ranks = rng.permutation(len(words)) if rng.random() < 0.5 else np.sort(rng.integers(0, 40, len(words)))
+    v.rank = {w: float(r) for w, r in zip(sorted(words, key=len), ranks)}
+    v.by_word, v.longest = False, max(map(len, words))
+    v._read_merges()
+    return v
+
+
+def test_pairs_at_once_equal_pairs_that_are_merged(codec):
+    rng = np.random.default_rng(4)
+    plain = 0
+    for c, n in [(codec, 6000), *((pieces.Codec(_made_up(rng)), 1500) for _ in range(40))]:
+        stands = [i for p, i in c.v.id.items() if c._fits(-1, i)] + [c.v.size + ord(x) for x in "d日😀"]
+        before, tokens = rng.choice([-1, *stands], n), rng.choice(list(c.v.id.values()) + stands[-3:], n)
+        # pairs out of one piece, too: drawn ones hardly ever merge
+        cuts = [(c.v.id[p[:i]], c.v.id[p[i:]]) for p in list(c.v.id)[:3000] for i in range(1, len(p)) if p[:i] in c.v.id and p[i:] in c.v.id and c._fits(-1, c.v.id[p[:i]])]
+        before, tokens = (np.append(x, [q[k] for q in cuts]).astype(np.int64) for k, x in enumerate((before, tokens)))
+        got = c._judge(before, tokens)
+        assert got.tolist() == [c._fits(b, t) for b, t in zip(before.tolist(), tokens.tolist())]
+        plain += c.v.plain.sum() if c is not codec else 0
+    assert codec.v.plain.sum() > 31_000 and plain > 100
+
+
+def test_made_up_vocabularies_are_merged_as_in_whole():
+    rng = np.random.default_rng(6)
+    for _ in range(30):
+        c = pieces.Codec(_made_up(rng))
+        texts = ["".join(rng.choice(["a", "b", "c", " ", "d"], int(rng.integers(1, 30)))) for _ in range(40)]
+        ids, bounds = c.encode(texts)
+        for t, i, j in zip(texts, bounds, bounds[1:]):
+            merged = c.merge("▁" + t.replace(" ", "▁"), -1)
+            assert ids[i:j].tolist() == [c.v.id.get(p, c.v.unknown) for p in merged]
+
+
+def test_new_words_are_not_merged_pair_by_pair(library, monkeypatch):
+    asked = []
+    fits = pieces.Codec._fits
+    monkeypatch.setattr(pieces.Codec, "_fits", lambda self, b, t: asked.append((b, t)) or fits(self, b, t))
+    codec, rng = pieces.Codec(pieces.Vocabulary(MODEL)), np.random.default_rng(5)
+    letters = list("etaoinshrdlucmfwypvbgkjqxz")
+    texts = [" ".join("".join(rng.choice(letters, int(n))) for n in rng.integers(1, 12, 500)) for _ in range(20)]
+    ids, bounds = codec.encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == library.encode(texts, num_threads=1)
+    assert len(asked) < 100  # one for every new pair before
+
+
+def test_spaces_in_all_places(codec, library):
+    texts = ["", " ", "  ", "a", " a", "a ", "a b", "a  b", "  a b", "a b  ", "a \n b", "▁", "a▁b", "▁a", "a▁ b", " ▁", "\x00", "a\x00 b\x00", "x" * 65, "x" * 64, "a " + "x" * 64 + " b"]
+    for part in ([t] for t in texts), [texts], [texts[::-1]]:
+        for p in part:
+            ids, bounds = codec.encode(p)
+            assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == library.encode(p, num_threads=1)
